@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 #: Words are runs of anything but these six characters; ``bytes.split()`` splits on exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 _BLANKS = " \t\n\v\f\r"
@@ -72,6 +74,7 @@ def map_texts(
 ) -> DataFrame:
     """Keep columns ``keep`` and add what ``make()`` computes for lists of texts (None where null), in the order of ``added``."""
     fields = T._parse_datatype_string(added)
+    ship_package(df.sparkSession)
     frame = df.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = T.StructType([frame.schema[k] for k in keep] + list(fields))
     names = schema.names

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from ._common import held_out, map_texts, read, slices
 
 UNKNOWN = "und"
@@ -114,6 +115,7 @@ def fit(docs: DataFrame, top: int = 300, sample_per_lang: int = 2000) -> dict[st
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    ship_package(docs.sparkSession)
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {}
