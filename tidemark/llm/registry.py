@@ -10,10 +10,12 @@ from .bpe import op9_bpe
 from .language_id import op1_language_id
 from .quality_model import op5_quality_model
 from .quality_rules import op2_quality_rules
+from .simhash import op3_simhash
+from .substring_dedup import op8_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_language_id, op2_quality_rules, op5_quality_model, op9_bpe)
+    ops = (op1_language_id, op2_quality_rules, op3_simhash, op5_quality_model, op8_substring_dedup, op9_bpe)
     return {f.__name__: f for f in ops}
 
 
