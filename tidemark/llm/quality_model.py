@@ -132,14 +132,19 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], shape: Shape) -> tuple
     return (vectors @ (layer[1] - layer[0])).astype(np.float64), float(bias[1] - bias[0])
 
 
-def fit(labelled: DataFrame, shape: Shape = Shape()) -> tuple[np.ndarray, float]:
-    """``labelled``: doc_id, text, quality of learning rows. Only the bounded sample's features reach the driver."""
-    labelled = labelled.where(F.col("quality").isin(0, 1)).select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    sizes = {r["quality"]: r["n"] for r in labelled.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> tuple[np.ndarray, float]:
+    """``docs``: doc_id, text; ``labels``: doc_id, quality; learning rows only.
+
+    The sample is drawn from the labels, so only its ids, at most about 2 x sample_per_class, meet the texts, and they
+    do so by broadcast: no text is shuffled. Only the sample's features reach the driver.
+    """
+    labels = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
+    sizes = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return np.zeros(1 << shape.bits), 0.0
     limit = F.when(F.col("quality") == 1, min(1.0, shape.sample_per_class / sizes[1])).otherwise(min(1.0, shape.sample_per_class / sizes[0]))
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < limit * (1 << 20))
+    sample = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < limit * (1 << 20))
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
 
     def make() -> Callable[[list], dict]:
         def run(texts: list) -> dict:
@@ -181,6 +186,6 @@ def predict(docs: DataFrame, model: tuple[np.ndarray, float], shape: Shape = Sha
 
 def op5_quality_model(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("held_out", held_out())
-    labels = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    learning = docs.where(~F.col("held_out")).select("doc_id", "text").join(labels, "doc_id")
-    return predict(docs, fit(learning), keep=("doc_id", "held_out"))
+    learning = docs.where(~F.col("held_out"))
+    labels = read(spark, sf_dir, "labels").where(~held_out())
+    return predict(docs, fit(learning, labels), keep=("doc_id", "held_out"))
