@@ -11,6 +11,7 @@ from .bpe import op9_bpe
 from .language_id import op1_language_id
 from .line_dedup import op7_line_dedup
 from .mixing import op6_mixing
+from .multiprobe import op10_multiprobe
 from .quality_model import op5_quality_model
 from .quality_rules import op2_quality_rules
 from .secret_scan import op4_secret_scan
@@ -29,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_line_dedup,
         op8_substring_dedup,
         op9_bpe,
+        op10_multiprobe,
     )
     return {f.__name__: f for f in ops}
 
