@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +46,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep df on executors' disks for plans that read it more than once. Lineage stays: what a lost executor held is made again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -87,12 +93,26 @@ def map_texts(
             for part in slices(batch, position):
                 made = compute(part.column(position).to_pylist())
                 columns = [part.column(i) for i in range(position)]
-                columns += [pa.array(made[f], type=t) for f, t in kinds]
+                columns += [made[f] if isinstance(made[f], pa.Array) else pa.array(made[f], type=t) for f, t in kinds]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return frame.mapInArrow(run, schema)
 
 
+def filter_texts(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]], text: str = "text") -> DataFrame:
+    """The rows of df, all columns, for whose texts the function that ``make()`` returns says true."""
+    ship_package(df.sparkSession)
+    position = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stays = make()
+        for batch in batches:
+            for part in slices(batch, position):
+                yield part.filter(pa.array(stays(part.column(position).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow_types(fields: T.StructType) -> list[tuple[str, pa.DataType]]:
     kinds = {
         T.StringType: pa.string(), T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(),

@@ -17,13 +17,15 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from ._common import map_texts
 
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -63,8 +65,8 @@ class PairIndexBPE:
         plain = pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace("[[a-z]+", "[a-z]+")
         self.plain_pieces = re.compile(plain.replace(r"[^\s", f"[^{_SPACE}").replace("[[", "[").replace("]]", "]"))
         self.ids_of: dict[str, str] = {}
-        self.tokens_of: dict[str, str] = {}
         self.count_of: dict[str, int] = {}
+        self.raw_of: dict[str, bytes] = {}
 
     # -- pieces ---------------------------------------------------------------------------------------------------
     def _pieces(self, text: str) -> list[str]:
@@ -163,8 +165,8 @@ class PairIndexBPE:
         """Encode the distinct pieces that the cache does not hold yet, all in one index."""
         if len(self.ids_of) > self.cache_pieces:
             self.ids_of.clear()
-            self.tokens_of.clear()
             self.count_of.clear()
+            self.raw_of.clear()
         new = [p for p in set(pieces) if p.__class__ is str and p not in self.ids_of]
         if new:
             ids, counts = self.merge_all([p.encode() for p in new])
@@ -173,11 +175,11 @@ class PairIndexBPE:
             for p, end in zip(new, ends):
                 own = numbers[at:end]
                 self.ids_of[p] = " ".join(map(str, own))
-                self.tokens_of[p] = " ".join(map(self.token.__getitem__, own))
                 self.count_of[p] = end - at
+                self.raw_of[p] = ids[at:end].tobytes()
                 at = end
-        for text, i in self.special.items():
-            self.ids_of[i], self.tokens_of[i], self.count_of[i] = str(i), text, 1
+        for i in self.special.values():
+            self.ids_of[i], self.count_of[i], self.raw_of[i] = str(i), 1, np.int32(i).tobytes()
 
     # -- texts ----------------------------------------------------------------------------------------------------
     def encode_batch(self, texts: list[str | None]) -> list[tuple[int, str]]:
@@ -186,27 +188,56 @@ class PairIndexBPE:
         self.learn(p for own in split for p in own)
         return [(sum(map(self.count_of.__getitem__, own)), " ".join(map(self.ids_of.__getitem__, own))) for own in split]
 
+    def encode_arrays(self, texts: list[str | None]) -> pa.ListArray:
+        """The ids of each text."""
+        split = [self.split(t) for t in texts]
+        self.learn(p for own in split for p in own)
+        raw = [b"".join(map(self.raw_of.__getitem__, own)) for own in split]
+        offsets = np.cumsum([0, *map(len, raw)]) // 4
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+
     def decode(self, ids: Iterable[int]) -> str:
         """The tokens' strings joined by one space, as a tokenizer without a decoder does; special tokens are kept."""
         return " ".join(map(self.token.__getitem__, ids))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` with n_tokens long, ids array<int> and decoded string of every whole text.
+    """Columns ``keep`` with n_tokens long and ids array<int> of every whole text.
 
     The tokenizer file is read on the driver and travels with the task, so executors need no copy of it.
     """
-    return map_texts(docs, keep, _maker(tokenizer_path, digest=False), "n_tokens long, ids array<int>, decoded string")
+    spec = _file(tokenizer_path)
 
+    def make() -> Callable[[list], dict]:
+        bpe = PairIndexBPE(spec)
 
-def encode_digest(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """As encode(), with SHA-256 digests of the joined ids and of the decoded text in place of both."""
-    return map_texts(docs, keep, _maker(tokenizer_path, digest=True), "n_tokens long, ids_sha256 string, decoded_sha256 string")
+        def run(texts: list) -> dict:
+            ids = bpe.encode_arrays(texts)
+            return {"n_tokens": ids.value_lengths().cast(pa.int64()), "ids": ids}
 
+        return run
 
-def _maker(path: str, digest: bool) -> Callable[[], Callable[[list], dict]]:
-    with open(path, "rb") as file:
-        spec = file.read()
+    return map_texts(docs, keep, make, "n_tokens long, ids array<int>")
+
+
+def decode(encoded: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` with decoded, the text of column ids (null: null)."""
+    ship_package(encoded.sparkSession)
+    spec = _file(tokenizer_path)
+    schema = encoded.select(*keep).schema.add("decoded", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = PairIndexBPE(spec)
+        for batch in batches:
+            texts = [bpe.decode(own) if own is not None else None for own in batch.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string())], names=schema.names)
+
+    return encoded.select(*keep, "ids").mapInArrow(run, schema)
+
+
+def encode_digest(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` with n_tokens and SHA-256 digests of the joined ids and of the text decoded from the ids."""
+    spec = _file(tokenizer_path)
 
     def make() -> Callable[[list], dict]:
         bpe = PairIndexBPE(spec)
@@ -216,19 +247,20 @@ def _maker(path: str, digest: bool) -> Callable[[], Callable[[list], dict]]:
 
         def run(texts: list) -> dict:
             encoded = bpe.encode_batch(texts)
-            out: dict = {"n_tokens": [n for n, _ in encoded]}
-            ids = [[int(i) for i in joined.split()] for _, joined in encoded] if not digest else None
-            if digest:
-                out["ids_sha256"] = [sha(joined) for _, joined in encoded]
-                out["decoded_sha256"] = [sha(bpe.decode(map(int, joined.split()))) for _, joined in encoded]
-            else:
-                out["ids"] = ids
-                out["decoded"] = [bpe.decode(own) for own in ids]
-            return out
+            return {
+                "n_tokens": [n for n, _ in encoded],
+                "ids_sha256": [sha(joined) for _, joined in encoded],
+                "decoded_sha256": [sha(bpe.decode(map(int, joined.split()))) for _, joined in encoded],
+            }
 
         return run
 
-    return make
+    return map_texts(docs, keep, make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _file(path: str) -> bytes:
+    with open(path, "rb") as file:
+        return file.read()
 
 
 def default_tokenizer() -> str:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from ._common import cut, map_texts, read, shuffle_width, slices
+from ._common import WORD, cut, map_texts, read, shuffle_width, slices
 
 _CLASS = np.uint64(59)
 _FLUSH = 48 << 20
@@ -337,6 +337,12 @@ def dedup_lines(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return made.select(*[F.col("text") if c == "text" else F.col("__own")[c].alias(c) for c in docs.columns], "n_lines_removed")
 
 
+def keep_first_lines(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """``docs`` without later matches of lines, same columns; a document that loses its last word goes as a whole."""
+    left = dedup_lines(docs, rule)
+    return left.where((F.col("n_lines_removed") == 0) | F.col("text").rlike(WORD)).select(*docs.columns)
+
+
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines_removed and the SHA-256 of what is left of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blanks, has_word, map_texts, read
+from ._common import blanks, filter_texts, has_word, map_texts, read
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 VERDICT = "base_failed boolean, kept boolean, ratio double, odd_chunk_share double"
@@ -104,6 +104,17 @@ def score(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), bands: Bands | N
     return map_texts(docs, keep, make, f"{STATS}, {VERDICT}")
 
 
+def keep_good(docs: DataFrame, bands: Bands | None = None) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns as they are."""
+    bands = bands or Bands()
+
+    def make() -> Callable[[list], list[bool]]:
+        compressor = zstandard.ZstdCompressor(level=bands.level)
+        return lambda texts: [judge(t, bands, compressor)[6] for t in texts]
+
+    return filter_texts(docs, make)
+
+
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
     return score(docs)

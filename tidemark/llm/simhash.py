@@ -181,6 +181,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     return made.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 3) -> DataFrame:
+    """One row of each component, the one with the smallest doc_id, all columns as they are.
+
+    Of rows that repeat that doc_id and fingerprint one stays. Fingerprints of five-word shingles within three bits
+    hold texts of well over 0.8 similarity; looser ones can't be told from chance by 64 bits.
+    """
+    found = near_duplicates(docs, shingle, distance)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__doc"), F.col("fp").alias("__fp")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").cast("long").alias("__id"), "text")
+    marked = fingerprints(rows, shingle, keep=("__row", "__id"))
+    kept = marked.join(stay, (marked["fp"] == stay["__fp"]) & marked["__id"].eqNullSafe(stay["__doc"]), "left_semi")
+    one = kept.groupBy("__id", "fp").agg(F.first("__row").alias("__row"))
+    return one.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from ._common import cut, map_texts, read, shuffle_width, slices
+from ._common import cut, hold, map_texts, read, shuffle_width, slices
 from .fm_index import matched_windows
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -171,15 +171,14 @@ def _search(sent: DataFrame, window: int, shards: int) -> DataFrame:
     return sent.mapInArrow(run, "anchor long, content long, owner long, first array<int>, last array<int>")
 
 
-def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 10, shards_per_task: int = 4) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 10, shards_per_task: int = 1) -> DataFrame:
     """(doc_id, key, start array<int>, stop array<int>): word spans to remove, for rows that have any."""
     spark = docs.sparkSession
     ship_package(spark)
     shards = shards_per_task * shuffle_width(spark)
-    found = _anchored(docs, window, gram)
-    found = cut(found, "substring-runs")
+    found = hold(_anchored(docs, window, gram))
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("anchor")
-    found = cut(found.join(shared, "anchor", "left_semi"), "substring-shared")
+    found = hold(found.join(shared, "anchor", "left_semi"))
     holder = F.min(F.struct("doc_id", "key", "start", "windows")).alias("h")
     groups = found.groupBy("anchor", "content").agg(holder).select("anchor", "content", "h.*")
     ranges = cut(_search(_send(docs, groups, window, shards), window, shards), "substring-ranges")
