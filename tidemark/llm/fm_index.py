@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: So few segments left are finished window by window, all windows at once, rather than each in its own time.
+_FEW = 512
+
 
 class WaveletMatrix:
     def __init__(self, sequence: np.ndarray, symbols: int):
@@ -120,7 +123,7 @@ def matched_windows(codes: np.ndarray, size: np.ndarray, owner: np.ndarray, wind
     at = size.copy()  # the probe has matched [at, probe)
     low = np.zeros(len(size), np.int64)
     high = np.full(len(size), index.n, np.int64)
-    while len(who):
+    while len(who) > _FEW:
         at[who] -= 1
         symbol = symbols[base[who] + at[who]]
         lo, hi = index.extend(symbol, low[who], high[who])
@@ -155,4 +158,26 @@ def matched_windows(codes: np.ndarray, size: np.ndarray, owner: np.ndarray, wind
         over = ended[i[ended] + window > end[ended]]
         if len(over):
             who = who[~np.isin(who, over)]
+    rest = np.maximum(0, end[who] - window + 1 - i[who])
+    segment = np.repeat(who, rest)
+    start = np.arange(len(segment)) - np.repeat(np.cumsum(rest) - rest, rest) + i[segment]
+    for k, a, b in _single(index, symbols, base, owner, segment, start, window):
+        found[k].append((a, b))
     return found
+
+
+def _single(index: FMIndex, symbols: np.ndarray, base: np.ndarray, owner: np.ndarray, segment: np.ndarray, start: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """Ranges (segment, first, last) of the given windows that match, each window probed by itself, all side by side."""
+    low, high = np.zeros(len(segment), np.int64), np.full(len(segment), index.n, np.int64)
+    for back in range(window - 1, -1, -1):
+        if not len(segment):
+            return []
+        lo, hi = index.extend(symbols[base[segment] + start + back], low, high)
+        alive = hi > lo
+        alive[alive] = index.earliest(lo[alive], hi[alive]) < owner[segment[alive]]
+        segment, start, low, high = segment[alive], start[alive], lo[alive], hi[alive]
+    if not len(segment):
+        return []
+    edge = np.flatnonzero((segment[1:] != segment[:-1]) | (start[1:] != start[:-1] + 1)) + 1
+    first, last = np.append(0, edge), np.append(edge, len(segment)) - 1
+    return list(zip(segment[first].tolist(), start[first].tolist(), (start[last] + 1).tolist()))
