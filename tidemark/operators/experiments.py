@@ -51,7 +51,7 @@ def paired_test(cells: DataFrame, control: str) -> DataFrame:
     own = cells.where("valid").select("variant", "scenario", "repeat", right.alias("right"))
     base = own.where(F.col("variant") == control).select("scenario", "repeat", F.col("right").alias("base"))
     pairs = own.where(F.col("variant") != control).join(base, ["scenario", "repeat"])
-    sums = pairs.groupBy("variant").agg(F.count(F.lit(1)).alias("pairs"), F.count_if("right AND NOT base").alias("wins"), F.count_if("base AND NOT right").alias("losses"))
+    sums = pairs.groupBy("variant").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("right") & ~F.col("base")).alias("wins"), F.count_if(F.col("base") & ~F.col("right")).alias("losses"))
     return sums.withColumn("p", sign_test("wins", "losses"))
 
 
