@@ -17,9 +17,10 @@ def wilson(k: F.Column, n: F.Column) -> tuple[F.Column, F.Column]:
 
 
 def sign_test(wins: str, losses: str) -> F.Column:
-    """Exact two-sided p of a sign test; 1 without any difference."""
+    """Exact two-sided p of a sign test; 1 without any difference. Summed from logarithms, so that n may be large."""
     n, low = f"({wins} + {losses})", f"least({wins}, {losses})"
-    tail = f"aggregate(sequence(0, CAST({low} AS INT)), CAST(struct(1.0D, 0.0D) AS struct<c:double,s:double>), (a, i) -> struct(a.c * ({n} - i) / (i + 1) AS c, a.s + a.c * pow(0.5D, {n}) AS s), a -> a.s)"
+    tail = f"""aggregate(sequence(0, CAST({low} AS INT)), CAST(struct({n} * ln(0.5D), 0.0D) AS struct<l:double,s:double>),
+        (a, i) -> struct(a.l + ln(({n} - i) / (i + 1)) AS l, a.s + exp(a.l) AS s), a -> a.s)"""
     return F.expr(f"CASE WHEN {n} = 0 THEN 1.0D ELSE least(1.0D, 2 * {tail}) END")
 
 

@@ -565,11 +565,11 @@ def paired_wins(spark, sf_dir):
 
 @query("""WITH RECURSIVE g AS (SELECT c_custkey % 12 AS wins, c_nationkey % 12 AS losses, min(c_custkey) AS k FROM customer GROUP BY 1, 2),
     f AS (SELECT k, wins, losses, 0 AS i, 1.0::DOUBLE AS c, pow(0.5, wins + losses) AS s FROM g UNION ALL SELECT k, wins, losses, i + 1, c * (wins + losses - i) / (i + 1), s + c * (wins + losses - i) / (i + 1) * pow(0.5, wins + losses) FROM f WHERE i < least(wins, losses))
-    SELECT wins, losses, round(CASE WHEN wins + losses = 0 THEN 1.0 ELSE least(1.0, 2 * max(s)) END, 9) AS p FROM f GROUP BY wins, losses""")
+    SELECT wins, losses, round(CASE WHEN wins + losses = 0 THEN 1.0 ELSE least(1.0, 2 * max(s)) END + 1e-12, 9) AS p FROM f GROUP BY wins, losses""")
 def paired_sign_test(spark, sf_dir):
     c = model.table(spark, sf_dir, "customer").select((F.col("c_custkey") % 12).alias("wins"), (F.col("c_nationkey") % 12).alias("losses"))
     c = c.select("wins", F.col("losses").cast("long").alias("losses")).distinct()
-    return c.select("wins", F.col("losses").cast("int").alias("losses"), F.round(ex.sign_test("wins", "losses"), 9).alias("p"))
+    return c.select("wins", F.col("losses").cast("int").alias("losses"), F.round(ex.sign_test("wins", "losses") + 1e-12, 9).alias("p"))
 
 
 _Z = ex.Z
@@ -645,3 +645,154 @@ def resume_grid(spark, sf_dir):
     every = e.withColumn("repeat", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     done = every.where((F.col("scenario") + F.col("repeat")) % 4 == 0)
     return every.join(done, ["variant", "scenario", "repeat"], "left_anti")
+
+
+# -- upkeep -------------------------------------------------------------------------------------------------------
+from ..operators import upkeep as up  # noqa: E402
+from ..sources import sinks  # noqa: E402
+
+
+@query("SELECT event_type AS kind, user_id AS id, count(*) AS uses, max(ts) AS last_used FROM events GROUP BY event_type, user_id")
+def usage_counts(spark, sf_dir):
+    e = model.table(spark, sf_dir, "events")
+    return up.usage(e.select(F.col("event_type").alias("kind"), F.col("user_id").alias("id"), F.col("ts").cast("timestamp_ntz").alias("ts")))
+
+
+@query("SELECT belief_id, confirmed_at, source FROM (SELECT user_id AS belief_id, ts AS confirmed_at, event_type AS source, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS nth FROM events WHERE value > 50) WHERE nth = 1")
+def first_confirmations(spark, sf_dir):
+    e = model.table(spark, sf_dir, "events").where("value > 50")
+    return up.confirmations(e.select(F.col("user_id").alias("belief_id"), F.col("ts").cast("timestamp_ntz").alias("confirmed_at"), F.col("event_type").alias("source")))
+
+
+@query(f"WITH {o.TURN} SELECT id FROM turn WHERE id % 4 <> 0")
+def passage_backfill(spark, sf_dir):
+    t = model.turns(spark, sf_dir)
+    return up.missing_passages(t, rc.passage_table(t.where("id % 4 = 0"))).select("id")
+
+
+@query("""WITH n AS (SELECT p_partkey AS id, p_brand AS package, (p_size // 10) || '.' || (p_size % 10) AS version FROM part), d AS (SELECT DISTINCT p_brand AS package, '2.5' AS declared FROM part)
+    SELECT id, package, version, declared FROM n JOIN d USING (package) WHERE [split_part(version, '.', 1)::INT, split_part(version, '.', 2)::INT] < [2, 5]""")
+def older_versions(spark, sf_dir):
+    p = model.table(spark, sf_dir, "part")
+    named = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("package"), F.concat(F.floor(F.col("p_size") / 10).cast("string"), F.lit("."), (F.col("p_size") % 10).cast("string")).alias("version"))
+    return up.older_versions(named, p.select(F.col("p_brand").alias("package"), F.lit("2.5").alias("version")).distinct())
+
+
+@query(f"WITH {o.BELIEF} SELECT id, value FROM belief WHERE contains(lower(subject), 'user 1') OR contains(lower(relation), 'user 1') OR contains(lower(value), 'user 1')")
+def beliefs_holding(spark, sf_dir):
+    return up.holding(lg.timeline(model.assertions(spark, sf_dir)), "USER 1", fold=True).select("id", "value")
+
+
+@query("""SELECT 'documents.text' AS place, count(*) FILTER (WHERE contains(text, 'token')) AS rows FROM documents UNION ALL SELECT 'documents.source', count(*) FILTER (WHERE contains(source, 'token')) FROM documents
+    UNION ALL SELECT 'pages.html', count(*) FILTER (WHERE contains(html, 'token')) FROM pages""")
+def rows_holding(spark, sf_dir):
+    tables = {n: model.table(spark, sf_dir, n) for n in ("documents", "pages")}
+    return up.row_counts_holding(tables, {"documents": ["text", "source"], "pages": ["html"]}, "token")
+
+
+@query(f"WITH {o.TURN}, old AS (SELECT DISTINCT unnest({o.analyze('text')}) AS term FROM turn), new AS (SELECT DISTINCT unnest({o.analyze('text')}) AS term FROM turn WHERE id % 5 <> 0) SELECT term FROM old WHERE term NOT IN (SELECT term FROM new)")
+def deleted_terms(spark, sf_dir):
+    t = model.turns(spark, sf_dir)
+    return up.stale_terms(t.select(F.explode(tx.analyze("text")).alias("term")), t.where("id % 5 <> 0"))
+
+
+@query(f"{_GATE} SELECT DISTINCT seq AS review_id FROM fold WHERE outcome = 'pending_review' AND (seq % 7 = 0 OR incumbent % 7 = 0)")
+def reviews_touching(spark, sf_dir):
+    a = model.assertions(spark, sf_dir)
+    return up.touching_reviews(lg.reviews(a), a.where("seq % 7 = 0").select(F.col("seq").alias("id")))
+
+
+@query(f"WITH {o.TURN}, s AS (SELECT event_id AS id, 'seen in conv-' || (event_id % 150) || ', noted' AS source FROM events WHERE event_id % 20 = 0) SELECT DISTINCT s.id, t.session FROM s JOIN (SELECT DISTINCT session FROM turn) t ON 'conv-' || (s.id % 150) = t.session")
+def named_sessions(spark, sf_dir):
+    e = model.table(spark, sf_dir, "events").where("event_id % 20 = 0")
+    sources = e.select(F.col("event_id").alias("id"), F.concat(F.lit("seen in conv-"), (F.col("event_id") % 150).cast("string"), F.lit(", noted")).alias("source"))
+    return up.mentions(sources, model.turns(spark, sf_dir))
+
+
+@query(f"""WITH {o.LOG} SELECT prompt_id, rank, belief_id FROM (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y%m%d') DESC) AS call, row_number() OVER (PARTITION BY user_id, rank ORDER BY strftime(ts, '%Y%m%d') DESC, belief_id) AS nth FROM log)
+    WHERE call = 1 AND nth = 1""")
+def latest_calls(spark, sf_dir):
+    log = model.relevance_log(spark, sf_dir).withColumnsRenamed({"prompt_id": "id"})
+    log = log.withColumns({"prompt_id": F.regexp_extract("id", r"^(p\d+)-", 1), "ts": F.regexp_extract("id", r"-(\d+)$", 1)})
+    return up.latest_calls(log).select(F.col("id").alias("prompt_id"), "rank", "belief_id")
+
+
+@query("""WITH l AS (SELECT doc_id % 300 AS pair_id, count(*) AS n FROM labels GROUP BY 1), e AS (SELECT DISTINCT doc_id AS pair_id FROM documents WHERE doc_id < 250)
+    SELECT coalesce(l.pair_id, e.pair_id) AS pair_id, CASE WHEN n IS NULL THEN 'missing' WHEN e.pair_id IS NULL THEN 'unexpected' ELSE 'repeated' END AS fault FROM l FULL JOIN e ON l.pair_id = e.pair_id WHERE n IS NULL OR e.pair_id IS NULL OR n > 1""")
+def label_faults(spark, sf_dir):
+    labels = model.table(spark, sf_dir, "labels").select((F.col("doc_id") % 300).alias("pair_id"))
+    return up.label_faults(model.table(spark, sf_dir, "documents").where("doc_id < 250").select(F.col("doc_id").alias("pair_id")), labels)
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'out_of_copy' WHEN event_id % 7 = 0 THEN 'timeout' WHEN event_id % 5 <> 0 THEN 'rc=' || (event_id % 5) WHEN event_type = 'error' THEN 'is_error' END AS reason FROM events""")
+def invalid_reasons(spark, sf_dir):
+    i = F.col("event_id")
+    e = model.table(spark, sf_dir, "events").select("event_id", (i % 11 == 0).alias("out_of_copy"), (i % 7 == 0).alias("timed_out"), (i % 5).alias("rc"), (F.col("event_type") == "error").alias("is_error"))
+    return up.invalid_reasons(e).select("event_id", "reason")
+
+
+@query("""WITH e AS (SELECT user_id AS run, event_id AS pos, CASE event_type WHEN 'view' THEN 'turn' WHEN 'error' THEN 'text' ELSE 'tool' END AS kind, CASE event_type WHEN 'click' THEN 'recall' ELSE event_type END AS tool FROM events)
+    SELECT run, count(*) FILTER (WHERE kind = 'tool' AND tool = 'recall')::INTEGER AS recalls, arg_min(tool, pos) FILTER (WHERE kind = 'tool') AS first_tool, max(pos) FILTER (WHERE kind = 'text')::VARCHAR AS final_text, count(*) FILTER (WHERE kind = 'turn')::INTEGER AS turns FROM e GROUP BY run""")
+def folded_runs(spark, sf_dir):
+    e = model.table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "view", "turn").when(F.col("event_type") == "error", "text").otherwise("tool")
+    tool = F.when(F.col("event_type") == "click", "recall").otherwise(F.col("event_type"))
+    rows = e.select(F.col("user_id").alias("run"), F.col("event_id").alias("at"), kind.alias("kind"), tool.alias("tool"), F.lit("").alias("query"), F.col("event_id").cast("string").alias("text"))
+    return up.fold_events(rows).select("run", "recalls", "first_tool", "final_text", "turns")
+
+
+@query("SELECT c_custkey, replace(replace(replace('Name=' || c_name || ';' || lower(c_name) || ';x', 'CUSTOMER#', '[withheld]'), 'Customer#', '[withheld]'), 'customer#', '[withheld]') AS masked FROM customer")
+def masked_text(spark, sf_dir):
+    c = model.table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Name="), "c_name", F.lit(";"), F.lower("c_name"), F.lit(";x")).alias("t"))
+    return c.select("c_custkey", up.masked("t", ["Customer#"]).alias("masked"))
+
+
+@query(f"WITH {o.TURN} SELECT DISTINCT source AS path, unnest(['*' || regexp_extract(source, '([^/]+)/?$', 1) || '*', '*-' || regexp_extract(source, '([^/]+)/?$', 1) || '/*']) AS pattern FROM turn")
+def pattern_suggestions(spark, sf_dir):
+    return up.pattern_suggestions(model.turns(spark, sf_dir).select(F.col("source").alias("path")).distinct())
+
+
+@query("SELECT page_id || chr(9) || replace(replace(replace(url, chr(9), ' '), chr(10), ' '), chr(13), ' ') || chr(9) || replace(replace(replace(left(html, 80), chr(9), ' '), chr(10), ' '), chr(13), ' ') AS line FROM pages")
+def tsv_lines(spark, sf_dir):
+    p = model.table(spark, sf_dir, "pages").withColumn("html", F.substring("html", 1, 80))
+    return sinks.as_tsv(p, ["page_id", "url", "html"])
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(left(html, 300), '\p{Cf}', '', 'g'), '[\p{Cc}\p{Zl}\p{Zp}]', ' ', 'g'), '\s+', ' ', 'g')) AS line FROM pages")
+def one_line_text(spark, sf_dir):
+    p = model.table(spark, sf_dir, "pages").select("page_id", F.substring("html", 1, 300).alias("h"))
+    return p.select("page_id", tx.one_line("h").alias("line"))
+
+
+@query(f"WITH {o.TURN} SELECT source, arg_min(entrypoint, seq) FILTER (WHERE seq % 2 = 0 AND entrypoint IS NOT NULL) AS entrypoint FROM turn GROUP BY source")
+def entrypoint_backfill(spark, sf_dir):
+    t = model.turns(spark, sf_dir)
+    known = t.withColumn("entrypoint", F.when(F.col("seq") % 2 == 0, F.col("entrypoint")))
+    return transcripts.entrypoints(transcripts.fill_entrypoints(known))
+
+
+@query("""WITH t AS (SELECT event_id, 'a' || event_id || chr(9) || event_type || CASE WHEN event_id % 3 = 0 THEN '' ELSE chr(9) || user_id END AS value FROM events)
+    SELECT split_part(value, chr(9), 1) AS subject, split_part(value, chr(9), 2) AS relation, nullif(split_part(value, chr(9), 3), '') AS value, len(string_split(value, chr(9))) < 3 AS error FROM t""")
+def batch_assertions(spark, sf_dir):
+    e = model.table(spark, sf_dir, "events")
+    tail = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("\t"), F.col("user_id").cast("string")))
+    lines = e.select(F.concat(F.lit("a"), F.col("event_id").cast("string"), F.lit("\t"), "event_type", tail).alias("value"))
+    return transcripts.assertion_lines(lines).select("subject", "relation", "value", "error")
+
+
+@query("""SELECT bool_or(contains(text, 'AKIA') AND source <> 'src0') AS found, bool_and(n_chars > 0) AS complete FROM documents""")
+def scan_roll_up(spark, sf_dir):
+    d = model.table(spark, sf_dir, "documents")
+    hits = F.col("text").contains("AKIA").cast("int")
+    return up.scan_roll_up(d.select(hits.alias("hits"), F.when(F.col("source") == "src0", "list").alias("excluded_by"), (F.col("n_chars") > 0).alias("readable")))
+
+
+@query(f"""WITH RECURSIVE {o.CELL}, r AS (SELECT variant, scenario, repeat, (expect = 'recall') = recall_called AS ok, expect, recall_called FROM cell WHERE valid),
+    rate AS (SELECT variant, (count(*) FILTER (WHERE expect = 'recall' AND recall_called) / count(*) FILTER (WHERE expect = 'recall') + 1 - count(*) FILTER (WHERE expect <> 'recall' AND recall_called) / count(*) FILTER (WHERE expect <> 'recall')) / 2 AS bal FROM r GROUP BY variant),
+    pair AS (SELECT a.variant, count(*) FILTER (WHERE a.ok AND NOT b.ok) AS w, count(*) FILTER (WHERE b.ok AND NOT a.ok) AS l FROM r a JOIN r b USING (scenario, repeat) WHERE b.variant = 'view' AND a.variant <> 'view' GROUP BY a.variant),
+    f AS (SELECT variant, w, l, 0 AS i, (w + l) * ln(0.5) AS c, exp((w + l) * ln(0.5)) AS s FROM pair UNION ALL SELECT variant, w, l, i + 1, c + ln((w + l - i) / (i + 1)), s + exp(c + ln((w + l - i) / (i + 1))) FROM f WHERE i < least(w, l)),
+    p AS (SELECT variant, least(1.0, 2 * max(s)) AS p FROM f GROUP BY variant)
+    SELECT variant, bal > (SELECT bal FROM rate WHERE variant = 'view') AND p < 0.7 AS ship FROM rate JOIN p USING (variant)""")
+def election_decision(spark, sf_dir):
+    cells = model.cells(spark, sf_dir)
+    return ex.decisions(ex.election_rates(cells), ex.paired_test(cells, "view"), "view", alpha=0.7)
