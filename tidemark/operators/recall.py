@@ -62,6 +62,7 @@ def phrase_postings(docs: DataFrame, phrases: DataFrame, columns: dict[str, floa
 def bm25(terms: DataFrame, lengths: DataFrame, keywords: DataFrame) -> DataFrame:
     """(qid, key, score): sum of idf x saturated frequency; a keyword in half of the documents or more counts 1e-6."""
     corpus = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    terms = terms.join(keywords.select("term").distinct(), "term", "left_semi")  # goes below the count by document
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hits = keywords.join(terms, "term").join(df, "term").join(lengths, "key").join(F.broadcast(corpus))  # one row
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
