@@ -33,17 +33,17 @@ class Bands:
 
     whole: tuple[tuple[float, float, float], ...] = field(
         default=(
-            (512, 0.40, 0.95),
-            (1024, 0.38, 0.85),
-            (2048, 0.34, 0.78),
-            (4096, 0.31, 0.72),
-            (16384, 0.27, 0.70),
-            (65536, 0.22, 0.68),
-            (float("inf"), 0.15, 0.68),
+            (512, 0.40, 0.90),
+            (1024, 0.38, 0.80),
+            (2048, 0.34, 0.72),
+            (4096, 0.31, 0.66),
+            (16384, 0.27, 0.62),
+            (65536, 0.22, 0.58),
+            (float("inf"), 0.15, 0.56),
         )
     )
     chunk_bytes: int = 4096
-    chunk: tuple[float, float] = (0.25, 0.74)
+    chunk: tuple[float, float] = (0.25, 0.66)
     odd_chunks: float = 0.25
     level: int = 3
     min_words: int = 50
