@@ -42,7 +42,7 @@ def _byte_symbols() -> dict[int, str]:
 class PairIndexBPE:
     """A tokenizer file of the word-end kind: lower case, white space dropped, pieces by pattern, byte-level symbols."""
 
-    def __init__(self, file: bytes, cache_pieces: int = 400_000):
+    def __init__(self, file: bytes, cache_pieces: int = 250_000):
         spec = json.loads(file)
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
@@ -64,9 +64,8 @@ class PairIndexBPE:
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}"))
         plain = pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace("[[a-z]+", "[a-z]+")
         self.plain_pieces = re.compile(plain.replace(r"[^\s", f"[^{_SPACE}").replace("[[", "[").replace("]]", "]"))
-        self.ids_of: dict[str, str] = {}
-        self.count_of: dict[str, int] = {}
-        self.raw_of: dict[str, bytes] = {}
+        self.raw_of: dict[str | int, bytes] = {}  # by piece, or by a special token's id: its ids as 32-bit numbers
+        self.text_of: dict[bytes, str] = {}  # of the same: decimal ids joined by a space
 
     # -- pieces ---------------------------------------------------------------------------------------------------
     def _pieces(self, text: str) -> list[str]:
@@ -161,40 +160,44 @@ class PairIndexBPE:
         alive = symbol >= 0
         return symbol[alive], np.add.reduceat(alive, stop - size, dtype=np.int64)
 
-    def learn(self, pieces: Iterable[str]) -> None:
+    def learn(self, pieces: Iterable[str | int]) -> None:
         """Encode the distinct pieces that the cache does not hold yet, all in one index."""
-        if len(self.ids_of) > self.cache_pieces:
-            self.ids_of.clear()
-            self.count_of.clear()
+        if len(self.raw_of) > self.cache_pieces:
             self.raw_of.clear()
-        new = [p for p in set(pieces) if p.__class__ is str and p not in self.ids_of]
+            self.text_of.clear()
+        new = [p for p in set(pieces) if p not in self.raw_of]
+        for i in [p for p in new if p.__class__ is int]:
+            self.raw_of[i] = np.int32(i).tobytes()
+        new = [p for p in new if p.__class__ is str]
         if new:
             ids, counts = self.merge_all([p.encode() for p in new])
-            numbers, ends = ids.tolist(), np.cumsum(counts).tolist()
+            raw, ends = ids.astype("<i4").tobytes(), (np.cumsum(counts) * 4).tolist()
             at = 0
             for p, end in zip(new, ends):
-                own = numbers[at:end]
-                self.ids_of[p] = " ".join(map(str, own))
-                self.count_of[p] = end - at
-                self.raw_of[p] = ids[at:end].tobytes()
+                self.raw_of[p] = raw[at:end]
                 at = end
-        for i in self.special.values():
-            self.ids_of[i], self.count_of[i], self.raw_of[i] = str(i), 1, np.int32(i).tobytes()
+
+    def _show(self, raw: bytes) -> str:
+        shown = self.text_of.get(raw)
+        if shown is None:
+            shown = self.text_of[raw] = " ".join(map(str, np.frombuffer(raw, "<i4").tolist()))
+        return shown
 
     # -- texts ----------------------------------------------------------------------------------------------------
-    def encode_batch(self, texts: list[str | None]) -> list[tuple[int, str]]:
-        """For each text its number of tokens and its decimal ids joined by one space."""
+    def _raw(self, texts: list[str | None]) -> list[list[bytes]]:
         split = [self.split(t) for t in texts]
         self.learn(p for own in split for p in own)
-        return [(sum(map(self.count_of.__getitem__, own)), " ".join(map(self.ids_of.__getitem__, own))) for own in split]
+        return [list(map(self.raw_of.__getitem__, own)) for own in split]
+
+    def encode_batch(self, texts: list[str | None]) -> list[tuple[int, str]]:
+        """For each text its number of tokens and its decimal ids joined by one space."""
+        return [(sum(map(len, own)) // 4, " ".join(map(self._show, own))) for own in self._raw(texts)]
 
     def encode_arrays(self, texts: list[str | None]) -> pa.ListArray:
         """The ids of each text."""
-        split = [self.split(t) for t in texts]
-        self.learn(p for own in split for p in own)
-        raw = [b"".join(map(self.raw_of.__getitem__, own)) for own in split]
+        raw = [b"".join(own) for own in self._raw(texts)]
         offsets = np.cumsum([0, *map(len, raw)]) // 4
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<i4").astype(np.int32)))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The tokens' strings joined by one space, as a tokenizer without a decoder does; special tokens are kept."""
