@@ -796,3 +796,89 @@ def scan_roll_up(spark, sf_dir):
 def election_decision(spark, sf_dir):
     cells = model.cells(spark, sf_dir)
     return ex.decisions(ex.election_rates(cells), ex.paired_test(cells, "view"), "view", alpha=0.7)
+
+
+# -- capture ------------------------------------------------------------------------------------------------------
+from ..operators import capture as cp  # noqa: E402
+
+
+@query(f"""WITH {o.TURN}, s AS (SELECT source, arg_min(text, seq) AS head, count(*) AS size FROM turn GROUP BY source)
+    SELECT coalesce(CASE WHEN source = '/home/u/p2/conv-2.jsonl' THEN 'no capture' WHEN source GLOB '*/p1/*' THEN 'pattern' WHEN contains(head, 'que') THEN 'marker' END, CASE WHEN size % 2 = 0 THEN 'unchanged' ELSE 'copied' END) AS reason, count(*) AS sources FROM s GROUP BY 1""")
+def mirror_counts(spark, sf_dir):
+    t = model.turns(spark, sf_dir).groupBy("source").agg(F.min_by("text", "seq").alias("head"), F.count(F.lit(1)).alias("size")).withColumn("mtime", F.lit(5))
+    copied = t.where("size % 2 = 0").select("source", "mtime", "size")
+    return cp.mirror_counts(cp.reasons(t, ["/home/u/p2/conv-2.jsonl"], ["*/p1/*"], ["que"]), copied)
+
+
+@query("SELECT item_id AS path, len(list_filter(range(1, length(text) + 1), lambda i: text[i:i + 2] = 'ere'))::INTEGER AS hits FROM benchmark")
+def occurrence_counts(spark, sf_dir):
+    return cp.occurrences(model.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("path"), "text"), "ere")
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+def upsert_latest(spark, sf_dir):
+    e = model.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    return cp.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id", "event_type"], "event_id")
+
+
+@query(f"WITH {o.TURN} SELECT DISTINCT session FROM turn WHERE session NOT IN (SELECT session FROM turn WHERE NOT contains(text, 'est'))")
+def emptied_sessions(spark, sf_dir):
+    t = model.turns(spark, sf_dir)
+    return cp.emptied_sessions(t, t.where(~F.col("text").contains("est")))
+
+
+@query("WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT count(*) AS sessions, sum(n)::BIGINT AS excerpts, sum(ceil(n / 12))::BIGINT AS calls FROM n")
+def derive_plan(spark, sf_dir):
+    return cp.plan_calls(model.table(spark, sf_dir, "documents").select(F.col("source").alias("session")), 12)
+
+
+@query("SELECT verdict FROM (VALUES ('no current beliefs'), ('turns without passages')) v(verdict)")
+def store_verdicts(spark, sf_dir):
+    one = spark.createDataFrame([(10, 2, 8, 4, 0)], "turns long, sessions long, passages long, beliefs long, current_beliefs long")
+    return cp.store_verdicts(one)
+
+
+@query(f"WITH {_TRIPLES} SELECT p_partkey, {_VETO} AS veto, {_MEASURE} AS is_measurement, {_MOVING} AS is_moving_version FROM tri")
+def explain_gate(spark, sf_dir):
+    return cp.explain(_triples(spark, sf_dir)).select("p_partkey", "veto", "is_measurement", "is_moving_version")
+
+
+@query("""WITH f AS (SELECT p_partkey, p_brand || ' ' || p_type || ': ' || p_name AS fact FROM part) SELECT p_partkey, CASE WHEN length(fact) <= 40 THEN fact ELSE left(fact, 26) || ' … ' || right(fact, 14) END AS fact FROM f""")
+def fact_lines(spark, sf_dir):
+    p = model.table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("subject"), F.col("p_type").alias("relation"), F.col("p_name").alias("value"))
+    return cp.facts(p, 40).select("p_partkey", "fact")
+
+
+@query(f"""WITH t AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'nope' WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.250' ELSE '2024-03-09 00:00:00' END AS text FROM events)
+    SELECT event_id, CASE WHEN date_trunc('second', try_cast(text AS TIMESTAMP)) <= {o.NOW} + INTERVAL 1 DAY THEN date_trunc('second', try_cast(text AS TIMESTAMP)) END AS at FROM t""")
+def event_times(spark, sf_dir):
+    e = model.table(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 3 == 0, "nope").when(F.col("event_id") % 3 == 1, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".250"))).otherwise("2024-03-09 00:00:00")
+    return e.select("event_id", cp.event_time(text, model.now()).alias("at"))
+
+
+@query(f"""WITH {o.LOG}, a AS (SELECT prompt_id, belief_id, CASE WHEN belief_id % 97 = 0 THEN 1.5 ELSE p END AS p FROM log)
+    SELECT prompt_id, belief_id FROM a WHERE prompt_id NOT IN (SELECT prompt_id FROM a WHERE p > 1)""")
+def valid_scores(spark, sf_dir):
+    log = model.relevance_log(spark, sf_dir).withColumn("p", F.when(F.col("belief_id") % 97 == 0, 1.5).otherwise(F.col("p")))
+    return cp.valid_scores(log.select("prompt_id", "belief_id", "p")).select("prompt_id", "belief_id")
+
+
+@query(f"""WITH {o.LOG}, p AS (SELECT *, row_number() OVER (PARTITION BY prompt_id, pool ORDER BY p DESC, rank) AS place FROM log, (VALUES (5), (12)) v(pool) WHERE rank <= pool) SELECT DISTINCT prompt_id, belief_id FROM p WHERE place <= 4""")
+def needed_pairs(spark, sf_dir):
+    return cp.needed_pairs(model.relevance_log(spark, sf_dir), 4, [5, 12])
+
+
+@query("SELECT event_id AS id, 1 AS n, 'a' || event_id AS anchor, true AS keep, event_type AS subject, 'is' AS relation, user_id::VARCHAR AS value FROM events")
+def parsed_answers(spark, sf_dir):
+    e = model.table(spark, sf_dir, "events")
+    item = F.concat(F.lit('{"n": 1, "anchor": "a'), "event_id", F.lit('", "keep": true, "subject": "'), "event_type", F.lit('", "relation": "is", "value": "'), "user_id", F.lit('"}'))
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n["), item, F.lit("]\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("["), item, F.lit("]"))).otherwise(F.concat(F.lit("Here: "), item, F.lit(" and {broken")))
+    return cp.parsed_answers(e.select(F.col("event_id").alias("id"), text.alias("text")))
+
+
+@query("SELECT page_id AS run, '/tmp/' || page_id AS path FROM pages WHERE page_id % 3 = 1")
+def paths_out_of_copy(spark, sf_dir):
+    p = model.table(spark, sf_dir, "pages")
+    own = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit("/tmp/"), "page_id")).otherwise(F.concat(F.lit("/work/copy/"), "page_id"))
+    return cp.out_of_copy(p.select(F.col("page_id").alias("run"), F.array(own, F.lit("relative/x"), F.lit("/work/copy")).alias("args")), "/work/copy")
