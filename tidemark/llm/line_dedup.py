@@ -2,10 +2,17 @@
 
 Lines are sets of words. Words are ordered by rarity over all data; two sets whose Jaccard similarity reaches the
 threshold share one of the first n - ceil(t n) + 1 words of each. Those prefix words meet by shard; within a word's
-list, ordered by size, pairs pass the length filter, the positional filter (what follows the shared word must suffice
-for the overlap) and a parity filter (a 64-bit sketch bounds how many words differ from below; it never drops a true
-pair). What passes is verified on the full sets. A line goes if an earlier line, by (doc_id, line number), matches it,
-whether or not that one stays; equal lines match with no pair made of them.
+list pairs pass the length filter, the positional filter (what follows the shared word must suffice for the overlap)
+and a parity filter (a 128-bit sketch bounds how many words differ from below; it never drops a true pair). What passes
+is held against sketches four times as long and verified on the full sets, each line's closest candidate first and
+the others only if that one fails. A line goes if an earlier line, by (doc_id, line number), matches it, whether or not
+that one stays; equal lines match with no pair made of them.
+
+The question is only whether a line has an earlier match, so a word's list is walked from its earliest line on, and a
+line leaves the walk with ``earliest`` candidates, of which one whose sketch differs in half of what is allowed or
+less counts as a quarter of them all: a group of near copies costs a few pairs a line, not all pairs.
+A line that left with more to come, and none of whose candidates was verified, comes up in a second round, in which
+nothing is held back. So no match is lost.
 
 Rarity: counts over all data of the words that a partition holds ``floor`` times or more; of these the ``heavy`` most
 frequent, a fixed number, travel with the tasks as classes by the logarithm of their counts. Every other word ranks as
@@ -18,7 +25,6 @@ to the rule. Texts of any length are taken whole; empty tables give empty ones;
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -30,11 +36,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from ._common import WORD, cut, map_texts, read, shuffle_width, slices
+from ._common import WORD, cut, hold, map_texts, read, shuffle_width, slices
 
 _CLASS = np.uint64(59)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _FLUSH = 48 << 20
-_ROW = np.dtype([("word", "<u8"), ("line", "<i8"), ("size", "<u4"), ("place", "<u4"), ("sketch", "<u8")])
+#: A prefix word of a line on its way to its shard. The word's hash beyond what chose the shard is cut to 32 bits: words
+#: that clash there only make candidates. A size or place that doesn't fit is _MANY, for which no filter applies.
+_ROW = np.dtype([("word", "<u4"), ("line", "<i8"), ("doc", "<i8"), ("number", "<u4"), ("size", "<u2"), ("place", "<u2"), ("sketch", "<u8"), ("other", "<u8")])
+_MANY = 65535
+#: Sets travel to verification as the low 40 bits of their words' hashes.
+_FORTY = np.uint64((1 << 40) - 1)
+
+
+def _pack(rows: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+    """Rows column by column, in order of document, compressed."""
+    rows = rows[np.argsort(rows["doc"], kind="stable")]
+    return squeeze.compress(b"".join(np.ascontiguousarray(rows[f]).tobytes() for f in _ROW.names))
+
+
+def _unpack(packed: bytes, squeeze: zstandard.ZstdDecompressor) -> np.ndarray:
+    raw = squeeze.decompress(packed)
+    rows = np.empty(len(raw) // _ROW.itemsize, _ROW)
+    at = 0
+    for f in _ROW.names:
+        size = len(rows) * _ROW[f].itemsize
+        rows[f] = np.frombuffer(raw[at : at + size], _ROW[f])
+        at += size
+    return rows
+
 FILTER_BITS = 1 << 24
 
 
@@ -45,6 +75,7 @@ class Rule:
     num: int = 4
     den: int = 5
     min_words: int = 5
+    earliest: int = 32
     floor: int = 8
     heavy: int = 1 << 17
 
@@ -56,76 +87,152 @@ class Rule:
         return -((-self.num * (a + b)) // (self.num + self.den))
 
 
-def line_id(line: bytes) -> int:
-    return xxhash.xxh64_intdigest(line) - (1 << 63)
-
-
-def eligible(text: str | None, rule: Rule) -> Iterator[tuple[int, bytes, list[bytes]]]:
-    """(line number, line, words) of the lines that the rule applies to."""
-    for at, line in enumerate((text or "").encode().split(b"\n")):
-        words = line.split()
-        if len(words) >= rule.min_words:
-            yield at, line, words
-
-
-class WordCodes(dict):
-    """Words to 64-bit codes whose order is the rarity order: class of frequency first, then hash."""
-
-    def __init__(self, heavy: dict[int, int]):
-        super().__init__()
-        self.heavy = heavy
-
-    def __missing__(self, word: bytes) -> int:
-        code = xxhash.xxh64_intdigest(word) >> 5
-        code = self[word] = self.heavy.get(code, 0) << 59 | code
-        return code
-
-    def sets(self, lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct codes of each line, rarest first, end to end, and their numbers."""
-        if len(self) > 1_000_000:
-            self.clear()
-        size = np.fromiter(map(len, lines), np.int64, len(lines))
-        codes = np.fromiter((self[w] for line in lines for w in line), np.uint64, int(size.sum()))
+def graded(hashes: np.ndarray, heavy: np.ndarray, grade: np.ndarray) -> np.ndarray:
+    """Word hashes with their class of frequency on top."""
+    if not len(heavy):
+        return hashes
+    found = np.searchsorted(heavy, hashes)
+    found[found == len(heavy)] = 0
+    return hashes | np.where(heavy[found] == hashes, grade[found], 0).astype(np.uint64) << _CLASS
+
+
+_known_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64; kept for the next call."""
+    global _known_powers
+    if len(_known_powers[0]) < n:
+        size = max(n, 1 << 20)
+        both = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, x, np.uint64)))) for x in (_ODD, np.uint64(pow(int(_ODD), -1, 1 << 64)))]
+        _known_powers = (both[0], both[1])
+    return _known_powers
+
+
+class Lines:
+    """The lines of a list of UTF-8 texts and the hashes of their words, found by array operations over all bytes at once."""
+
+    def __init__(self, texts: list[bytes | None], rule: Rule):
+        encoded = [t or b"" for t in texts]
+        self.raw = b"\n".join(encoded)
+        byte = np.frombuffer(self.raw, np.uint8)
+        blank = (byte == 32) | ((byte >= 9) & (byte <= 13))
+        newline = byte == 10
+        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1 if len(byte) else np.empty(0, np.int64)
+        bounds = np.concatenate(([0] if len(byte) and not blank[0] else [], edge, [len(byte)] if len(byte) and not blank[-1] else [])).astype(np.int64)
+        start = bounds[0::2]
+        line = np.cumsum(newline, dtype=np.int32)[start] if len(start) else np.empty(0, np.int32)
+        at = np.flatnonzero(newline)
+        self.begin, self.end = np.append(0, at + 1), np.append(at, len(byte))
+        inner = np.fromiter((e.count(b"\n") + 1 for e in encoded), np.int64, len(encoded))
+        self.text = np.repeat(np.arange(len(encoded)), inner)
+        self.number = np.arange(len(self.begin)) - np.repeat(np.cumsum(inner) - inner, inner)
+        words = np.bincount(line, minlength=len(self.begin))
+        self.eligible = np.flatnonzero(words >= rule.min_words)
+        self._start, self._stop, self._line, self._byte = start, bounds[1::2], line, byte
+
+    def ids(self) -> np.ndarray:
+        """64-bit hashes of the eligible lines' bytes."""
+        digest, raw = xxhash.xxh64_intdigest, memoryview(self.raw)
+        spans = zip(self.begin[self.eligible].tolist(), self.end[self.eligible].tolist())
+        return np.fromiter((digest(raw[a:z]) for a, z in spans), np.uint64, len(self.eligible)).view(np.int64)
+
+    def bytes_of(self, chosen: np.ndarray) -> list[bytes]:
+        return [self.raw[a:z] for a, z in zip(self.begin[chosen].tolist(), self.end[chosen].tolist())]
+
+    def words(self) -> np.ndarray:
+        """59-bit hashes of all words in order."""
+        start, stop = self._start, self._stop
+        if not len(start):
+            return np.empty(0, np.uint64)
+        power, inverse = _powers(len(self._byte) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.cumsum(self._byte * power[: len(self._byte)])
+            sums = np.concatenate((np.zeros(1, np.uint64), sums))
+            sums = (sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            sums = (sums ^ (sums >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+            sums = (sums ^ (sums >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return (sums ^ (sums >> np.uint64(31))) >> np.uint64(5)
+
+    def having(self, test: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The lines with a word whose hash passes a test."""
+        return np.unique(self._line[test(self.words())])
+
+    def sets(self, chosen: np.ndarray, heavy: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct word codes of the chosen lines (ascending indexes), rarest first, end to end, and their numbers.
+
+        A code is a word's class of frequency (``heavy`` hashes, sorted, with their ``grade``; 0 for all others) over
+        its hash, so the order of codes is the order of rarity.
+        """
+        wanted = np.full(len(self.begin), -1, np.int64)
+        wanted[chosen] = np.arange(len(chosen))
+        codes, owner = self.words(), wanted[self._line]
+        codes, owner = codes[owner >= 0], owner[owner >= 0]
+        if not len(codes):
+            return codes, np.zeros(len(chosen), np.int64)
         order = np.argsort(codes)
         codes = codes[order]
-        rank = np.empty(len(codes), np.int64)
-        rank[order] = np.cumsum(np.concatenate(([0], codes[1:] != codes[:-1])))
-        values = codes[np.concatenate(([True], codes[1:] != codes[:-1]))]
-        key = np.repeat(np.arange(len(lines)), size) << 32 | rank
+        new = np.concatenate(([True], codes[1:] != codes[:-1]))
+        rank = np.cumsum(new) - 1
+        values = codes[new]
+        if len(heavy):
+            values = graded(values, heavy, grade)
+            by = np.argsort(values)
+            turn = np.empty(len(values), np.int64)
+            turn[by] = np.arange(len(values))
+            values, rank = values[by], turn[rank]
+        key = owner[order] << 32 | rank
         key.sort()
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-        return values[key & 0xFFFFFFFF], np.bincount(key >> 32, minlength=len(lines))
+        return values[key & 0xFFFFFFFF], np.bincount(key >> 32, minlength=len(chosen))
 
 
-def heavy_words(docs: DataFrame, rule: Rule) -> dict[int, int]:
-    """{hash: class} of at most ``rule.heavy`` frequent words; class 1 + log2(count), 31 at most."""
+def heavy_words(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, classes) of at most ``rule.heavy`` frequent words, by hash; class 1 + log2(count), 31 at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        word, total = np.empty(0, np.uint64), np.empty(0, np.int64)
+        held: list[np.ndarray] = []
+
+        def fold() -> tuple[np.ndarray, np.ndarray]:
+            every = np.concatenate(held)
+            every.sort()
+            edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+            both = np.concatenate((word, every[edge]))
+            sums = np.concatenate((total, np.diff(np.append(edge, len(every)))))
+            order = np.argsort(both, kind="stable")
+            both, sums = both[order], sums[order]
+            edge = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+            held.clear()
+            return both[edge], np.add.reduceat(sums, edge)
+
         for batch in batches:
             for part in slices(batch, 0):
-                for text in part.column(0).to_pylist():
-                    total.update((text or "").encode().split())
-        kept = [(xxhash.xxh64_intdigest(w) >> 5, n) for w, n in total.items() if n >= rule.floor]
-        if kept:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*kept)], names=["word", "n"])
+                if len(own := Lines(part.column(0).cast(pa.binary()).to_pylist(), rule).words()):
+                    held.append(own)
+                if sum(map(len, held)) > 4_000_000:
+                    word, total = fold()
+        if held:
+            word, total = fold()
+        often = total >= rule.floor
+        if often.any():
+            yield pa.RecordBatch.from_arrays([pa.array(word[often].view(np.int64)), pa.array(total[often])], names=["word", "n"])
 
     counts = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(rule.heavy)
-    return {r["word"]: min(31, r["n"].bit_length()) for r in top.collect()}
+    top = sorted((r["word"], min(31, r["n"].bit_length())) for r in counts.orderBy(F.desc("n"), "word").limit(rule.heavy).collect())
+    return np.array([w for w, _ in top], np.uint64), np.array([c for _, c in top], np.uint64)
 
 
-def _prefixes(docs: DataFrame, rule: Rule, heavy: dict[int, int], shards: int) -> DataFrame:
+def _prefixes(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray], shards: int) -> DataFrame:
     """(shard, rows): the prefix words of all distinct lines, packed by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordCodes(heavy)
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        squeeze = zstandard.ZstdCompressor(level=1)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = np.concatenate(held)
+            shard, rows = map(np.concatenate, zip(*held))
             held.clear()
-            shard = ((rows["word"] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)
             order = np.argsort(shard, kind="stable")
             shard, rows = shard[order], rows[order]
             start = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
@@ -133,89 +240,123 @@ def _prefixes(docs: DataFrame, rule: Rule, heavy: dict[int, int], shards: int) -
             for at in range(0, len(start), 64):
                 part = slice(at, at + 64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard[start[part]].astype(np.int32)), pa.array([rows[a:z].tobytes() for a, z in zip(start[part], stop[part])], pa.binary())],
+                    [pa.array(shard[start[part]].astype(np.int32)), pa.array([_pack(rows[a:z], squeeze) for a, z in zip(start[part], stop[part])], pa.binary())],
                     names=["shard", "rows"],
                 )
 
         for batch in batches:
-            for part in slices(batch, 0):
-                seen: dict[int, list[bytes]] = {}
-                for text in part.column(0).to_pylist():
-                    for _, line, words in eligible(text, rule):
-                        seen.setdefault(line_id(line), words)
-                if not seen:
+            for part in slices(batch, 1):
+                lines = Lines(part.column(1).cast(pa.binary()).to_pylist(), rule)
+                if not len(lines.eligible):
                     continue
-                codes, size = known.sets(list(seen.values()))
+                ids, doc = lines.ids(), part.column(0).to_numpy(zero_copy_only=False)[lines.text[lines.eligible]]
+                order = np.lexsort((lines.number[lines.eligible], doc, ids))  # a line stands for itself where it is earliest
+                once = np.sort(order[np.concatenate(([True], ids[order][1:] != ids[order][:-1]))])
+                ids = ids[once]
+                codes, size = lines.sets(lines.eligible[once], *heavy)
                 stop = np.cumsum(size)
                 start = stop - size
                 rows = np.empty(int((length := rule.prefix(size)).sum()), _ROW)
                 place = np.arange(len(rows)) - np.repeat(np.cumsum(length) - length, length)
-                rows["word"] = codes[np.repeat(start, length) + place]
-                rows["place"] = place
-                rows["size"] = np.repeat(size, length)
-                rows["line"] = np.repeat(np.fromiter(seen, np.int64, len(seen)), length)
-                bits = np.uint64(1) << (codes & np.uint64(63))
-                rows["sketch"] = np.repeat(np.bitwise_xor.reduceat(bits, start), length)
-                held.append(rows)
-                if sum(r.nbytes for r in held) > _FLUSH:
+                word = codes[np.repeat(start, length) + place] * _ODD
+                rows["word"] = word & np.uint64(0xFFFFFFFF)
+                rows["place"] = np.minimum(place, _MANY)
+                rows["size"] = np.repeat(np.minimum(size, _MANY), length)
+                rows["line"] = np.repeat(ids, length)
+                rows["doc"] = np.repeat(doc[once], length)
+                rows["number"] = np.repeat(lines.number[lines.eligible[once]], length)
+                bit, side = np.uint64(1) << (codes & np.uint64(63)), codes >> np.uint64(6) & np.uint64(1)
+                for half, name in ((0, "sketch"), (1, "other")):
+                    rows[name] = np.repeat(np.bitwise_xor.reduceat(np.where(side == half, bit, np.uint64(0)), start), length)
+                held.append(((word >> np.uint64(32)) % np.uint64(shards), rows))
+                if sum(r.nbytes for _, r in held) > _FLUSH:
                     yield from flush()
         if held:
             yield from flush()
 
-    return docs.select("text").mapInArrow(run, "shard int, rows binary")
-
-
-def _meet(rows: np.ndarray, rule: Rule) -> np.ndarray:
-    """Candidate pairs (lesser line id, greater) among the prefix rows of one shard."""
-    rows = rows[np.lexsort((rows["line"], rows["word"]))]
-    same = (rows["word"][1:] == rows["word"][:-1]) & (rows["line"][1:] == rows["line"][:-1])
-    rows = rows[np.concatenate(([True], ~same))]  # one line from several partitions
-    rows = rows[np.lexsort((rows["size"], rows["word"]))]
-    word, line, size, sketch = rows["word"], rows["line"], rows["size"].astype(np.int64), rows["sketch"]
-    rest = size - rows["place"]
-    found = []
-    live = np.arange(len(rows) - 1)
-    step = 1
-    while len(live):  # each row meets the next, the one after, ... until its word or its length window ends
-        other = live + step
-        go = other < len(rows)
-        live, other = live[go], other[go]
-        go = (word[live] == word[other]) & (rule.num * size[other] <= rule.den * size[live])
+    return docs.select("doc_id", "text").mapInArrow(run, "shard int, rows binary")
+
+
+def _meet(rows: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates among the prefix rows of one shard: line, earlier line, -1; and for every line that left a list's walk
+    early: line, -1, the word's cut hash."""
+    rank = np.empty(len(rows), np.int64)
+    rank[_by_place(rows["doc"], rows["number"])] = np.arange(len(rows))
+    rows = rows[np.argsort(rows["word"].astype(np.uint64) << np.uint64(32) | rank.astype(np.uint64))]
+    same = rows["line"].astype(np.uint64) * _ODD ^ (rows["word"] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    rows = rows[np.sort(np.unique(same, return_index=True)[1])]  # a line of several partitions stands where it is earliest
+    word, line, size, sketch, more = (np.ascontiguousarray(rows[c]) for c in ("word", "line", "size", "sketch", "other"))
+    size = size.astype(np.int64)
+    rest = np.where(size == _MANY, 1 << 60, size - rows["place"])
+    start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    first = np.repeat(start, np.diff(np.append(start, len(word))))
+    hits = np.zeros(len(rows), np.int64)
+    live = np.flatnonzero(first < np.arange(len(rows)))
+    found, step, strong = [], 0, max(1, rule.earliest // 4)
+    while len(live):  # every line meets the earliest of its word's list, then the next, up to itself
+        other = first[live] + step
+        go = other < live
         live, other = live[go], other[go]
-        need = rule.overlap(size[live], size[other])
-        good = (np.minimum(rest[live], rest[other]) >= need) & (np.bitwise_count(sketch[live] ^ sketch[other]) <= size[live] + size[other] - 2 * need)
-        a, b = line[live[good]], line[other[good]]
-        found.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
+        a, b = size[live], size[other]
+        fit = np.flatnonzero((rule.num * np.maximum(a, b) <= rule.den * np.minimum(a, b)) | (np.maximum(a, b) == _MANY))
+        at, to, a, b = live[fit], other[fit], a[fit], b[fit]
+        need, many = rule.overlap(a, b), np.maximum(a, b) == _MANY
+        fit = np.flatnonzero(many | (np.minimum(rest[at], rest[to]) >= need))
+        at, to, may, many = at[fit], to[fit], (a + b - 2 * need)[fit], many[fit]
+        apart = np.bitwise_count(sketch[at] ^ sketch[to]).astype(np.int64) + np.bitwise_count(more[at] ^ more[to])
+        good = many | (apart <= may)
+        met = at[good]
+        found.append((met, to[good]))
+        hits[met] += np.where(2 * apart <= may, strong, 1)[good]
+        live = live[hits[live] < rule.earliest]
         step += 1
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+    if not found:
+        return (np.empty(0, np.int64),) * 3
+    at, other = map(np.concatenate, zip(*found))
+    pairs = np.unique(np.stack((line[at], line[other]), axis=1), axis=0)
+    early = np.flatnonzero(hits >= rule.earliest)
+    none = np.full(max(len(pairs), len(early)), -1)
+    return np.append(pairs[:, 0], line[early]), np.append(pairs[:, 1], none[: len(early)]), np.append(none[: len(pairs)], word[early])
 
 
-def candidates(docs: DataFrame, rule: Rule, shards_per_task: int = 4) -> DataFrame:
-    """(a, b): distinct pairs of line ids that pass all filters."""
-    spark = docs.sparkSession
-    shards = shards_per_task * shuffle_width(spark)
-    packed = _prefixes(docs, rule, heavy_words(docs, rule), shards)
-    packed = packed.repartition(shuffle_width(spark), "shard").sortWithinPartitions("shard")
+def _by_place(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The order of (doc, number); by one key where both fit into it."""
+    low, wide = int(doc.min(initial=0)), int(number.max(initial=0)) + 1
+    if (int(doc.max(initial=0)) - low + 1) * wide < 1 << 62:
+        return np.argsort((doc - low) * wide + number)
+    return np.lexsort((number, doc))
+
+
+def _held(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    place = ids % FILTER_BITS
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _candidates(packed: DataFrame, rule: Rule) -> DataFrame:
+    """(line, earlier, list): pairs that pass all filters, once each, list null; and the lists that a line left early,
+    earlier null."""
+    packed = packed.repartition(shuffle_width(packed.sparkSession), "shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
+        squeeze = zstandard.ZstdDecompressor()
+        held: list[np.ndarray] = []
         now = None
 
         def solve() -> pa.RecordBatch:
-            pairs = _meet(np.frombuffer(b"".join(held), _ROW), rule)
+            line, earlier, word = _meet(np.concatenate(held), rule)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(line), pa.array(earlier, mask=word >= 0), pa.array(now << 32 | word, mask=word < 0)], names=["line", "earlier", "list"])
 
         for batch in batches:
             for shard, rows in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and shard != now:
                     yield solve()
                 now = shard
-                held.append(rows)
+                held.append(_unpack(rows, squeeze))
         if held:
             yield solve()
 
-    return packed.mapInArrow(run, "a long, b long").distinct()
+    return packed.mapInArrow(run, "line long, earlier long, list long").distinct()
 
 
 def _filter_of(ids: DataFrame, column: str) -> bytes:
@@ -229,77 +370,177 @@ def _filter_of(ids: DataFrame, column: str) -> bytes:
     return out.tobytes()
 
 
-def _occurrences(docs: DataFrame, rule: Rule, heavy: dict[int, int], flagged: bytes) -> DataFrame:
-    """(doc_id, key, line_no, line, codes) of all eligible lines; codes only where the filter may hold the line."""
+def _sketches(codes: np.ndarray, size: np.ndarray) -> list[list[int]]:
+    """For each set the parities of eight groups of 64 of its hashes. The bits used are the same with any class on top."""
+    out = np.zeros(len(size) * 8, np.uint64)
+    np.bitwise_xor.at(out, np.repeat(np.arange(len(size)), size) * 8 + (codes >> np.uint64(6) & np.uint64(7)).astype(np.int64), np.uint64(1) << (codes & np.uint64(63)))
+    return out.view(np.int64).reshape(-1, 8).tolist()
+
+
+def _occurrences(docs: DataFrame, rule: Rule, flagged: bytes) -> DataFrame:
+    """(doc_id, key, line_no, line, codes, sketch) of all eligible lines; codes and sketch only where the filter may hold
+    the line. A sketch has the parities of eight groups of 64."""
+    none = np.empty(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordCodes(heavy)
         bitmap = np.frombuffer(flagged, np.uint8)
         for batch in batches:
             for part in slices(batch, 1):
-                doc, key, number, ids, bags = [], [], [], [], []
-                for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    k = xxhash.xxh64_intdigest((text or "").encode()) - (1 << 63)
-                    for at, line, words in eligible(text, rule):
-                        doc.append(d)
-                        key.append(k)
-                        number.append(at)
-                        ids.append(line_id(line))
-                        bags.append(words)
-                if not ids:
+                texts = part.column(1).cast(pa.binary()).to_pylist()
+                lines = Lines(texts, rule)
+                own = lines.eligible
+                if not len(own):
                     continue
-                place = np.array(ids, np.int64) % FILTER_BITS
-                hit = np.flatnonzero(bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).tolist()
-                sets: list[bytes | None] = [None] * len(ids)
-                if hit:
-                    codes, size = known.sets([bags[i] for i in hit])
-                    stop = np.cumsum(size)
-                    for i, a, z in zip(hit, (stop - size).tolist(), stop.tolist()):
-                        sets[i] = np.sort(codes[a:z]).tobytes()
+                keys = np.fromiter((xxhash.xxh64_intdigest(t or b"") for t in texts), np.uint64, len(texts)).view(np.int64)
+                ids = lines.ids()
+                hit = np.flatnonzero(_held(bitmap, ids))
+                codes, size = Lines(lines.bytes_of(own[hit]), rule).sets(np.arange(len(hit)), none, none)
+                stop = np.cumsum(size)
+                sets: list[bytes | None] = [None] * len(own)
+                sketches: list[list | None] = [None] * len(own)
+                for i, bits in zip(hit.tolist(), _sketches(codes, size)):
+                    sketches[i] = bits
+                raw = np.ascontiguousarray((codes & _FORTY).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+                for i, a, z in zip(hit.tolist(), (stop - size).tolist(), stop.tolist()):
+                    sets[i] = raw[a * 5 : z * 5]
+                text = lines.text[own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(number, pa.int32()), pa.array(ids, pa.int64()), pa.array(sets, pa.binary())],
-                    names=["doc_id", "key", "line_no", "line", "codes"],
+                    [part.column(0).take(pa.array(text)), pa.array(keys[text]), pa.array(lines.number[own].astype(np.int32)), pa.array(ids), pa.array(sets, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))],
+                    names=["doc_id", "key", "line_no", "line", "codes", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, line_no int, line long, codes binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, line_no int, line long, codes binary, sketch array<long>")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b) of the pairs whose full sets reach the threshold."""
-    sets = lines.where("codes is not null").groupBy("line").agg(F.first("codes").alias("codes"))
-    both = pairs.join(sets.withColumnsRenamed({"line": "a", "codes": "x"}), "a").join(sets.withColumnsRenamed({"line": "b", "codes": "y"}), "b")
+def _lists(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray], shards: int, wanted: bytes) -> DataFrame:
+    """(list, line, doc_id, line_no, codes, sketch): the members of the word lists that a bitmap may hold. Only lines with
+    a word of such a list are taken further than their words' hashes."""
+
+    def named(codes: np.ndarray) -> np.ndarray:
+        word = codes * _ODD
+        return ((word >> np.uint64(32)) % np.uint64(shards) << np.uint64(32) | word & np.uint64(0xFFFFFFFF)).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(wanted, np.uint8)
+        for batch in batches:
+            for part in slices(batch, 1):
+                lines = Lines(part.column(1).cast(pa.binary()).to_pylist(), rule)
+                if not len(lines.eligible):
+                    continue
+                own = np.intersect1d(lines.eligible, lines.having(lambda words: _held(bitmap, named(graded(words, *heavy)))))
+                if not len(own):
+                    continue
+                few = Lines(lines.bytes_of(own), rule)
+                codes, size = few.sets(np.arange(len(own)), *heavy)
+                stop = np.cumsum(size)
+                length = rule.prefix(size)
+                owner = np.repeat(np.arange(len(size)), length)
+                name = named(codes[np.repeat(stop - size, length) + np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)])
+                hit = _held(bitmap, name)
+                name, owner = name[hit], owner[hit]
+                raw = np.ascontiguousarray((codes & _FORTY).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+                sets = [raw[int(z - n) * 5 : int(z) * 5] for n, z in zip(size, stop)]
+                sketches = _sketches(codes, size)
+                columns = [
+                    pa.array(name),
+                    pa.array(few.ids()[owner]),
+                    part.column(0).take(pa.array(lines.text[own[owner]])),
+                    pa.array(lines.number[own[owner]].astype(np.int32)),
+                    pa.array([sets[k] for k in owner.tolist()], pa.binary()),
+                    pa.array([sketches[k] for k in owner.tolist()], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["list", "line", "doc_id", "line_no", "codes", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "list long, line long, doc_id long, line_no int, codes binary, sketch array<long>")
+
+
+def _verified(pairs: DataFrame, rule: Rule) -> DataFrame:
+    """(line) of the rows (line, x, y) whose sets x and y reach the threshold; a line may come up more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                good.append(rule.den * shared >= rule.num * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                both = np.zeros((len(x) + len(y)) // 5, np.uint64)
+                both.view(np.uint8).reshape(-1, 8)[:, :5] = np.frombuffer(x + y, np.uint8).reshape(-1, 5)
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                good.append(rule.den * shared >= rule.num * (len(both) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["line"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.select("line", "x", "y").mapInArrow(run, "line long")
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
+def _close(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(line, earlier, apart): the pairs whose long sketches allow the threshold."""
+    short = sets.select("line", F.expr("length(codes) DIV 5").alias("n"), "sketch")
+    both = pairs.select("line", "earlier").join(short.withColumnsRenamed({"n": "a", "sketch": "x"}), "line")
+    both = both.join(short.withColumnsRenamed({"line": "earlier", "n": "b", "sketch": "y"}), "earlier")
+    return both.withColumn("apart", F.expr(_APART)).where(_may(rule)).select("line", "earlier", "apart")
 
-def removed_lines(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+
+_APART = "aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+
+
+def _may(rule: Rule) -> str:
+    """Whether sets of a and b words with long sketches x and y may reach the threshold."""
+    allowed = f"a + b + 2 * ((-{rule.num} * (a + b) - {rule.num + rule.den - 1}) DIV {rule.num + rule.den})"
+    return f"{rule.num} * greatest(a, b) <= {rule.den} * least(a, b) AND {_APART} <= {allowed}"
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    own = sets.select("line", "codes")
+    return pairs.join(own.withColumnsRenamed({"codes": "x"}), "line").join(own.withColumnsRenamed({"line": "earlier", "codes": "y"}), "earlier")
+
+
+def removed_lines(docs: DataFrame, rule: Rule = Rule(), shards_per_task: int = 4) -> DataFrame:
     """(doc_id, key, gone array<int>): the line numbers to remove, for rows that lose any; key is the text's hash."""
-    ship_package(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_package(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    pairs = cut(candidates(docs, rule), "lines-candidates")
-    ends = pairs.select(F.col("a").alias("line")).union(pairs.select("b"))
-    lines = cut(_occurrences(docs, rule, {}, _filter_of(ends, "line")), "lines-all")
+    heavy, shards = heavy_words(docs, rule), shards_per_task * shuffle_width(spark)
+    found = cut(_candidates(_prefixes(docs, rule, heavy, shards), rule), "lines-candidates")
+    pairs = found.where("earlier is not null").select("line", "earlier")
+    lines = hold(_occurrences(docs, rule, _filter_of(_ends(pairs), "line")))
+    lines.count()  # once, before plans read it from two sides at the same time
+    sets = cut(lines.where("codes is not null").groupBy("line").agg(F.first("codes").alias("codes"), F.first("sketch").alias("sketch")), "lines-sets")
+    near = cut(_close(pairs, sets, rule), "lines-close")
+    closest = near.groupBy("line").agg(F.min(F.struct("apart", "earlier"))["earlier"].alias("earlier"))
+    known = cut(_verified(_with_sets(closest, sets), rule), "lines-matched")
+    others = near.join(known, "line", "left_anti")
+    known = cut(known.union(_verified(_with_sets(others, sets), rule)).distinct(), "lines-known")
+    left = cut(found.where("list is not null").select("line", "list").join(known, "line", "left_anti"), "lines-open")
+    if not left.isEmpty():
+        members = _lists(docs, rule, heavy, shards, _filter_of(left.select("list").distinct(), "list"))
+        members = cut(members.join(left.select("list").distinct(), "list", "left_semi").withColumn("n", F.expr("length(codes) DIV 5")), "lines-lists")
+        at = F.struct("doc_id", "line_no")
+        own = F.min(F.struct("doc_id", "line_no", "codes", "sketch", "n")).alias("own")  # a line stands where it is earliest
+        asking = members.join(left, ["list", "line"], "left_semi").groupBy("list", "line").agg(own)
+        asking = asking.select("list", "line", F.struct("own.doc_id", "own.line_no").alias("at"), F.col("own.codes").alias("cx"), F.col("own.sketch").alias("x"), F.col("own.n").alias("a"))
+        asked = members.select(F.col("list").alias("in"), F.col("line").alias("earlier"), at.alias("before"), F.col("codes").alias("cy"), F.col("sketch").alias("y"), F.col("n").alias("b"))
+        meet = (F.col("list") == F.col("in")) & (F.col("before") < F.col("at")) & (F.col("line") != F.col("earlier")) & F.expr(_may(rule))
+        more = asking.join(asked, meet).groupBy("line", "earlier").agg(F.first("cx").alias("x"), F.first("cy").alias("y"))
+        known = known.union(_verified(more, rule)).distinct()
     place = F.struct("doc_id", "key", "line_no")
     first = lines.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    match = cut(_verified(pairs, lines, rule), "lines-matches")
-    match = match.union(match.select("b", "a")).toDF("line", "other")
-    near = match.join(first.select(F.col("line").alias("other"), "first"), "other").groupBy("line").agg(F.min("first").alias("near"))
-    bound = first.join(near, "line", "left").select("line", "last", F.least("first", "near").alias("bound")).where("last > bound").select("line", "bound")
-    gone = lines.select("line", "doc_id", "key", "line_no").join(bound, "line").where(place > F.col("bound"))
+    bound = first.join(known.withColumn("all", F.lit(True)), "line", "left").where("all or last > first").select("line", "first", "all")
+    gone = lines.select("line", "doc_id", "key", "line_no").join(bound, "line").where(F.col("all") | (place > F.col("first")))
     return gone.groupBy("doc_id", "key").agg(F.collect_set("line_no").alias("gone"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("line").union(pairs.select("earlier"))
+
+
 def dedup_lines(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """All rows and columns of ``docs`` with the removed lines cut from text, and n_lines_removed."""
+    """All rows and columns of ``docs`` with the removed lines cut from text, and n_lines_removed (in place of a column of
+    that name)."""
+    left = _deduped(docs, rule)
+    return left.select(*[c for c in docs.columns if c != "n_lines_removed"], F.col("__lost").alias("n_lines_removed"))
+
+
+def _deduped(docs: DataFrame, rule: Rule) -> DataFrame:
+    """``docs`` without removed lines, and __lost, how many went."""
     gone = removed_lines(docs, rule)
     own = [c for c in docs.columns if c != "text"]
     carried = docs.select(F.struct(*own).alias("__own"), F.col("doc_id").cast("long").alias("__doc"), "text")
@@ -309,7 +550,7 @@ def dedup_lines(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
         def run(texts: list) -> dict:
             raw = [t.encode() if t is not None else None for t in texts]
-            keys = [xxhash.xxh64_intdigest(r or b"") - (1 << 63) for r in raw]
+            keys = np.fromiter((xxhash.xxh64_intdigest(r or b"") for r in raw), np.uint64, len(raw)).view(np.int64)
             return {"__key": keys, "__packed": [squeeze.compress(r) if r is not None else None for r in raw]}
 
         return run
@@ -317,7 +558,7 @@ def dedup_lines(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     packed = map_texts(carried, ("__own", "__doc"), make, "__key long, __packed binary")
     gone = gone.withColumnsRenamed({"doc_id": "__doc", "key": "__key", "gone": "__gone"})
     joined = packed.join(gone, ["__doc", "__key"], "left").select("__own", "__packed", "__gone")
-    schema = joined.select("__own").schema.add("text", "string").add("n_lines_removed", "long")
+    schema = joined.select("__own").schema.add("text", "string").add("__lost", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdDecompressor()
@@ -331,16 +572,16 @@ def dedup_lines(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
                         text = "\n".join(line for at, line in enumerate(text.split("\n")) if at not in lost)
                     texts.append(text)
                     counts.append(len(lost or ()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["__own", "text", "n_lines_removed"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["__own", "text", "__lost"])
 
     made = joined.mapInArrow(run, schema)
-    return made.select(*[F.col("text") if c == "text" else F.col("__own")[c].alias(c) for c in docs.columns], "n_lines_removed")
+    return made.select(*[F.col("text") if c == "text" else F.col("__own")[c].alias(c) for c in docs.columns], "__lost")
 
 
 def keep_first_lines(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """``docs`` without later matches of lines, same columns; a document that loses its last word goes as a whole."""
-    left = dedup_lines(docs, rule)
-    return left.where((F.col("n_lines_removed") == 0) | F.col("text").rlike(WORD)).select(*docs.columns)
+    left = _deduped(docs, rule)
+    return left.where((F.col("__lost") == 0) | F.col("text").rlike(WORD)).select(*docs.columns)
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
