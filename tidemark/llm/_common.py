@@ -20,7 +20,7 @@ from ..session import ship_package
 WORD = r"[^\x20\x09-\x0D]+"
 _BLANKS = " \t\n\v\f\r"
 #: A Python call handles at most about this much text at once, however large the Arrow batch is.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SLICE_ROWS = 2048
 
 
@@ -55,8 +55,8 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that no piece but a single long row holds over SLICE_BYTES of text or SLICE_ROWS rows."""
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that no piece but a single long row holds over ``most`` bytes of text or SLICE_ROWS rows."""
     n = batch.num_rows
     if not n:
         return
@@ -65,7 +65,7 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     at = 0
     while at < n:
         done = total[at - 1] if at else 0
-        end = int(np.searchsorted(total, done + SLICE_BYTES, side="right"))
+        end = int(np.searchsorted(total, done + most, side="right"))
         end = min(max(end, at + 1), at + SLICE_ROWS, n)
         yield batch.slice(at, end - at)
         at = end
@@ -77,6 +77,7 @@ def map_texts(
     make: Callable[[], Callable[[list], dict]],
     added: str,
     text: str = "text",
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Keep columns ``keep`` and add what ``make()`` computes for lists of texts (None where null), in the order of ``added``."""
     fields = T._parse_datatype_string(added)
@@ -90,7 +91,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            for part in slices(batch, position):
+            for part in slices(batch, position, slice_bytes):
                 made = compute(part.column(position).to_pylist())
                 columns = [part.column(i) for i in range(position)]
                 columns += [made[f] if isinstance(made[f], pa.Array) else pa.array(made[f], type=t) for f, t in kinds]

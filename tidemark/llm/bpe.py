@@ -30,6 +30,7 @@ from ._common import map_texts
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 _NEVER = np.int32(2**31 - 1)
+_SLICE = 4 << 20  # one index serves so much text; each active rank costs some numpy calls an index
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -220,7 +221,7 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_i
 
         return run
 
-    return map_texts(docs, keep, make, "n_tokens long, ids array<int>")
+    return map_texts(docs, keep, make, "n_tokens long, ids array<int>", slice_bytes=_SLICE)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -258,7 +259,7 @@ def encode_digest(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] =
 
         return run
 
-    return map_texts(docs, keep, make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, keep, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", slice_bytes=_SLICE)
 
 
 def _file(path: str) -> bytes:
