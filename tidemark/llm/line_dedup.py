@@ -10,7 +10,7 @@ that one stays; equal lines match with no pair made of them.
 
 The question is only whether a line has an earlier match, so a word's list is walked from its earliest line on, and a
 line leaves the walk with ``earliest`` candidates, of which one whose sketch differs in half of what is allowed or
-less counts as a quarter of them all: a group of near copies costs a few pairs a line, not all pairs.
+less counts as half of them all: a group of near copies costs a few pairs a line, not all pairs.
 A line that left with more to come, and none of whose candidates was verified, comes up in a second round, in which
 nothing is held back. So no match is lost.
 
@@ -39,8 +39,9 @@ from ..session import ship_package
 from ._common import WORD, cut, hold, map_texts, read, shuffle_width, slices
 
 _CLASS = np.uint64(59)
+_HASH = np.uint64((1 << 59) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_FLUSH = 48 << 20
+_FLUSH = 16 << 20
 #: A prefix word of a line on its way to its shard. The word's hash beyond what chose the shard is cut to 32 bits: words
 #: that clash there only make candidates. A size or place that doesn't fit is _MANY, for which no filter applies.
 _ROW = np.dtype([("word", "<u4"), ("line", "<i8"), ("doc", "<i8"), ("number", "<u4"), ("size", "<u2"), ("place", "<u2"), ("sketch", "<u8"), ("other", "<u8")])
@@ -75,7 +76,7 @@ class Rule:
     num: int = 4
     den: int = 5
     min_words: int = 5
-    earliest: int = 32
+    earliest: int = 256
     floor: int = 8
     heavy: int = 1 << 17
 
@@ -103,7 +104,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number and of its inverse, modulo 2^64; kept for the next call."""
     global _known_powers
     if len(_known_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 3 << 19)
         both = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, x, np.uint64)))) for x in (_ODD, np.uint64(pow(int(_ODD), -1, 1 << 64)))]
         _known_powers = (both[0], both[1])
     return _known_powers
@@ -210,7 +211,7 @@ def heavy_words(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
             for part in slices(batch, 0):
                 if len(own := Lines(part.column(0).cast(pa.binary()).to_pylist(), rule).words()):
                     held.append(own)
-                if sum(map(len, held)) > 4_000_000:
+                if sum(map(len, held)) > 1_000_000:
                     word, total = fold()
         if held:
             word, total = fold()
@@ -258,7 +259,7 @@ def _prefixes(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray],
                 start = stop - size
                 rows = np.empty(int((length := rule.prefix(size)).sum()), _ROW)
                 place = np.arange(len(rows)) - np.repeat(np.cumsum(length) - length, length)
-                word = codes[np.repeat(start, length) + place] * _ODD
+                word = (codes[np.repeat(start, length) + place] & _HASH) * _ODD
                 rows["word"] = word & np.uint64(0xFFFFFFFF)
                 rows["place"] = np.minimum(place, _MANY)
                 rows["size"] = np.repeat(np.minimum(size, _MANY), length)
@@ -292,7 +293,7 @@ def _meet(rows: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndar
     first = np.repeat(start, np.diff(np.append(start, len(word))))
     hits = np.zeros(len(rows), np.int64)
     live = np.flatnonzero(first < np.arange(len(rows)))
-    found, step, strong = [], 0, max(1, rule.earliest // 4)
+    found, step, strong = [], 0, max(1, rule.earliest // 2)
     while len(live):  # every line meets the earliest of its word's list, then the next, up to itself
         other = first[live] + step
         go = other < live
@@ -417,7 +418,7 @@ def _lists(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray], sh
     a word of such a list are taken further than their words' hashes."""
 
     def named(codes: np.ndarray) -> np.ndarray:
-        word = codes * _ODD
+        word = (codes & _HASH) * _ODD
         return ((word >> np.uint64(32)) % np.uint64(shards) << np.uint64(32) | word & np.uint64(0xFFFFFFFF)).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,7 +428,7 @@ def _lists(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray], sh
                 lines = Lines(part.column(1).cast(pa.binary()).to_pylist(), rule)
                 if not len(lines.eligible):
                     continue
-                own = np.intersect1d(lines.eligible, lines.having(lambda words: _held(bitmap, named(graded(words, *heavy)))))
+                own = np.intersect1d(lines.eligible, lines.having(lambda words: _held(bitmap, named(words))))
                 if not len(own):
                     continue
                 few = Lines(lines.bytes_of(own), rule)
