@@ -201,7 +201,7 @@ def heavy_words(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
             edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
             both = np.concatenate((word, every[edge]))
             sums = np.concatenate((total, np.diff(np.append(edge, len(every)))))
-            order = np.argsort(both, kind="stable")
+            order = np.argsort(both)
             both, sums = both[order], sums[order]
             edge = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
             held.clear()
@@ -211,7 +211,7 @@ def heavy_words(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
             for part in slices(batch, 0):
                 if len(own := Lines(part.column(0).cast(pa.binary()).to_pylist(), rule).words()):
                     held.append(own)
-                if sum(map(len, held)) > 1_000_000:
+                if sum(map(len, held)) > 3_000_000:
                     word, total = fold()
         if held:
             word, total = fold()
@@ -285,7 +285,9 @@ def _meet(rows: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndar
     rank[_by_place(rows["doc"], rows["number"])] = np.arange(len(rows))
     rows = rows[np.argsort(rows["word"].astype(np.uint64) << np.uint64(32) | rank.astype(np.uint64))]
     same = rows["line"].astype(np.uint64) * _ODD ^ (rows["word"] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    rows = rows[np.sort(np.unique(same, return_index=True)[1])]  # a line of several partitions stands where it is earliest
+    order = np.argsort(same)
+    edge = np.flatnonzero(np.concatenate(([True], same[order][1:] != same[order][:-1])))
+    rows = rows[np.sort(np.minimum.reduceat(order, edge))]  # a line of several partitions stands where it is earliest
     word, line, size, sketch, more = (np.ascontiguousarray(rows[c]) for c in ("word", "line", "size", "sketch", "other"))
     size = size.astype(np.int64)
     rest = np.where(size == _MANY, 1 << 60, size - rows["place"])
