@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from ._common import WORD, cut, hold, map_texts, read, shuffle_width, slices
+from ._common import WORD, hold, map_texts, read, shuffle_width, slices
 
 _CLASS = np.uint64(59)
 _HASH = np.uint64((1 << 59) - 1)
@@ -496,26 +496,32 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(own.withColumnsRenamed({"codes": "x"}), "line").join(own.withColumnsRenamed({"line": "earlier", "codes": "y"}), "earlier")
 
 
+def _made(df: DataFrame) -> DataFrame:
+    """df, held on executors' disks and made now, once, before plans read it from two sides at the same time."""
+    df = hold(df)
+    df.count()
+    return df
+
+
 def removed_lines(docs: DataFrame, rule: Rule = Rule(), shards_per_task: int = 4) -> DataFrame:
     """(doc_id, key, gone array<int>): the line numbers to remove, for rows that lose any; key is the text's hash."""
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     heavy, shards = heavy_words(docs, rule), shards_per_task * shuffle_width(spark)
-    found = cut(_candidates(_prefixes(docs, rule, heavy, shards), rule), "lines-candidates")
+    found = _made(_candidates(_prefixes(docs, rule, heavy, shards), rule))
     pairs = found.where("earlier is not null").select("line", "earlier")
-    lines = hold(_occurrences(docs, rule, _filter_of(_ends(pairs), "line")))
-    lines.count()  # once, before plans read it from two sides at the same time
-    sets = cut(lines.where("codes is not null").groupBy("line").agg(F.first("codes").alias("codes"), F.first("sketch").alias("sketch")), "lines-sets")
-    near = cut(_close(pairs, sets, rule), "lines-close")
+    lines = _made(_occurrences(docs, rule, _filter_of(_ends(pairs), "line")))
+    sets = _made(lines.where("codes is not null").groupBy("line").agg(F.first("codes").alias("codes"), F.first("sketch").alias("sketch")))
+    near = _made(_close(pairs, sets, rule))
     closest = near.groupBy("line").agg(F.min(F.struct("apart", "earlier"))["earlier"].alias("earlier"))
-    known = cut(_verified(_with_sets(closest, sets), rule), "lines-matched")
+    known = _made(_verified(_with_sets(closest, sets), rule))
     others = near.join(known, "line", "left_anti")
-    known = cut(known.union(_verified(_with_sets(others, sets), rule)).distinct(), "lines-known")
-    left = cut(found.where("list is not null").select("line", "list").join(known, "line", "left_anti"), "lines-open")
+    known = _made(known.union(_verified(_with_sets(others, sets), rule)).distinct())
+    left = _made(found.where("list is not null").select("line", "list").join(known, "line", "left_anti"))
     if not left.isEmpty():
         members = _lists(docs, rule, heavy, shards, _filter_of(left.select("list").distinct(), "list"))
-        members = cut(members.join(left.select("list").distinct(), "list", "left_semi").withColumn("n", F.expr("length(codes) DIV 5")), "lines-lists")
+        members = _made(members.join(left.select("list").distinct(), "list", "left_semi").withColumn("n", F.expr("length(codes) DIV 5")))
         at = F.struct("doc_id", "line_no")
         own = F.min(F.struct("doc_id", "line_no", "codes", "sketch", "n")).alias("own")  # a line stands where it is earliest
         asking = members.join(left, ["list", "line"], "left_semi").groupBy("list", "line").agg(own)
