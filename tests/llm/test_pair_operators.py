@@ -96,6 +96,34 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def shingle_sets(docs: dict[int, str]) -> dict[int, frozenset]:
+    words = {d: t.encode().lower().split() for d, t in docs.items()}
+    return {d: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for d, w in words.items()}
+
+
+@pytest.mark.parametrize("n_words", [3, 12, 150])
+def test_keep_one_against_brute_force_jaccard(spark, n_words):
+    rng = random.Random(n_words)
+    docs, loose = {}, 0
+    for d in range(160):
+        words = [f"W{rng.randrange(4000)}" for _ in range(n_words)]
+        if d > 10 and rng.random() < 0.7:
+            words = docs[rng.randrange(d)].split()
+            for _ in range(rng.randint(0, max(1, n_words // 40))):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(4000)}"
+        docs[d] = rng.choice([" ", "\n", "\t "]).join(words)
+    sets = shingle_sets(docs)
+    gone = set()
+    for b in docs:
+        for a in range(b):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                gone.add(b)
+                loose += (simhash.fingerprint(docs[a], 5) ^ simhash.fingerprint(docs[b], 5)).bit_count() > 3
+    assert gone and (loose or n_words < 150)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    assert {r.doc_id for r in simhash.keep_one(frame).collect()} == set(docs) - gone
+
+
 # -- lines --------------------------------------------------------------------------------------------------------
 def plain_lines(docs: dict[int, str], least: int = 5) -> dict[int, str]:
     """Words of lines meet through an inverted list; a line goes if any earlier one has Jaccard 0.8 or more."""

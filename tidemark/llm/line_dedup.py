@@ -71,7 +71,11 @@ FILTER_BITS = 1 << 24
 
 @dataclass(frozen=True)
 class Rule:
-    """Jaccard threshold num / den; lines under min_words words are left alone."""
+    """Jaccard threshold num / den; lines under min_words words are left alone.
+
+    With ``shingle`` a whole text, A-Z lower-cased, is one line, and its members are runs of so many words (of all its
+    words, if they are fewer). ``sample``: one text of so many is counted for rarity, which no result depends on.
+    """
 
     num: int = 4
     den: int = 5
@@ -79,6 +83,8 @@ class Rule:
     earliest: int = 256
     floor: int = 8
     heavy: int = 1 << 17
+    shingle: int = 0
+    sample: int = 1
 
     def prefix(self, size: np.ndarray) -> np.ndarray:
         return size + (-self.num * size) // self.den + 1
@@ -115,6 +121,8 @@ class Lines:
 
     def __init__(self, texts: list[bytes | None], rule: Rule):
         encoded = [t or b"" for t in texts]
+        if rule.shingle:
+            encoded = [t.lower().replace(b"\n", b" ") for t in encoded]
         self.raw = b"\n".join(encoded)
         byte = np.frombuffer(self.raw, np.uint8)
         blank = (byte == 32) | ((byte >= 9) & (byte <= 13))
@@ -131,6 +139,12 @@ class Lines:
         words = np.bincount(line, minlength=len(self.begin))
         self.eligible = np.flatnonzero(words >= rule.min_words)
         self._start, self._stop, self._line, self._byte = start, bounds[1::2], line, byte
+        self._shingle, self._word_line = rule.shingle, line
+        if rule.shingle:  # one line a document: its hash settles the order of documents that share a doc_id
+            self.number = np.fromiter((xxhash.xxh64_intdigest(t) & 0x7FFFFFFF for t in encoded), np.int64, len(encoded))
+            place = np.arange(len(line)) - np.repeat(np.cumsum(words) - words, words)
+            self._run = np.flatnonzero(place <= np.maximum(np.repeat(words, words) - rule.shingle, 0))
+            self._line = line[self._run]
 
     def ids(self) -> np.ndarray:
         """64-bit hashes of the eligible lines' bytes."""
@@ -142,7 +156,7 @@ class Lines:
         return [self.raw[a:z] for a, z in zip(self.begin[chosen].tolist(), self.end[chosen].tolist())]
 
     def words(self) -> np.ndarray:
-        """59-bit hashes of all words in order."""
+        """59-bit hashes of all words (shingles) in order."""
         start, stop = self._start, self._stop
         if not len(start):
             return np.empty(0, np.uint64)
@@ -153,6 +167,18 @@ class Lines:
             sums = (sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
             sums = (sums ^ (sums >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
             sums = (sums ^ (sums >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        sums = (sums ^ (sums >> np.uint64(31))) >> np.uint64(5)
+        return self._shingled(sums) if self._shingle else sums
+
+    def _shingled(self, words: np.ndarray) -> np.ndarray:
+        at, last = self._run, len(words) - 1
+        sums = words[at]
+        with np.errstate(over="ignore"):
+            for ahead in range(1, self._shingle):
+                to = np.minimum(at + ahead, last)
+                inside = (at + ahead <= last) & (self._word_line[to] == self._line)
+                sums = (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.where(inside, words[to] + np.uint64(1), np.uint64(0))
+            sums = (sums ^ (sums >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
         return (sums ^ (sums >> np.uint64(31))) >> np.uint64(5)
 
     def having(self, test: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -209,7 +235,10 @@ def heavy_words(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
 
         for batch in batches:
             for part in slices(batch, 0):
-                if len(own := Lines(part.column(0).cast(pa.binary()).to_pylist(), rule).words()):
+                texts = part.column(0).cast(pa.binary()).to_pylist()
+                if rule.sample > 1:
+                    texts = [t for t in texts if xxhash.xxh64_intdigest(t) % rule.sample == 0]
+                if len(own := Lines(texts, rule).words()):
                     held.append(own)
                 if sum(map(len, held)) > 3_000_000:
                     word, total = fold()

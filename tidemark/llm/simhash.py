@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from ._common import cut, map_texts, read, shuffle_width
+from ._common import WORD, cut, map_texts, read, shuffle_width
 from .components import components
+from .line_dedup import Rule, removed_lines
 
 _VOTES = 1 << 15
 
@@ -181,18 +182,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     return made.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 3) -> DataFrame:
-    """One row of each component, the one with the smallest doc_id, all columns as they are.
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The rows, all columns as they are, that no earlier one (by doc_id, null last) resembles: the sets of five-word
+    shingles of every two that stay have a Jaccard similarity under 0.8, and each that goes has an earlier partner.
 
-    Of rows that repeat that doc_id and fingerprint one stays. Fingerprints of five-word shingles within three bits
-    hold texts of well over 0.8 similarity; looser ones can't be told from chance by 64 bits.
+    64 bits can't tell 0.8 from chance, so no fingerprint is asked: the exact join of line dedup finds the pairs, with
+    shingles for words. Texts without a word are alike. Of rows that repeat a doc_id and text one stays.
     """
-    found = near_duplicates(docs, shingle, distance)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__doc"), F.col("fp").alias("__fp")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").cast("long").alias("__id"), "text")
-    marked = fingerprints(rows, shingle, keep=("__row", "__id"))
-    kept = marked.join(stay, (marked["fp"] == stay["__fp"]) & marked["__id"].eqNullSafe(stay["__doc"]), "left_semi")
-    one = kept.groupBy("__id", "fp").agg(F.first("__row").alias("__row"))
+    last = F.lit((1 << 63) - 1)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.coalesce(F.col("doc_id").cast("long"), last).alias("__id"), "text")
+    texts = rows.select(F.col("__id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    empty = texts.where(~F.col("text").rlike(WORD)).agg(F.min("doc_id")).first()[0]
+    rule = Rule(min_words=1, shingle=shingle, sample=8, floor=2)
+    gone = removed_lines(texts, rule).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+
+    def make() -> Callable[[list], dict]:
+        def run(texts: list) -> dict:
+            raw = [(t or "").encode() for t in texts]
+            keys = np.fromiter((xxhash.xxh64_intdigest(r) if r.strip() else 0 for r in raw), np.uint64, len(raw)).view(np.int64)
+            return {"__key": keys, "__blank": [not r.strip() for r in raw]}
+
+        return run
+
+    marked = map_texts(rows, ("__row", "__id"), make, "__key long, __blank boolean")
+    marked = marked.where(~F.col("__blank") | (F.col("__id") == F.lit(empty)))
+    kept = marked.join(gone, ["__id", "__key"], "left_anti")
+    one = kept.groupBy("__id", "__key").agg(F.first("__row").alias("__row"))
     return one.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 
