@@ -62,14 +62,14 @@ def normalize_key(spark, sf_dir):
 
 @query(f"WITH RECURSIVE d AS (SELECT doc_id AS id, left(text, 20000) AS text FROM documents), {o.passage_table('d')} SELECT turn_id, ord, start::INTEGER AS start, stop::INTEGER AS stop, md5(text) AS digest FROM part")
 def passages(spark, sf_dir):
-    parts = rc.passage_table(model.document_turns(spark, sf_dir))
+    parts = rc.passage_table(model.document_turns(spark, sf_dir, model.MAX_CHARS))
     return parts.select("turn_id", "ord", "start", "stop", F.md5("text").alias("digest"))
 
 
 @query(f"""WITH RECURSIVE d AS (SELECT doc_id AS id, left(text, 20000) AS text FROM documents), {o.passage_table('d')}
     SELECT count(*) AS passages, count(DISTINCT turn_id) AS turns, sum(stop - start)::BIGINT AS chars, max(stop - start)::INTEGER AS longest, sum(greatest(1, round_even((stop - start) / 4, 0)))::BIGINT AS tokens FROM part""")
 def passage_stats(spark, sf_dir):
-    parts = rc.passage_table(model.document_turns(spark, sf_dir)).withColumn("n", F.col("stop") - F.col("start"))
+    parts = rc.passage_table(model.document_turns(spark, sf_dir, model.MAX_CHARS)).withColumn("n", F.col("stop") - F.col("start"))
     return parts.agg(
         F.count(F.lit(1)).alias("passages"), F.countDistinct("turn_id").alias("turns"), F.sum("n").alias("chars"), F.max("n").alias("longest"), F.sum(tx.est_tokens("text")).alias("tokens")
     )
@@ -296,7 +296,7 @@ def retraction_repairs(spark, sf_dir):
 
 @query("""SELECT count(*) FILTER (WHERE starts_with(text, 'The')) AS starts, count(*) FILTER (WHERE contains(text, 'The')) AS contains, count(*) FILTER (WHERE contains(lower(text), 'the')) AS any_case FROM (SELECT left(text, 20000) AS text FROM documents)""")
 def turn_matches(spark, sf_dir):
-    return rp.turn_matches(model.document_turns(spark, sf_dir).select("text"), "The")
+    return rp.turn_matches(model.document_turns(spark, sf_dir, model.MAX_CHARS).select("text"), "The")
 
 
 @query(f"WITH {o.TURN} SELECT session, count(*) FILTER (WHERE contains(text, 'que')) AS doomed, count(*) AS turns, count(*) FILTER (WHERE contains(text, 'que')) = count(*) AS emptied FROM turn GROUP BY session HAVING count(*) FILTER (WHERE contains(text, 'que')) > 0")

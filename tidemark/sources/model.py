@@ -44,10 +44,12 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_turns(messages)
 
 
-def document_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One long turn per document: (id, session, text)."""
+def document_turns(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """One long turn per document: (id, session, text). ``most``: only so many characters,
+    for queries whose SQL has that bound."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("session"), F.substring("text", 1, MAX_CHARS).alias("text"))
+    text = F.col("text") if most is None else F.substring("text", 1, most)
+    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("session"), text.alias("text"))
 
 
 def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
