@@ -45,11 +45,11 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_turns(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
-    """One long turn per document: (id, session, text). ``most``: only so many characters,
+    """One long turn per document, each a session of its own: (id, session, text). ``most``: only so many characters,
     for queries whose SQL has that bound."""
     d = table(spark, sf_dir, "documents")
     text = F.col("text") if most is None else F.substring("text", 1, most)
-    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("session"), text.alias("text"))
+    return d.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("session"), text.alias("text"))
 
 
 def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
