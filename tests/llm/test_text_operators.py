@@ -107,6 +107,17 @@ def plain_stats(text: str | None) -> tuple:
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(again), failed
 
 
+def test_last_bytes_join_a_chunk():
+    import random
+
+    rng, bands = random.Random(1), quality_rules.Bands()
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    prose = " ".join(rng.choice(words) for _ in range(2000)).encode()[:4096]
+    squeeze = zstandard.ZstdCompressor(level=3)
+    assert quality_rules._odd_share(prose, 0.5, bands, squeeze) == 0
+    assert quality_rules._odd_share(prose + rng.randbytes(2000), 0.5, bands, squeeze) == 0.5
+
+
 def test_quality_rules(spark, small, texts):
     bands = quality_rules.Bands()
     for r in queries()["op2_quality_rules"](spark, small).collect():

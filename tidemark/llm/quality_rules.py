@@ -79,11 +79,11 @@ def judge(text: str | None, bands: Bands, compressor: zstandard.ZstdCompressor)
 
 
 def _odd_share(raw: bytes, ratio: float, bands: Bands, compressor: zstandard.ZstdCompressor) -> float:
-    """Share of the fixed chunks outside the chunk band. A rest of under half a chunk joins no verdict."""
+    """Share of the fixed chunks outside the chunk band. For a rest of under half a chunk the last one ends at the text's end."""
     size = bands.chunk_bytes
     if len(raw) < size:
         return 0.0
-    chunks = [raw[i : i + size] for i in range(0, len(raw), size) if len(raw) - i >= size // 2]
+    chunks = [raw[i : i + size] if len(raw) - i >= size // 2 else raw[-size:] for i in range(0, len(raw), size)]
     low, high = bands.chunk
     return sum(not low <= len(compressor.compress(c)) / len(c) <= high for c in chunks) / len(chunks)
 
