@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
+from .. import session
 
 #: Words are runs of anything but these six characters; ``bytes.split()`` splits on exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,33 +23,80 @@ _BLANKS = " \t\n\v\f\r"
 #: A Python call handles at most about this much text at once, however large the Arrow batch is.
 SLICE_BYTES = 1 << 20
 SLICE_ROWS = 2048
+#: Rows of an Arrow batch between the JVM and Python. Spark's 10,000 would be tens of MB of texts a task on either side.
+ARROW_ROWS = 1024
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand the package to Python workers, and bound the batches of text that go to them."""
+    session.ship_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. On one machine that names none (tests) it is a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder, and a folder of this machine would not reach the executors")
     named = tempfile.mkdtemp(prefix="tidemark-")
     spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+#: What operators have written or persisted in this process and nobody has released yet.
+_tables: list[str] = []
+_persisted: list[DataFrame] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
+    """Write df as a table in the shared folder and read it back: lineage ends here, and a lost executor loses nothing.
+
+    The table goes when the session ends, or before, with ``released``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
+    where, system = _located(spark, path)
+    system.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _located(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def hold(df: DataFrame) -> DataFrame:
     """Keep df on executors' disks for plans that read it more than once. Lineage stays: what a lost executor held is made again."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    df = df.persist(StorageLevel.DISK_ONLY)
+    _persisted.append(df)
+    return df
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession, *last: str) -> Iterator[None]:
+    """What is written and persisted inside goes at the end, but for the tables of ``last`` (names given to ``cut``)."""
+    tables, persisted = len(_tables), len(_persisted)
+    try:
+        yield
+    finally:
+        for df in _persisted[persisted:]:
+            df.unpersist()
+        del _persisted[persisted:]
+        for path in _tables[tables:]:
+            if not any(f"/{name}-" in path for name in last):
+                where, system = _located(spark, path)
+                system.delete(where, True)
+                _tables.remove(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:

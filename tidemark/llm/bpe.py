@@ -25,8 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from ._common import map_texts
+from ._common import map_texts, ship_package
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 _NEVER = np.int32(2**31 - 1)

@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from ._common import held_out, map_texts, read, slices
+from ._common import held_out, map_texts, read, ship_package, slices
 
 UNKNOWN = "und"
 _BITS = 18  # a letter's number fits; three of them and a text's place in its batch fill 63 bits

@@ -3,20 +3,24 @@
 Lines are sets of words. Words are ordered by rarity over all data; two sets whose Jaccard similarity reaches the
 threshold share one of the first n - ceil(t n) + 1 words of each. Those prefix words meet by shard; within a word's
 list pairs pass the length filter, the positional filter (what follows the shared word must suffice for the overlap)
-and a parity filter (a 128-bit sketch bounds how many words differ from below; it never drops a true pair). What passes
-is held against sketches four times as long and verified on the full sets, each line's closest candidate first and
-the others only if that one fails. A line goes if an earlier line, by (doc_id, line number), matches it, whether or not
-that one stays; equal lines match with no pair made of them.
+and a parity filter (a 128-bit sketch bounds how many words differ from below; it never drops a true pair). Each line's
+closest candidate, by sketch, is verified on the full sets first, the others only if that one fails. A line goes if an
+earlier line, by (doc_id, line number), matches it, whether or not that one stays; equal lines match with no pair made
+of them.
 
 The question is only whether a line has an earlier match, so a word's list is walked from its earliest line on, and a
 line leaves the walk with ``earliest`` candidates, of which one whose sketch differs in half of what is allowed or
-less counts as half of them all: a group of near copies costs a few pairs a line, not all pairs.
+less counts ``strong`` times: a group of near copies costs a few pairs a line, not all pairs.
 A line that left with more to come, and none of whose candidates was verified, comes up in a second round, in which
 nothing is held back. So no match is lost.
 
 Rarity: counts over all data of the words that a partition holds ``floor`` times or more; of these the ``heavy`` most
 frequent, a fixed number, travel with the tasks as classes by the logarithm of their counts. Every other word ranks as
-rarer, in order of its hash. Any fixed order gives the same result; a better one only gives fewer candidates.
+rarer, in order of its hash. Any fixed order gives the same result; a better one only gives fewer candidates. So a task
+that has met ``counted`` different words may forget the rarest of them.
+
+Equal lines are told by 128 bits of their bytes; sets are compared by 48 bits of each word. In a pair that passed the
+filters, two different words of 50 agree there with a chance of about 1e-11.
 
 Defined results: lines with fewer than ``min_words`` words stay; a null text stays null, an empty one empty. Rows
 without doc_id have no order: their lines stay and match nothing. Rows that repeat a doc_id with the same text are one
@@ -35,8 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from ._common import WORD, hold, map_texts, read, shuffle_width, slices
+from ._common import WORD, hold, map_texts, read, ship_package, shuffle_width, slices
 
 _CLASS = np.uint64(59)
 _HASH = np.uint64((1 << 59) - 1)
@@ -46,8 +49,8 @@ _FLUSH = 16 << 20
 #: that clash there only make candidates. A size or place that doesn't fit is _MANY, for which no filter applies.
 _ROW = np.dtype([("word", "<u4"), ("line", "<i8"), ("doc", "<i8"), ("number", "<u4"), ("size", "<u2"), ("place", "<u2"), ("sketch", "<u8"), ("other", "<u8")])
 _MANY = 65535
-#: Sets travel to verification as the low 40 bits of their words' hashes.
-_FORTY = np.uint64((1 << 40) - 1)
+#: Sets travel to verification as so many low bytes of their words' hashes.
+_BYTES = 6
 
 
 def _pack(rows: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
@@ -66,7 +69,10 @@ def _unpack(packed: bytes, squeeze: zstandard.ZstdDecompressor) -> np.ndarray:
         at += size
     return rows
 
-FILTER_BITS = 1 << 24
+
+def filter_bits(items: int) -> int:
+    """Bits of a bitmap over so many items: about eight each, and 32 MB at most. A full one only lets more through."""
+    return 1 << min(28, max(20, (8 * items).bit_length()))
 
 
 @dataclass(frozen=True)
@@ -74,17 +80,19 @@ class Rule:
     """Jaccard threshold num / den; lines under min_words words are left alone.
 
     With ``shingle`` a whole text, A-Z lower-cased, is one line, and its members are runs of so many words (of all its
-    words, if they are fewer). ``sample``: one text of so many is counted for rarity, which no result depends on.
+    words, if they are fewer). Such sets outgrow a sketch, so theirs covers a share of the members: it names the closest
+    candidate, but filters nothing.
     """
 
     num: int = 4
     den: int = 5
-    min_words: int = 5
+    min_words: int = 1
     earliest: int = 256
+    strong: int = 32
     floor: int = 8
     heavy: int = 1 << 17
+    counted: int = 1 << 20
     shingle: int = 0
-    sample: int = 1
 
     def prefix(self, size: np.ndarray) -> np.ndarray:
         return size + (-self.num * size) // self.den + 1
@@ -146,11 +154,12 @@ class Lines:
             self._run = np.flatnonzero(place <= np.maximum(np.repeat(words, words) - rule.shingle, 0))
             self._line = line[self._run]
 
-    def ids(self) -> np.ndarray:
-        """64-bit hashes of the eligible lines' bytes."""
-        digest, raw = xxhash.xxh64_intdigest, memoryview(self.raw)
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit hashes of the eligible lines' bytes, in two halves; the first half is a line's id."""
+        digest, raw = xxhash.xxh3_128_digest, memoryview(self.raw)
         spans = zip(self.begin[self.eligible].tolist(), self.end[self.eligible].tolist())
-        return np.fromiter((digest(raw[a:z]) for a, z in spans), np.uint64, len(self.eligible)).view(np.int64)
+        both = np.frombuffer(b"".join(digest(raw[a:z]) for a, z in spans), np.int64).reshape(-1, 2)
+        return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
     def bytes_of(self, chosen: np.ndarray) -> list[bytes]:
         return [self.raw[a:z] for a, z in zip(self.begin[chosen].tolist(), self.end[chosen].tolist())]
@@ -221,7 +230,7 @@ def heavy_words(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
         word, total = np.empty(0, np.uint64), np.empty(0, np.int64)
         held: list[np.ndarray] = []
 
-        def fold() -> tuple[np.ndarray, np.ndarray]:
+        def fold(most: int = 0) -> tuple[np.ndarray, np.ndarray]:
             every = np.concatenate(held)
             every.sort()
             edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
@@ -231,17 +240,20 @@ def heavy_words(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
             both, sums = both[order], sums[order]
             edge = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
             held.clear()
-            return both[edge], np.add.reduceat(sums, edge)
+            both, sums = both[edge], np.add.reduceat(sums, edge)
+            least = 1
+            while most and len(both) > most:  # memory is bounded; a forgotten word counts as rarer than it is
+                least *= 2
+                both, sums = both[sums >= least], sums[sums >= least]
+            return both, sums
 
         for batch in batches:
             for part in slices(batch, 0):
                 texts = part.column(0).cast(pa.binary()).to_pylist()
-                if rule.sample > 1:
-                    texts = [t for t in texts if xxhash.xxh64_intdigest(t) % rule.sample == 0]
                 if len(own := Lines(texts, rule).words()):
                     held.append(own)
-                if sum(map(len, held)) > 3_000_000:
-                    word, total = fold()
+                if sum(map(len, held)) > 1_000_000:
+                    word, total = fold(rule.counted)
         if held:
             word, total = fold()
         often = total >= rule.floor
@@ -253,6 +265,11 @@ def heavy_words(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     return np.array([w for w, _ in top], np.uint64), np.array([c for _, c in top], np.uint64)
 
 
+def _share(size: np.ndarray) -> np.ndarray:
+    """A sketch of 64 bits over a set of this size takes one member of 2^k, about 48 of them."""
+    return np.maximum(0, np.frexp(size / 48)[1])
+
+
 def _prefixes(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray], shards: int) -> DataFrame:
     """(shard, rows): the prefix words of all distinct lines, packed by shard."""
 
@@ -279,7 +296,7 @@ def _prefixes(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray],
                 lines = Lines(part.column(1).cast(pa.binary()).to_pylist(), rule)
                 if not len(lines.eligible):
                     continue
-                ids, doc = lines.ids(), part.column(0).to_numpy(zero_copy_only=False)[lines.text[lines.eligible]]
+                ids, doc = lines.ids()[0], part.column(0).to_numpy(zero_copy_only=False)[lines.text[lines.eligible]]
                 order = np.lexsort((lines.number[lines.eligible], doc, ids))  # a line stands for itself where it is earliest
                 once = np.sort(order[np.concatenate(([True], ids[order][1:] != ids[order][:-1]))])
                 ids = ids[once]
@@ -296,8 +313,13 @@ def _prefixes(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray],
                 rows["doc"] = np.repeat(doc[once], length)
                 rows["number"] = np.repeat(lines.number[lines.eligible[once]], length)
                 bit, side = np.uint64(1) << (codes & np.uint64(63)), codes >> np.uint64(6) & np.uint64(1)
+                if rule.shingle:
+                    share = np.repeat(np.uint64(1) << _share(size).astype(np.uint64), size)
+                    side = (codes >> np.uint64(6) & (share - np.uint64(1)) != 0).astype(np.uint64)
                 for half, name in ((0, "sketch"), (1, "other")):
                     rows[name] = np.repeat(np.bitwise_xor.reduceat(np.where(side == half, bit, np.uint64(0)), start), length)
+                if rule.shingle:
+                    rows["other"] = 0
                 held.append(((word >> np.uint64(32)) % np.uint64(shards), rows))
                 if sum(r.nbytes for _, r in held) > _FLUSH:
                     yield from flush()
@@ -307,9 +329,9 @@ def _prefixes(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray],
     return docs.select("doc_id", "text").mapInArrow(run, "shard int, rows binary")
 
 
-def _meet(rows: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates among the prefix rows of one shard: line, earlier line, -1; and for every line that left a list's walk
-    early: line, -1, the word's cut hash."""
+def _meet(rows: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates among the prefix rows of one shard: line, earlier line, how far their sketches are apart, -1; and for
+    every line that left a list's walk early: line, -1, -1, the word's cut hash."""
     rank = np.empty(len(rows), np.int64)
     rank[_by_place(rows["doc"], rows["number"])] = np.arange(len(rows))
     rows = rows[np.argsort(rows["word"].astype(np.uint64) << np.uint64(32) | rank.astype(np.uint64))]
@@ -319,12 +341,13 @@ def _meet(rows: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndar
     rows = rows[np.sort(np.minimum.reduceat(order, edge))]  # a line of several partitions stands where it is earliest
     word, line, size, sketch, more = (np.ascontiguousarray(rows[c]) for c in ("word", "line", "size", "sketch", "other"))
     size = size.astype(np.int64)
+    share = _share(size)
     rest = np.where(size == _MANY, 1 << 60, size - rows["place"])
     start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
     first = np.repeat(start, np.diff(np.append(start, len(word))))
     hits = np.zeros(len(rows), np.int64)
     live = np.flatnonzero(first < np.arange(len(rows)))
-    found, step, strong = [], 0, max(1, rule.earliest // 2)
+    found, step = [], 0
     while len(live):  # every line meets the earliest of its word's list, then the next, up to itself
         other = first[live] + step
         go = other < live
@@ -336,19 +359,26 @@ def _meet(rows: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndar
         fit = np.flatnonzero(many | (np.minimum(rest[at], rest[to]) >= need))
         at, to, may, many = at[fit], to[fit], (a + b - 2 * need)[fit], many[fit]
         apart = np.bitwise_count(sketch[at] ^ sketch[to]).astype(np.int64) + np.bitwise_count(more[at] ^ more[to])
-        good = many | (apart <= may)
-        met = at[good]
-        found.append((met, to[good]))
-        hits[met] += np.where(2 * apart <= may, strong, 1)[good]
+        if rule.shingle:  # a share of the members: what it says is likely, not sure
+            may, apart = may >> share[at], np.where((share[at] == share[to]) & ~many, apart, 64)
+        else:
+            good = many | (apart <= may)
+            at, to, may, apart = at[good], to[good], may[good], apart[good]
+        found.append((at, to, apart))
+        hits[at] += np.where(2 * apart <= may, rule.strong, 1)
         live = live[hits[live] < rule.earliest]
         step += 1
     if not found:
-        return (np.empty(0, np.int64),) * 3
-    at, other = map(np.concatenate, zip(*found))
-    pairs = np.unique(np.stack((line[at], line[other]), axis=1), axis=0)
+        return (np.empty(0, np.int64),) * 4
+    at, other, apart = map(np.concatenate, zip(*found))
+    one, two = line[at], line[other]
+    order = np.lexsort((apart, two, one))
+    one, two, apart = one[order], two[order], apart[order]
+    once = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))) & (one != two) if len(one) else np.empty(0, bool)
+    one, two, apart = one[once], two[once], apart[once]
     early = np.flatnonzero(hits >= rule.earliest)
-    none = np.full(max(len(pairs), len(early)), -1)
-    return np.append(pairs[:, 0], line[early]), np.append(pairs[:, 1], none[: len(early)]), np.append(none[: len(pairs)], word[early])
+    none = np.full(max(len(one), len(early)), -1)
+    return np.append(one, line[early]), np.append(two, none[: len(early)]), np.append(apart, none[: len(early)]), np.append(none[: len(one)], word[early])
 
 
 def _by_place(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -360,13 +390,13 @@ def _by_place(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
 
 
 def _held(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    place = ids % FILTER_BITS
+    place = ids & ((len(bitmap) - 4096) * 8 - 1)
     return (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def _candidates(packed: DataFrame, rule: Rule) -> DataFrame:
-    """(line, earlier, list): pairs that pass all filters, once each, list null; and the lists that a line left early,
-    earlier null."""
+    """(line, earlier, apart, list): pairs that pass all filters, list null; and the lists that a line left early,
+    earlier null. A pair comes once for each shard in which it meets."""
     packed = packed.repartition(shuffle_width(packed.sparkSession), "shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,9 +405,10 @@ def _candidates(packed: DataFrame, rule: Rule) -> DataFrame:
         now = None
 
         def solve() -> pa.RecordBatch:
-            line, earlier, word = _meet(np.concatenate(held), rule)
+            line, earlier, apart, word = _meet(np.concatenate(held), rule)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(line), pa.array(earlier, mask=word >= 0), pa.array(now << 32 | word, mask=word < 0)], names=["line", "earlier", "list"])
+            columns = [pa.array(line), pa.array(earlier, mask=word >= 0), pa.array(apart.astype(np.int32), mask=word >= 0), pa.array(now << 32 | word, mask=word < 0)]
+            return pa.RecordBatch.from_arrays(columns, names=["line", "earlier", "apart", "list"])
 
         for batch in batches:
             for shard, rows in zip(*(c.to_pylist() for c in batch.columns)):
@@ -388,30 +419,30 @@ def _candidates(packed: DataFrame, rule: Rule) -> DataFrame:
         if held:
             yield solve()
 
-    return packed.mapInArrow(run, "line long, earlier long, list long").distinct()
+    return packed.mapInArrow(run, "line long, earlier long, apart int, list long")
 
 
 def _filter_of(ids: DataFrame, column: str) -> bytes:
-    """A bitmap of FILTER_BITS bits over hashed ids: built on executors, fixed in size, no false negatives."""
-    place = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
+    """A bitmap over ids, which are hashes: built on executors, bounded in size, no false negatives."""
+    bits = filter_bits(ids.count())
+    place = F.pmod(F.col(column), F.lit(bits)) + 1  # the bitmap functions count from 1
     rows = ids.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
+    out = np.zeros(bits // 8 + 4096, np.uint8)
     for r in rows:
         at = (r["k"] - 1) * 4096
         out[at : at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out.tobytes()
 
 
-def _sketches(codes: np.ndarray, size: np.ndarray) -> list[list[int]]:
-    """For each set the parities of eight groups of 64 of its hashes. The bits used are the same with any class on top."""
-    out = np.zeros(len(size) * 8, np.uint64)
-    np.bitwise_xor.at(out, np.repeat(np.arange(len(size)), size) * 8 + (codes >> np.uint64(6) & np.uint64(7)).astype(np.int64), np.uint64(1) << (codes & np.uint64(63)))
-    return out.view(np.int64).reshape(-1, 8).tolist()
+def _bytes(codes: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Each set's codes, _BYTES bytes a code."""
+    raw, stop = np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 8)[:, :_BYTES]).tobytes(), np.cumsum(size) * _BYTES
+    return [raw[a:z] for a, z in zip((stop - size * _BYTES).tolist(), stop.tolist())]
 
 
 def _occurrences(docs: DataFrame, rule: Rule, flagged: bytes) -> DataFrame:
-    """(doc_id, key, line_no, line, codes, sketch) of all eligible lines; codes and sketch only where the filter may hold
-    the line. A sketch has the parities of eight groups of 64."""
+    """(doc_id, key, line_no, line, check, codes) of all eligible lines; codes only where the filter may hold the line.
+    (line, check) are the 128 bits that tell lines apart."""
     none = np.empty(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,28 +455,23 @@ def _occurrences(docs: DataFrame, rule: Rule, flagged: bytes) -> DataFrame:
                 if not len(own):
                     continue
                 keys = np.fromiter((xxhash.xxh64_intdigest(t or b"") for t in texts), np.uint64, len(texts)).view(np.int64)
-                ids = lines.ids()
+                ids, check = lines.ids()
                 hit = np.flatnonzero(_held(bitmap, ids))
                 codes, size = Lines(lines.bytes_of(own[hit]), rule).sets(np.arange(len(hit)), none, none)
-                stop = np.cumsum(size)
                 sets: list[bytes | None] = [None] * len(own)
-                sketches: list[list | None] = [None] * len(own)
-                for i, bits in zip(hit.tolist(), _sketches(codes, size)):
-                    sketches[i] = bits
-                raw = np.ascontiguousarray((codes & _FORTY).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-                for i, a, z in zip(hit.tolist(), (stop - size).tolist(), stop.tolist()):
-                    sets[i] = raw[a * 5 : z * 5]
+                for i, raw in zip(hit.tolist(), _bytes(codes, size)):
+                    sets[i] = raw
                 text = lines.text[own]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(text)), pa.array(keys[text]), pa.array(lines.number[own].astype(np.int32)), pa.array(ids), pa.array(sets, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))],
-                    names=["doc_id", "key", "line_no", "line", "codes", "sketch"],
+                    [part.column(0).take(pa.array(text)), pa.array(keys[text]), pa.array(lines.number[own].astype(np.int32)), pa.array(ids), pa.array(check), pa.array(sets, pa.binary())],
+                    names=["doc_id", "key", "line_no", "line", "check", "codes"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, line_no int, line long, codes binary, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, line_no int, line long, check long, codes binary")
 
 
 def _lists(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray], shards: int, wanted: bytes) -> DataFrame:
-    """(list, line, doc_id, line_no, codes, sketch): the members of the word lists that a bitmap may hold. Only lines with
+    """(list, line, doc_id, line_no, codes): the members of the word lists that a bitmap may hold. Only lines with
     a word of such a list are taken further than their words' hashes."""
 
     def named(codes: np.ndarray) -> np.ndarray:
@@ -470,20 +496,17 @@ def _lists(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray], sh
                 name = named(codes[np.repeat(stop - size, length) + np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)])
                 hit = _held(bitmap, name)
                 name, owner = name[hit], owner[hit]
-                raw = np.ascontiguousarray((codes & _FORTY).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-                sets = [raw[int(z - n) * 5 : int(z) * 5] for n, z in zip(size, stop)]
-                sketches = _sketches(codes, size)
+                sets = _bytes(codes, size)
                 columns = [
                     pa.array(name),
-                    pa.array(few.ids()[owner]),
+                    pa.array(few.ids()[0][owner]),
                     part.column(0).take(pa.array(lines.text[own[owner]])),
                     pa.array(lines.number[own[owner]].astype(np.int32)),
                     pa.array([sets[k] for k in owner.tolist()], pa.binary()),
-                    pa.array([sketches[k] for k in owner.tolist()], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["list", "line", "doc_id", "line_no", "codes", "sketch"])
+                yield pa.RecordBatch.from_arrays(columns, names=["list", "line", "doc_id", "line_no", "codes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "list long, line long, doc_id long, line_no int, codes binary, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "list long, line long, doc_id long, line_no int, codes binary")
 
 
 def _verified(pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -493,8 +516,8 @@ def _verified(pairs: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                both = np.zeros((len(x) + len(y)) // 5, np.uint64)
-                both.view(np.uint8).reshape(-1, 8)[:, :5] = np.frombuffer(x + y, np.uint8).reshape(-1, 5)
+                both = np.zeros((len(x) + len(y)) // _BYTES, np.uint64)
+                both.view(np.uint8).reshape(-1, 8)[:, :_BYTES] = np.frombuffer(x + y, np.uint8).reshape(-1, _BYTES)
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 good.append(rule.den * shared >= rule.num * (len(both) - shared))
@@ -503,23 +526,6 @@ def _verified(pairs: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select("line", "x", "y").mapInArrow(run, "line long")
 
 
-def _close(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(line, earlier, apart): the pairs whose long sketches allow the threshold."""
-    short = sets.select("line", F.expr("length(codes) DIV 5").alias("n"), "sketch")
-    both = pairs.select("line", "earlier").join(short.withColumnsRenamed({"n": "a", "sketch": "x"}), "line")
-    both = both.join(short.withColumnsRenamed({"line": "earlier", "n": "b", "sketch": "y"}), "earlier")
-    return both.withColumn("apart", F.expr(_APART)).where(_may(rule)).select("line", "earlier", "apart")
-
-
-_APART = "aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
-
-
-def _may(rule: Rule) -> str:
-    """Whether sets of a and b words with long sketches x and y may reach the threshold."""
-    allowed = f"a + b + 2 * ((-{rule.num} * (a + b) - {rule.num + rule.den - 1}) DIV {rule.num + rule.den})"
-    return f"{rule.num} * greatest(a, b) <= {rule.den} * least(a, b) AND {_APART} <= {allowed}"
-
-
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     own = sets.select("line", "codes")
     return pairs.join(own.withColumnsRenamed({"codes": "x"}), "line").join(own.withColumnsRenamed({"line": "earlier", "codes": "y"}), "earlier")
@@ -539,33 +545,36 @@ def removed_lines(docs: DataFrame, rule: Rule = Rule(), shards_per_task: int = 4
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     heavy, shards = heavy_words(docs, rule), shards_per_task * shuffle_width(spark)
     found = _made(_candidates(_prefixes(docs, rule, heavy, shards), rule))
-    pairs = found.where("earlier is not null").select("line", "earlier")
+    pairs = found.where("earlier is not null").groupBy("line", "earlier").agg(F.min("apart").alias("apart"))
     lines = _made(_occurrences(docs, rule, _filter_of(_ends(pairs), "line")))
-    sets = _made(lines.where("codes is not null").groupBy("line").agg(F.first("codes").alias("codes"), F.first("sketch").alias("sketch")))
-    near = _made(_close(pairs, sets, rule))
-    closest = near.groupBy("line").agg(F.min(F.struct("apart", "earlier"))["earlier"].alias("earlier"))
+    sets = _made(lines.where("codes is not null").groupBy("line").agg(F.first("codes").alias("codes")))
+    closest = pairs.groupBy("line").agg(F.min(F.struct("apart", "earlier"))["earlier"].alias("earlier"))
     known = _made(_verified(_with_sets(closest, sets), rule))
-    others = near.join(known, "line", "left_anti")
+    others = pairs.join(known, "line", "left_anti").join(closest, ["line", "earlier"], "left_anti")
     known = _made(known.union(_verified(_with_sets(others, sets), rule)).distinct())
-    left = _made(found.where("list is not null").select("line", "list").join(known, "line", "left_anti"))
+    left = _made(found.where("list is not null").select("line", "list").distinct().join(known, "line", "left_anti"))
     if not left.isEmpty():
-        members = _lists(docs, rule, heavy, shards, _filter_of(left.select("list").distinct(), "list"))
-        members = _made(members.join(left.select("list").distinct(), "list", "left_semi").withColumn("n", F.expr("length(codes) DIV 5")))
-        at = F.struct("doc_id", "line_no")
-        own = F.min(F.struct("doc_id", "line_no", "codes", "sketch", "n")).alias("own")  # a line stands where it is earliest
-        asking = members.join(left, ["list", "line"], "left_semi").groupBy("list", "line").agg(own)
-        asking = asking.select("list", "line", F.struct("own.doc_id", "own.line_no").alias("at"), F.col("own.codes").alias("cx"), F.col("own.sketch").alias("x"), F.col("own.n").alias("a"))
-        asked = members.select(F.col("list").alias("in"), F.col("line").alias("earlier"), at.alias("before"), F.col("codes").alias("cy"), F.col("sketch").alias("y"), F.col("n").alias("b"))
-        meet = (F.col("list") == F.col("in")) & (F.col("before") < F.col("at")) & (F.col("line") != F.col("earlier")) & F.expr(_may(rule))
-        more = asking.join(asked, meet).groupBy("line", "earlier").agg(F.first("cx").alias("x"), F.first("cy").alias("y"))
-        known = known.union(_verified(more, rule)).distinct()
+        known = known.union(_second_round(docs, left, rule, heavy, shards)).distinct()
     place = F.struct("doc_id", "key", "line_no")
-    first = lines.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    bound = first.join(known.withColumn("all", F.lit(True)), "line", "left").where("all or last > first").select("line", "first", "all")
-    gone = lines.select("line", "doc_id", "key", "line_no").join(bound, "line").where(F.col("all") | (place > F.col("first")))
+    first = lines.groupBy("line", "check").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    bound = first.join(known.withColumn("all", F.lit(True)), "line", "left").where("all or last > first").select("line", "check", "first", "all")
+    gone = lines.select("line", "check", "doc_id", "key", "line_no").join(bound, ["line", "check"]).where(F.col("all") | (place > F.col("first")))
     return gone.groupBy("doc_id", "key").agg(F.collect_set("line_no").alias("gone"))
 
 
+def _second_round(docs: DataFrame, left: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray], shards: int) -> DataFrame:
+    """(line) of the lines in ``left`` (line, list) that match an earlier member of the list, nothing held back."""
+    members = _lists(docs, rule, heavy, shards, _filter_of(left.select("list").distinct(), "list"))
+    members = _made(members.join(left.select("list").distinct(), "list", "left_semi").withColumn("n", F.expr(f"length(codes) DIV {_BYTES}")))
+    own = F.min(F.struct("doc_id", "line_no", "codes", "n")).alias("own")  # a line stands where it is earliest
+    asking = members.join(left, ["list", "line"], "left_semi").groupBy("list", "line").agg(own)
+    asking = asking.select("list", "line", F.struct("own.doc_id", "own.line_no").alias("at"), F.col("own.codes").alias("x"), F.col("own.n").alias("a"))
+    asked = members.select(F.col("list").alias("in"), F.col("line").alias("earlier"), F.struct("doc_id", "line_no").alias("before"), F.col("codes").alias("y"), F.col("n").alias("b"))
+    fits = f"{rule.num} * greatest(a, b) <= {rule.den} * least(a, b)"
+    meet = (F.col("list") == F.col("in")) & (F.col("before") < F.col("at")) & (F.col("line") != F.col("earlier")) & F.expr(fits)
+    return _verified(asking.join(asked, meet), rule)
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select("line").union(pairs.select("earlier"))
 

@@ -31,8 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from ._common import cut, read, shuffle_width
+from ._common import cut, read, ship_package, shuffle_width
 
 
 @dataclass(frozen=True)

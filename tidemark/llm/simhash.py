@@ -26,8 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from ._common import WORD, cut, map_texts, read, shuffle_width
+from ._common import WORD, cut, map_texts, read, ship_package, shuffle_width
 from .components import components
 from .line_dedup import Rule, removed_lines
 
@@ -193,7 +192,7 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.coalesce(F.col("doc_id").cast("long"), last).alias("__id"), "text")
     texts = rows.select(F.col("__id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     empty = texts.where(~F.col("text").rlike(WORD)).agg(F.min("doc_id")).first()[0]
-    rule = Rule(min_words=1, shingle=shingle, sample=8, floor=2)
+    rule = Rule(shingle=shingle, floor=2)
     gone = removed_lines(texts, rule).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
 
     def make() -> Callable[[list], dict]:

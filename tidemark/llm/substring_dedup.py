@@ -25,8 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from ._common import cut, hold, map_texts, read, shuffle_width, slices
+from ._common import cut, hold, map_texts, read, ship_package, shuffle_width, slices
 from .fm_index import matched_windows
 
 _P = np.uint64(0x9E3779B97F4A7C15)
