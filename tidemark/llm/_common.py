@@ -51,6 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: What operators have written or persisted in this process and nobody has released yet.
 _tables: list[str] = []
 _persisted: list[DataFrame] = []
@@ -59,11 +60,16 @@ _persisted: list[DataFrame] = []
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here, and a lost executor loses nothing.
 
-    The table goes when the session ends, or before, with ``released``.
+    The shuffle files of df go once it is written; the table goes when the session ends, or before, with ``released``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _tables.append(path)
     where, system = _located(spark, path)
     system.deleteOnExit(where)

@@ -5,13 +5,17 @@ index maps each mergeable pair, by its rank, to all its positions in that array.
 order from a heap of active ranks: all live positions of the pair merge at once, and the pairs that the merges create
 join the lists of their own, always higher, ranks. Every numpy step handles all positions of one pair.
 
+Which characters are letters, numbers or spaces, and how they are lower-cased, the library's own components say, asked
+once on the driver for every code point (``character_classes``): Unicode tables of other modules are of other versions.
+
 Defined results: a null text counts as empty (0 tokens, empty strings). Texts of any length are encoded whole; memory
-is bounded by one text and the piece cache (``cache_pieces`` distinct pieces, then emptied). Repeated rows give
-repeated rows; an empty table gives an empty one; other columns are ignored.
+is bounded by one text and the piece cache (``cache_bytes``, then emptied). Repeated rows give repeated rows; an empty
+table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -21,14 +25,13 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import map_texts, ship_package
 
-_SPACE = "\t-\r \x85\xa0  -     　"
 _NEVER = np.int32(2**31 - 1)
+_ENTRY = 250  # bytes that a piece takes in the cache besides its characters
 _SLICE = 4 << 20  # one index serves so much text; each active rank costs some numpy calls an index
 
 
@@ -39,10 +42,73 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def _basic(kind: str) -> str:
+    """The part of a class below U+10000, which ``re`` looks up in a table; further ranges it would try one by one."""
+    return "".join(r for r in re.findall(r"\\U.{8}-\\U.{8}", kind) if r[2:6] == "0000")
+
+
+def _class(chosen: np.ndarray) -> str:
+    """What stands between the brackets of a regular expression for the code points that are set."""
+    chosen = np.insert(chosen, 1 << 16, False)  # no range runs across
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], chosen.astype(np.int8), [0]))))
+    edge -= edge > 1 << 16
+    return "".join(f"\\U{a:08x}-\\U{z - 1:08x}" for a, z in edge.reshape(-1, 2).tolist())
+
+
+@functools.cache
+def character_classes() -> dict[str, str]:
+    """letter, number, space: the library's; odd: code points that Python composes or lower-cases in another way."""
+    from tokenizers import Regex, normalizers
+
+    points = np.concatenate((np.arange(0xD800), np.arange(0xE000, 0x110000)))
+    text = "".join(map(chr, points.tolist()))
+
+    def chosen(mask: np.ndarray) -> np.ndarray:
+        out = np.zeros(0x110000, bool)
+        out[points[mask]] = True
+        return out
+
+    def marked(pattern: str) -> np.ndarray:
+        made = normalizers.Replace(Regex(pattern), "\x00").normalize_str(text)
+        return np.frombuffer(made.encode("utf-32-le"), np.uint32) == 0
+
+    found = {}
+    for name, pattern in (("letter", r"\p{L}"), ("number", r"\p{N}"), ("space", r"\s")):
+        mask = marked(pattern)
+        mask[0] = False  # the mark itself is a control character, of none of the three
+        found[name] = _class(chosen(mask))
+    odd = np.fromiter((unicodedata.category(c) == "Cn" for c in text), bool, len(text))
+    for kind, plain, shapes in (
+        (normalizers.Lowercase(), lambda t: t.replace("Σ", "σ").lower(), ("{}",)),
+        (normalizers.NFC(), lambda t: unicodedata.normalize("NFC", t), ("{}", "a{}", "\u0345{}\u0334")),
+    ):
+        for shape in shapes:
+            asked = np.flatnonzero(~odd & (points != 10))
+            own = [shape.format(text[i]) for i in asked.tolist()]
+            odd[asked] = list(map(str.__ne__, map(plain, own), kind.normalize_str("\n".join(own)).split("\n")))
+    found["odd"] = _class(chosen(odd))
+    return found
+
+
+class _Shown(dict):
+    """Strings made once for each piece, from its ids as 32-bit numbers."""
+
+    def __init__(self, owner: PairIndexBPE, show: Callable[[list[int]], str]):
+        self.owner, self.show = owner, show
+
+    def __missing__(self, raw: bytes) -> str:
+        shown = self[raw] = self.show(np.frombuffer(raw, "<i4").tolist())
+        self.owner.cached += _ENTRY + 2 * len(shown)
+        return shown
+
+
 class PairIndexBPE:
-    """A tokenizer file of the word-end kind: lower case, white space dropped, pieces by pattern, byte-level symbols."""
+    """A tokenizer file of the word-end kind: lower case, white space dropped, pieces by pattern, byte-level symbols.
+
+    ``classes``: what ``character_classes`` returns; asked here where it isn't given.
+    """
 
-    def __init__(self, file: bytes, cache_pieces: int = 250_000):
+    def __init__(self, file: bytes, classes: dict[str, str] | None = None, cache_bytes: int = 96 << 20):
         spec = json.loads(file)
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
@@ -50,7 +116,7 @@ class PairIndexBPE:
         self.token = dict((i, t) for t, i in vocab.items())
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.token.update({i: t for t, i in self.special.items()})
-        self.cache_pieces = cache_pieces
+        self.cache_bytes, self.cached = cache_bytes, 0
         symbols = _byte_symbols()
         self.inner = np.array([vocab[symbols[b]] for b in range(256)], np.int32)
         self.last = np.array([vocab[symbols[b] + self.end] for b in range(256)], np.int32)
@@ -61,18 +127,35 @@ class PairIndexBPE:
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}"))
+        classes = classes or character_classes()
+        self.pieces, self.odd = [], []  # for texts below U+10000, and for all
+        for cut in (_basic, str):
+            letter, number, space, odd = (cut(classes[k]) for k in ("letter", "number", "space", "odd"))
+            made = pattern.replace(r"[\p{L}]", f"[{letter}]").replace(r"[\p{N}]", f"[{number}]")
+            self.pieces.append(re.compile(made.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{number}]")))
+            self.odd.append(re.compile(f"[{odd}]"))
+        self.beyond = re.compile("[\U00010000-\U0010ffff]")
+        self.file, self.normalizer = file, None
+        spaces = "\t-\r "
         plain = pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace("[[a-z]+", "[a-z]+")
-        self.plain_pieces = re.compile(plain.replace(r"[^\s", f"[^{_SPACE}").replace("[[", "[").replace("]]", "]"))
+        self.plain_pieces = re.compile(plain.replace(r"[^\s", f"[^{spaces}").replace("[[", "[").replace("]]", "]"))
         self.raw_of: dict[str | int, bytes] = {}  # by piece, or by a special token's id: its ids as 32-bit numbers
-        self.text_of: dict[bytes, str] = {}  # of the same: decimal ids joined by a space
+        self.ids_of = _Shown(self, lambda ids: " ".join(map(str, ids)))  # by those numbers
+        self.tokens_of = _Shown(self, self.decode)
 
     # -- pieces ---------------------------------------------------------------------------------------------------
     def _pieces(self, text: str) -> list[str]:
         if text.isascii():
             return self.plain_pieces.findall(text.lower())
-        text = unicodedata.normalize("NFC", text)
-        return self.pieces.findall(text.replace("Σ", "σ").lower())  # one character at a time: no final sigma
+        if self.odd[self.beyond.search(text) is not None].search(text):
+            if self.normalizer is None:
+                from tokenizers import Tokenizer
+
+                self.normalizer = Tokenizer.from_buffer(self.file).normalizer
+            return self.pieces[True].findall(self.normalizer.normalize_str(text))
+        text = unicodedata.normalize("NFC", text)  # which may lead beyond U+FFFF
+        high = self.beyond.search(text) is not None
+        return self.pieces[high].findall(text.replace("Σ", "σ").lower())  # one character at a time: no final sigma
 
     def split(self, text: str | None) -> list[str | int]:
         """The pieces of a text in order; a special token's string stands as its id."""
@@ -162,9 +245,11 @@ class PairIndexBPE:
 
     def learn(self, pieces: Iterable[str | int]) -> None:
         """Encode the distinct pieces that the cache does not hold yet, all in one index."""
-        if len(self.raw_of) > self.cache_pieces:
+        if self.cached > self.cache_bytes:
             self.raw_of.clear()
-            self.text_of.clear()
+            self.ids_of.clear()
+            self.tokens_of.clear()
+            self.cached = 0
         new = [p for p in set(pieces) if p not in self.raw_of]
         for i in [p for p in new if p.__class__ is int]:
             self.raw_of[i] = np.int32(i).tobytes()
@@ -175,14 +260,9 @@ class PairIndexBPE:
             at = 0
             for p, end in zip(new, ends):
                 self.raw_of[p] = raw[at:end]
+                self.cached += _ENTRY + 4 * len(p) + end - at
                 at = end
 
-    def _show(self, raw: bytes) -> str:
-        shown = self.text_of.get(raw)
-        if shown is None:
-            shown = self.text_of[raw] = " ".join(map(str, np.frombuffer(raw, "<i4").tolist()))
-        return shown
-
     # -- texts ----------------------------------------------------------------------------------------------------
     def _raw(self, texts: list[str | None]) -> list[list[bytes]]:
         split = [self.split(t) for t in texts]
@@ -191,7 +271,12 @@ class PairIndexBPE:
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[int, str]]:
         """For each text its number of tokens and its decimal ids joined by one space."""
-        return [(sum(map(len, own)) // 4, " ".join(map(self._show, own))) for own in self._raw(texts)]
+        return [made[:2] for made in self.round_trip(texts)]
+
+    def round_trip(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+        """For each text its number of tokens, its decimal ids joined by one space and what they decode to."""
+        for own in self._raw(texts):
+            yield sum(map(len, own)) // 4, " ".join(map(self.ids_of.__getitem__, own)), " ".join(map(self.tokens_of.__getitem__, own))
 
     def encode_arrays(self, texts: list[str | None]) -> pa.ListArray:
         """The ids of each text."""
@@ -209,10 +294,10 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_i
 
     The tokenizer file is read on the driver and travels with the task, so executors need no copy of it.
     """
-    spec = _file(tokenizer_path)
+    spec, classes = _file(tokenizer_path), character_classes()
 
     def make() -> Callable[[list], dict]:
-        bpe = PairIndexBPE(spec)
+        bpe = PairIndexBPE(spec, classes)
 
         def run(texts: list) -> dict:
             ids = bpe.encode_arrays(texts)
@@ -226,11 +311,11 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_i
 def decode(encoded: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` with decoded, the text of column ids (null: null)."""
     ship_package(encoded.sparkSession)
-    spec = _file(tokenizer_path)
+    spec, classes = _file(tokenizer_path), character_classes()
     schema = encoded.select(*keep).schema.add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = PairIndexBPE(spec)
+        bpe = PairIndexBPE(spec, classes)
         for batch in batches:
             texts = [bpe.decode(own) if own is not None else None for own in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string())], names=schema.names)
@@ -240,21 +325,17 @@ def decode(encoded: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("do
 
 def encode_digest(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` with n_tokens and SHA-256 digests of the joined ids and of the text decoded from the ids."""
-    spec = _file(tokenizer_path)
+    spec, classes = _file(tokenizer_path), character_classes()
 
     def make() -> Callable[[list], dict]:
-        bpe = PairIndexBPE(spec)
+        bpe = PairIndexBPE(spec, classes)
 
         def sha(text: str) -> str:
             return hashlib.sha256(text.encode()).hexdigest()
 
         def run(texts: list) -> dict:
-            encoded = bpe.encode_batch(texts)
-            return {
-                "n_tokens": [n for n, _ in encoded],
-                "ids_sha256": [sha(joined) for _, joined in encoded],
-                "decoded_sha256": [sha(bpe.decode(map(int, joined.split()))) for _, joined in encoded],
-            }
+            made = [(n, sha(ids), sha(decoded)) for n, ids, decoded in bpe.round_trip(texts)]
+            return {name: [row[k] for row in made] for k, name in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}
 
         return run
 

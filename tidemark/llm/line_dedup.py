@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, hold, map_texts, read, ship_package, shuffle_width, slices
+from ._common import WORD, cut, map_texts, read, released, ship_package, shuffle_width, slices
 
 _CLASS = np.uint64(59)
 _HASH = np.uint64((1 << 59) - 1)
@@ -531,41 +531,38 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(own.withColumnsRenamed({"codes": "x"}), "line").join(own.withColumnsRenamed({"line": "earlier", "codes": "y"}), "earlier")
 
 
-def _made(df: DataFrame) -> DataFrame:
-    """df, held on executors' disks and made now, once, before plans read it from two sides at the same time."""
-    df = hold(df)
-    df.count()
-    return df
-
-
 def removed_lines(docs: DataFrame, rule: Rule = Rule(), shards_per_task: int = 4) -> DataFrame:
-    """(doc_id, key, gone array<int>): the line numbers to remove, for rows that lose any; key is the text's hash."""
+    """(doc_id, key, gone array<int>): the line numbers to remove, for rows that lose any; key is the text's hash.
+
+    Every step is a table, so that its shuffle files go before the next begins; the tables go at the end.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     heavy, shards = heavy_words(docs, rule), shards_per_task * shuffle_width(spark)
-    found = _made(_candidates(_prefixes(docs, rule, heavy, shards), rule))
-    pairs = found.where("earlier is not null").groupBy("line", "earlier").agg(F.min("apart").alias("apart"))
-    lines = _made(_occurrences(docs, rule, _filter_of(_ends(pairs), "line")))
-    sets = _made(lines.where("codes is not null").groupBy("line").agg(F.first("codes").alias("codes")))
-    closest = pairs.groupBy("line").agg(F.min(F.struct("apart", "earlier"))["earlier"].alias("earlier"))
-    known = _made(_verified(_with_sets(closest, sets), rule))
-    others = pairs.join(known, "line", "left_anti").join(closest, ["line", "earlier"], "left_anti")
-    known = _made(known.union(_verified(_with_sets(others, sets), rule)).distinct())
-    left = _made(found.where("list is not null").select("line", "list").distinct().join(known, "line", "left_anti"))
-    if not left.isEmpty():
-        known = known.union(_second_round(docs, left, rule, heavy, shards)).distinct()
-    place = F.struct("doc_id", "key", "line_no")
-    first = lines.groupBy("line", "check").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    bound = first.join(known.withColumn("all", F.lit(True)), "line", "left").where("all or last > first").select("line", "check", "first", "all")
-    gone = lines.select("line", "check", "doc_id", "key", "line_no").join(bound, ["line", "check"]).where(F.col("all") | (place > F.col("first")))
-    return gone.groupBy("doc_id", "key").agg(F.collect_set("line_no").alias("gone"))
+    with released(spark, "lines-gone"):
+        found = cut(_candidates(_prefixes(docs, rule, heavy, shards), rule), "lines-found")
+        pairs = cut(found.where("earlier is not null").groupBy("line", "earlier").agg(F.min("apart").alias("apart")), "lines-pairs")
+        lines = cut(_occurrences(docs, rule, _filter_of(_ends(pairs), "line")), "lines-all")
+        sets = cut(lines.where("codes is not null").groupBy("line").agg(F.first("codes").alias("codes")), "lines-sets")
+        closest = pairs.groupBy("line").agg(F.min(F.struct("apart", "earlier"))["earlier"].alias("earlier"))
+        known = cut(_verified(_with_sets(closest, sets), rule), "lines-known")
+        others = pairs.join(known, "line", "left_anti").join(closest, ["line", "earlier"], "left_anti")
+        known = cut(known.union(_verified(_with_sets(others, sets), rule)).distinct(), "lines-known")
+        left = cut(found.where("list is not null").select("line", "list").distinct().join(known, "line", "left_anti"), "lines-left")
+        if not left.isEmpty():
+            known = known.union(_second_round(docs, left, rule, heavy, shards)).distinct()
+        place = F.struct("doc_id", "key", "line_no")
+        first = lines.groupBy("line", "check").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+        bound = first.join(known.withColumn("all", F.lit(True)), "line", "left").where("all or n > 1").select("line", "check", "first", "all")
+        gone = lines.select("line", "check", "doc_id", "key", "line_no").join(bound, ["line", "check"]).where(F.col("all") | (place > F.col("first")))
+        return cut(gone.groupBy("doc_id", "key").agg(F.collect_set("line_no").alias("gone")), "lines-gone")
 
 
 def _second_round(docs: DataFrame, left: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray], shards: int) -> DataFrame:
     """(line) of the lines in ``left`` (line, list) that match an earlier member of the list, nothing held back."""
     members = _lists(docs, rule, heavy, shards, _filter_of(left.select("list").distinct(), "list"))
-    members = _made(members.join(left.select("list").distinct(), "list", "left_semi").withColumn("n", F.expr(f"length(codes) DIV {_BYTES}")))
+    members = cut(members.join(left.select("list").distinct(), "list", "left_semi").withColumn("n", F.expr(f"length(codes) DIV {_BYTES}")), "lines-members")
     own = F.min(F.struct("doc_id", "line_no", "codes", "n")).alias("own")  # a line stands where it is earliest
     asking = members.join(left, ["list", "line"], "left_semi").groupBy("list", "line").agg(own)
     asking = asking.select("list", "line", F.struct("own.doc_id", "own.line_no").alias("at"), F.col("own.codes").alias("x"), F.col("own.n").alias("a"))

@@ -186,7 +186,8 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     shingles of every two that stay have a Jaccard similarity under 0.8, and each that goes has an earlier partner.
 
     64 bits can't tell 0.8 from chance, so no fingerprint is asked: the exact join of line dedup finds the pairs, with
-    shingles for words. Texts without a word are alike. Of rows that repeat a doc_id and text one stays.
+    shingles for words. Texts without a word are alike. Of rows that repeat a doc_id and text the least stays, by the
+    columns in order (they need an order: no maps). Rows without doc_id count as later than all others.
     """
     last = F.lit((1 << 63) - 1)
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.coalesce(F.col("doc_id").cast("long"), last).alias("__id"), "text")
@@ -206,7 +207,7 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     marked = map_texts(rows, ("__row", "__id"), make, "__key long, __blank boolean")
     marked = marked.where(~F.col("__blank") | (F.col("__id") == F.lit(empty)))
     kept = marked.join(gone, ["__id", "__key"], "left_anti")
-    one = kept.groupBy("__id", "__key").agg(F.first("__row").alias("__row"))
+    one = kept.groupBy("__id", "__key").agg(F.min("__row").alias("__row"))
     return one.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 
