@@ -99,7 +99,7 @@ def released(spark: SparkSession, *last: str) -> Iterator[None]:
             df.unpersist()
         del _persisted[persisted:]
         for path in _tables[tables:]:
-            if not any(f"/{name}-" in path for name in last):
+            if not any(path.rpartition("/")[2].startswith(f"{name}-") for name in last):
                 where, system = _located(spark, path)
                 system.delete(where, True)
                 _tables.remove(path)

@@ -1,7 +1,9 @@
 """A compressed full-text index over word sequences: Burrows-Wheeler transform in a wavelet matrix, backward search.
 
 The text itself is not kept. Ranks come from bit vectors of n log(words) bits with one count per 64 bits; document
-order per suffix, for the question whether a match lies in an earlier document, from a table of range minima.
+order per suffix, for the question whether a match lies in an earlier document, from range minima of about 13 bytes a
+word. Of a document's matching statistics only what the threshold asks is worked out: whether the match at a place is
+at least a window long, not how much longer.
 """
 
 from __future__ import annotations
@@ -58,12 +60,11 @@ class FMIndex:
         self.matrix = WaveletMatrix(before, alphabet + 1)
         self.n = n
         place = np.cumsum(~word) - (~word)
-        self.least = _minima(owner[np.minimum(place, count - 1)][order].astype(np.int32))
+        self.least = Minima(owner[np.minimum(place, count - 1)][order].astype(np.int32))
 
     def earliest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Least owner in each range of suffixes; ranges are not empty."""
-        k = np.frexp((high - low).astype(np.float64))[1] - 1
-        return np.minimum(self.least[k, low], self.least[k, high - (1 << k)])
+        return self.least.of(low, high)
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ranges of matches with each symbol put before them."""
@@ -92,16 +93,46 @@ def _suffixes(text: np.ndarray, separator: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def _minima(values: np.ndarray) -> np.ndarray:
-    """Row k: minima of 2^k values from each place on."""
-    rows = [values]
-    span = 1
-    while span * 2 <= len(values):
-        row = rows[-1].copy()
-        row[:-span] = np.minimum(rows[-1][:-span], rows[-1][span:])
-        rows.append(row)
-        span *= 2
-    return np.stack(rows)
+class Minima:
+    """Range minima: within blocks from running minima either way, over whole blocks from a table of their minima."""
+
+    BLOCK = 64
+
+    def __init__(self, values: np.ndarray):
+        blocks = -(-len(values) // self.BLOCK)
+        padded = np.full(blocks * self.BLOCK, np.iinfo(values.dtype).max, values.dtype)
+        padded[: len(values)] = values
+        square = padded.reshape(blocks, self.BLOCK)
+        self.values = padded
+        self.up = np.minimum.accumulate(square, axis=1).ravel()
+        self.down = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].ravel()
+        self.rows = [square.min(axis=1)] if blocks else []
+        span = 1
+        while span * 2 <= blocks:
+            self.rows.append(np.minimum(self.rows[-1][:-span], self.rows[-1][span:]))
+            span *= 2
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Minima of [low, high), none of them empty."""
+        first, last = low // self.BLOCK, (high - 1) // self.BLOCK
+        least = np.minimum(self.down[low], self.up[high - 1])
+        inner = last - first - 1
+        wide = np.flatnonzero(inner > 0)
+        if len(wide):
+            level = np.frexp(inner[wide].astype(np.float64))[1] - 1
+            for k in np.unique(level).tolist():
+                at = wide[level == k]
+                row = self.rows[k]
+                least[at] = np.minimum(least[at], np.minimum(row[first[at] + 1], row[last[at] - (1 << k)]))
+        near = np.flatnonzero(inner < 0)  # within a block, one value after the other
+        if len(near):
+            own = self.values[low[near]]
+            step, size = 1, high[near] - low[near]
+            while len(live := np.flatnonzero(size > step)):
+                own[live] = np.minimum(own[live], self.values[low[near[live]] + step])
+                step += 1
+            least[near] = own
+        return least
 
 
 def matched_windows(codes: np.ndarray, size: np.ndarray, owner: np.ndarray, window: int) -> list[list[tuple[int, int]]]:

@@ -67,24 +67,25 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key >> (3 * _BITS), key & ((1 << (3 * _BITS)) - 1), count
 
 
-def _pieces(text: str) -> list[str]:
-    """Pieces of bounded size that end at a non-letter where there is one."""
-    out, at = [], 0
-    while len(text) - at > _PIECE:
-        end = at + _PIECE
-        while end > at + _PIECE // 2 and text[end].isalpha():
-            end -= 1
-        out.append(text[at:end])
-        at = end
-    return [*out, text[at:]]
-
-
 def _one_long(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(code, count) of the n-grams of one text, a piece at a time; two symbols go over to the next piece."""
     codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    for piece in _pieces(text):
-        _, c, n = grams([piece])
-        codes, place = np.unique(np.concatenate((codes, c)), return_inverse=True)
-        counts = np.bincount(place, weights=np.concatenate((counts, n)), minlength=len(codes)).astype(np.int64)
+    carry = np.array([1], np.int64)
+    for at in range(0, len(text), _PIECE):
+        number = _letter_numbers()[np.frombuffer(text[at : at + _PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        letter = number > 0
+        stay = letter | np.concatenate(([carry[-1] > 1], letter[:-1]))  # of a run of non-letters the first
+        last = [1] if at + _PIECE >= len(text) else []
+        line = np.concatenate((carry, np.where(letter, number, 1)[stay], last)).astype(np.int64)
+        inside, old = line > 1, len(carry)
+        pair = np.arange(max(old, 1), len(line))
+        pair = pair[inside[pair - 1] | inside[pair]]
+        triple = np.arange(max(old, 2), len(line))
+        triple = triple[inside[triple - 1]]
+        made = np.concatenate((line[old:][inside[old:]], line[pair - 1] << _BITS | line[pair], line[triple - 2] << (2 * _BITS) | line[triple - 1] << _BITS | line[triple]))
+        codes, place = np.unique(np.concatenate((codes, made)), return_inverse=True)
+        counts = np.bincount(place, weights=np.concatenate((counts, np.ones(len(made)))), minlength=len(codes)).astype(np.int64)
+        carry = line[-2:]
     return codes, counts
 
 

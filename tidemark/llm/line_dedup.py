@@ -114,7 +114,7 @@ def graded(hashes: np.ndarray, heavy: np.ndarray, grade: np.ndarray) -> np.ndarr
 _known_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number and of its inverse, modulo 2^64; kept for the next call."""
     global _known_powers
     if len(_known_powers[0]) < n:
@@ -169,7 +169,7 @@ class Lines:
         start, stop = self._start, self._stop
         if not len(start):
             return np.empty(0, np.uint64)
-        power, inverse = _powers(len(self._byte) + 1)
+        power, inverse = powers(len(self._byte) + 1)
         with np.errstate(over="ignore"):
             sums = np.cumsum(self._byte * power[: len(self._byte)])
             sums = np.concatenate((np.zeros(1, np.uint64), sums))

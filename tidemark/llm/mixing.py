@@ -12,9 +12,10 @@ first in that pass's own permutation, up to the nearest document. No window span
 source's size.
 
 Defined results: tokens are words; a null source is the source ''; documents without a word weigh nothing and a source
-of such documents alone is left out. Repeated rows are documents of their own; empty tables give empty ones; columns
-of the input are carried along, but for clashes with the four that are added (epoch, block, tokens, shuffle_key),
-where the added ones win.
+of such documents alone is left out. A document without doc_id goes by the MD5 of its text. Repeated rows are documents
+of their own; rows of one doc_id with as many tokens are alike to the rule. Empty tables give empty ones; columns of the
+input are carried along, but for clashes with the four that are added (epoch, block, tokens, shuffle_key), where the
+added ones win (``mixed_rows`` keeps all).
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from ._common import WORD, cut, read
 
 ADDED = ("epoch", "block", "tokens", "shuffle_key")
+_SALTS = 16
 _STEPS = (100, 10_000, 1_000_000)
 
 
@@ -95,12 +97,15 @@ def mix(docs: DataFrame, target: Target = Target()) -> DataFrame:
     """
     carried = [c for c in docs.columns if c not in ADDED]
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    counted = docs.select(*carried, F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("tokens"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(text.cast("binary")))
+    counted = docs.select(*carried, F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"), name.alias("__name"))
     sizes = counted.groupBy(source.alias("source")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     sizes = cut(sizes.where("tokens > 0"), "mixing-sizes")
     share = repetitions(sizes, target).withColumnsRenamed({"source": "__source", "passes": "__passes", "n": "__n"})
-    rows = counted.withColumn("__source", source).join(share, "__source")
-    seed, doc = F.lit(str(target.seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    seed, doc = F.lit(str(target.seed)), F.col("__name")
+    share = share.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))  # a source's rows don't meet in one task
+    rows = counted.withColumns({"__source": source, "__salt": F.pmod(F.xxhash64(doc), F.lit(_SALTS)).cast("int")}).join(share, ["__source", "__salt"])
     blocks = F.ceil(F.col("__n") / target.block_docs)
     rows = rows.withColumn("block", (F.conv(F.substring(_hash(seed, doc), 1, 7), 16, 10).cast("long") % blocks).cast("int"))
     whole = F.floor("__passes")
@@ -113,6 +118,12 @@ def mix(docs: DataFrame, target: Target = Target()) -> DataFrame:
     return rows.select(*carried, "epoch", "block", "tokens", F.substring(_hash(seed, doc, F.col("epoch")), 1, 16).alias("shuffle_key"))
 
 
+def mixed_rows(docs: DataFrame, target: Target = Target()) -> DataFrame:
+    """What ``mix`` takes of ``docs``, a row for each pass, with all columns of ``docs`` and no other, whatever their names."""
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text", "source")
+    return mix(rows, target).select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+
+
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
     return mix(docs).select("doc_id", "source", "epoch", "block", "tokens", "shuffle_key")
@@ -131,7 +142,7 @@ def _sql(target: Target) -> str:
         high = f"(SELECT high FROM found{k})"
         low = f"greatest(0, {high} - {step})"
     return f"""
-    WITH counted AS (SELECT doc_id, source, coalesce(source, '') AS s, coalesce(doc_id::VARCHAR, '') AS d,
+    WITH counted AS (SELECT doc_id, source, coalesce(source, '') AS s, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS d,
             len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS tokens FROM documents),
     sizes AS (SELECT s, sum(tokens)::BIGINT AS t, count(*) AS n FROM counted GROUP BY s HAVING sum(tokens) > 0),
     total AS (SELECT sum(t)::DOUBLE AS total FROM sizes),

@@ -8,7 +8,8 @@ Averaging and a linear layer commute, so scoring needs one number a bucket: its
 difference. A text's score is the sigmoid of the mean over its features.
 
 Learning rows: labelled, outside the held-out fold, at most about ``sample_per_class`` a class (a hash of doc_id
-decides). That bound is the only sampling; their whole texts are used.
+decides), and of these, in order of another hash, as many as hold ``sample_features`` features together: what reaches the
+driver is bounded whatever their length. That is the only sampling; their whole texts are used.
 
 Defined results: null and empty texts have no features and get the sigmoid of the bias. Without labels of both classes
 every score is 0.5. Labels other than 0 and 1, and null ones, teach nothing; of several labels of one document the
@@ -17,14 +18,15 @@ greatest counts. One row per input row; texts are hashed whole, in pieces of bou
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, map_texts, read
+from ._common import cut, held_out, map_texts, read
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PIECE = 1 << 21
@@ -38,6 +40,7 @@ class Shape:
     rate: float = 0.4
     seed: int = 7
     sample_per_class: int = 1500
+    sample_features: int = 12_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -45,8 +48,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _hashes(raw: bytes) -> list[np.ndarray]:
-    """64-bit hashes of all features of a UTF-8 text, by kind."""
+def _hashes(raw: bytes, before: np.ndarray) -> list[np.ndarray]:
+    """64-bit hashes of all features of a UTF-8 text, by kind. ``before``: the hashes of the two words before it."""
     byte = np.frombuffer(b" " + raw + b" ", np.uint8)
     blank = (byte == 32) | ((byte >= 9) & (byte <= 13))
     keep = ~(blank & np.concatenate(([False], blank[:-1])))
@@ -70,17 +73,19 @@ def _hashes(raw: bytes) -> list[np.ndarray]:
                 if 0 < i < n - 1:
                     crossing |= blank[i : i + len(rolled)]
             out.append(_mix(rolled[~crossing] * _ODD + np.uint64(n)))
+        line = np.concatenate((before, words))
         for gap in (1, 2):
-            out.append(_mix((words[:-gap] ^ words[gap:]) + np.uint64(gap)))
+            pairs = line[:-gap] ^ line[gap:]
+            out.append(_mix(pairs[max(0, len(before) - gap) :] + np.uint64(gap)))
     return out
 
 
 def buckets(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text's features and their weights, which add up to 1. Each kind has an equal share."""
     kinds: list[list[np.ndarray]] = [[] for _ in range(5)]
-    for piece in _pieces((text or "").encode()):
-        for kind, found in zip(kinds, _hashes(piece)):
-            kind.append(found)
+    for found in features(text):
+        for kind, own in zip(kinds, found):
+            kind.append(own)
     ids, weights = [], []
     for kind in kinds:
         found = np.concatenate(kind) if kind else np.empty(0, np.uint64)
@@ -94,14 +99,19 @@ def buckets(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return own, weight / len(ids)
 
 
-def _pieces(raw: bytes) -> list[bytes]:
-    out, at = [], 0
-    while len(raw) - at > _PIECE:
-        end = max(raw.rfind(b" ", at, at + _PIECE), raw.rfind(b"\n", at, at + _PIECE))
-        end = end if end > at else at + _PIECE
-        out.append(raw[at:end])
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def features(text: str | None) -> Iterator[list[np.ndarray]]:
+    """Hashes by kind of all features of a text, a piece at a time. Pieces end at a blank, and word pairs go across."""
+    raw, at, before = (text or "").encode(), 0, np.empty(0, np.uint64)
+    while at < len(raw):
+        blank = _BLANK.search(raw, at + _PIECE)
+        end = blank.start() if blank else len(raw)
+        if found := _hashes(raw[at:end], before):
+            yield found
+            before = np.concatenate((before, found[0]))[-2:]
         at = end
-    return [*out, raw[at:]]
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], shape: Shape) -> tuple[np.ndarray, float]:
@@ -153,8 +163,15 @@ def fit(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> tuple[np.
 
         return run
 
-    found = map_texts(chosen, ("doc_id", "quality"), make, "own binary, weight binary").collect()
-    found.sort(key=lambda r: r["doc_id"])
+    made = cut(map_texts(chosen, ("doc_id", "quality"), make, "own binary, weight binary"), "quality-features")
+    sizes = made.select("doc_id", F.expr("length(own) DIV 4").alias("n")).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").collect()
+    taken, total = [], 0
+    for row in sizes:
+        total += row["n"]
+        if total <= shape.sample_features:
+            taken.append(row["doc_id"])
+    found = made.where(F.col("doc_id").isin(taken)).collect() if len(taken) < len(sizes) else made.collect()
+    found.sort(key=lambda r: (r["doc_id"], r["own"], r["weight"]))
     return train([(r["quality"], np.frombuffer(r["own"], np.int32), np.frombuffer(r["weight"], np.float32)) for r in found], shape)
 
 
@@ -167,10 +184,10 @@ def predict(docs: DataFrame, model: tuple[np.ndarray, float], shape: Shape = Sha
 
         def one(text: str | None) -> float:
             kinds: list[list[float]] = [[0.0, 0] for _ in range(5)]
-            for piece in _pieces((text or "").encode()):
-                for kind, found in zip(kinds, _hashes(piece)):
-                    kind[0] += float(logit[(found >> np.uint64(64 - shape.bits)).astype(np.int64)].sum(dtype=np.float64))
-                    kind[1] += len(found)
+            for found in features(text):
+                for kind, own in zip(kinds, found):
+                    kind[0] += float(logit[(own >> np.uint64(64 - shape.bits)).astype(np.int64)].sum(dtype=np.float64))
+                    kind[1] += len(own)
             means = [s / n for s, n in kinds if n]
             z = bias + (sum(means) / len(means) if means else 0.0)
             return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))

@@ -15,12 +15,14 @@ scanned whole; empty tables give empty ones; other columns of the input don't ma
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, read
+from ._common import read, shared_dir
 
 
 @dataclass(frozen=True)
@@ -50,6 +52,7 @@ ADDED = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 RULES = BASE + ADDED
+LEDGER = "blob binary, rule_version string, spans array<struct<start:int,ord:int,stop:int,kind:string>>"
 SPANS = "array<struct<start:int,ord:int,stop:int,kind:string>>"
 
 
@@ -98,6 +101,26 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     return blobs.select("blob", F.lit(version).alias("rule_version"), spans_of("text", rules).alias("spans"))
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at a path, None if nothing was written there yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def update(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan what the ledger at ``path`` lacks of ``versions``, append it there, and return the ledger as it then is.
+
+    A second call over the same versions, or over copies of their texts at other paths, scans nothing.
+    """
+    spark = versions.sparkSession
+    scan_unseen(versions, stored(spark, path), rules).write.mode("append").parquet(path)
+    return stored(spark, path)
+
+
 def join_back(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All paths of ``versions`` with their blob's spans under the present rules."""
     known = ledger.where(F.col("rule_version") == rule_version(rules)).select("blob", "spans")
@@ -111,7 +134,7 @@ def joined(spans: F.Column) -> F.Column:
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
     versions = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ledger = cut(scan_unseen(versions), "secret-ledger")
+    ledger = update(versions, f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")  # a new one: the whole table is unseen
     found = join_back(versions, ledger)
     base = F.filter("spans", lambda s: s["ord"] < len(BASE))
     return found.select(

@@ -10,7 +10,7 @@ window of the run in the first holder, which the same index contains.
 
 Defined results: null text counts as no words; under ``window`` words nothing is removed. A row without doc_id has no
 order and keeps all its words. Rows that repeat a doc_id are one document to the rule. Words are compared by 64-bit
-hashes. Texts of any length are taken whole; empty tables give empty ones; other columns don't matter.
+hashes, and runs by 128 bits of those (anchor and content) before one counts as a copy of another. Texts of any length are taken whole; empty tables give empty ones; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ._common import cut, hold, map_texts, read, ship_package, shuffle_width, slices
 from .fm_index import matched_windows
+from .line_dedup import powers
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _CODE_BYTES = 8
@@ -65,9 +66,9 @@ def runs(codes: np.ndarray, window: int, gram: int, longest: int = 256) -> tuple
     whole = np.repeat(size, pieces)
     start = np.repeat(start, pieces) + offset * longest
     size = np.minimum(whole - offset * longest, longest)
-    power = np.cumprod(np.full(n, _P, np.uint64))
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(codes * power)))
-    content = (sums[start + size + window - 1] - sums[start]) * power[n - 1 - start]
+    power, inverse = powers(n)
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(codes * power[:n])))
+    content = (sums[start + size + window - 1] - sums[start]) * inverse[start]  # the same wherever the words stand
     return least[start], content, start, size
 
 
