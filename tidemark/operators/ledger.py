@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import make_key, normalize
 
-OUTCOMES = "array<struct<seq:long,outcome:string,incumbent:long>>"
-
 
 def keyed(assertions: DataFrame) -> DataFrame:
     return assertions.withColumn("key", make_key("subject", "relation")).withColumn("norm", normalize("value"))
@@ -41,16 +39,19 @@ def auto_outcomes(assertions: DataFrame) -> DataFrame:
 def gated_outcomes(assertions: DataFrame) -> DataFrame:
     """(seq, outcome, incumbent): a weaker differing value waits for review and leaves the incumbent as it is.
 
-    One fold over each key's ordered rows. A key's rows have to meet, since each outcome depends on the one before.
+    The incumbent's reliability is always the greatest so far, since whatever reaches it takes over or agrees. So a row
+    that reaches the greatest before it holds the place, the incumbent value is that of the last holder, and its id the
+    first of the holders that agree in a row: windows over one order, no fold.
     """
-    rows = keyed(assertions).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("valid_from", "seq", "norm", "reliability"))).alias("rows"))
-    start = f"CAST(struct(NULL, CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT), array()) AS struct<norm:string,rel:double,id:bigint,out:{OUTCOMES}>)"
-    fold = f"""aggregate(rows, {start}, (a, x) -> CASE
-        WHEN a.id IS NULL THEN struct(x.norm AS norm, x.reliability AS rel, x.seq AS id, concat(a.out, array(struct(x.seq AS seq, 'created' AS outcome, CAST(NULL AS BIGINT) AS incumbent))) AS out)
-        WHEN x.norm = a.norm THEN struct(a.norm AS norm, greatest(a.rel, x.reliability) AS rel, a.id AS id, concat(a.out, array(struct(x.seq AS seq, 'reinforced' AS outcome, a.id AS incumbent))) AS out)
-        WHEN x.reliability < a.rel THEN struct(a.norm AS norm, a.rel AS rel, a.id AS id, concat(a.out, array(struct(x.seq AS seq, 'pending_review' AS outcome, a.id AS incumbent))) AS out)
-        ELSE struct(x.norm AS norm, x.reliability AS rel, x.seq AS id, concat(a.out, array(struct(x.seq AS seq, 'superseded' AS outcome, a.id AS incumbent))) AS out) END, a -> a.out)"""
-    return rows.select(F.inline(F.expr(fold)))
+    order = Window.partitionBy("key").orderBy("valid_from", "seq")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = keyed(assertions).select("key", "seq", "valid_from", "norm", "reliability", F.max("reliability").over(before).alias("most"))
+    holds = F.col("most").isNull() | (F.col("reliability") >= F.col("most"))
+    rows = rows.withColumn("holds", holds).withColumn("now", F.last(F.when(F.col("holds"), F.col("norm")), ignorenulls=True).over(before))
+    takes = F.col("holds") & (F.col("now").isNull() | (F.col("now") != F.col("norm")))
+    rows = rows.withColumn("incumbent", F.last(F.when(takes, F.col("seq")), ignorenulls=True).over(before))
+    outcome = F.when(F.col("now").isNull(), "created").when(F.col("now") == F.col("norm"), "reinforced").when(~F.col("holds"), "pending_review").otherwise("superseded")
+    return rows.select("seq", outcome.alias("outcome"), "incumbent")
 
 
 def awaited_outcomes(assertions: DataFrame) -> DataFrame:

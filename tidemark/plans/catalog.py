@@ -16,6 +16,7 @@ from ..operators import repair as rp
 from ..operators import reports as rs
 from ..sources import model, transcripts
 from . import oracle as o
+from . import rules_sql as rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -233,7 +234,7 @@ def ledger_await(spark, sf_dir):
     return lg.awaited_outcomes(model.assertions(spark, sf_dir))
 
 
-@query()
+@query(rules.ARRIVAL)
 def ledger_arrival(spark, sf_dir):
     return lg.arrival_outcomes(model.assertions(spark, sf_dir))
 
@@ -374,23 +375,27 @@ def moving_version(spark, sf_dir):
     return _triples(spark, sf_dir).select("p_partkey", durability.moving_version().alias("fired"))
 
 
-@query()
+@query(f"WITH {_TRIPLES} SELECT p_partkey, {rules.status()} AS fired FROM tri")
 def status_class(spark, sf_dir):
     return _triples(spark, sf_dir).select("p_partkey", durability.status().alias("fired"))
 
 
-@query()
+@query(f"WITH {_TRIPLES} SELECT p_partkey, subject, relation, value, {rules.classify()} AS class FROM tri")
 def volatility_classify(spark, sf_dir):
     return _triples(spark, sf_dir).select("p_partkey", "subject", "relation", "value", durability.classify().alias("class"))
 
 
-@query()
+@query(f"SELECT doc_id, {rules.instruction('source', 'lang', 'text')} AS why FROM documents")
 def instruction_shape(spark, sf_dir):
     d = model.table(spark, sf_dir, "documents")
     return d.select("doc_id", durability.instruction_shape("source", "lang", "text").alias("why"))
 
 
-@query()
+_GATED = f"""gated AS (SELECT *, 0.5::DOUBLE AS reliability, 'memory:session/s/turn/1' AS source, p_partkey % 11 = 0 AS confirmed,
+    CASE WHEN p_partkey % 7 = 0 THEN {o.NOW} ELSE TIMESTAMP '2023-01-01' END AS valid_from FROM tri)"""
+
+
+@query(f"WITH {_TRIPLES}, {_GATED} SELECT p_partkey, {rules.verdict()} AS reason FROM gated")
 def gate_verdict(spark, sf_dir):
     t = _triples(spark, sf_dir).withColumns({"reliability": F.lit(0.5), "source": F.lit("memory:session/s/turn/1"), "confirmed": F.col("p_partkey") % 11 == 0})
     t = t.withColumn("valid_from", F.when(F.col("p_partkey") % 7 == 0, model.now()).otherwise(F.lit("2023-01-01 00:00:00").cast("timestamp_ntz")))
@@ -505,13 +510,16 @@ def marked_sources(spark, sf_dir):
 
 
 # -- mining -------------------------------------------------------------------------------------------------------
-@query()
+@query(f"WITH {o.TURN}, s AS (SELECT id, {rules.sentences('text')} AS s FROM turn) SELECT id, (generate_subscripts(s, 1) - 1)::INTEGER AS at, unnest(s) AS sentence FROM s")
 def sentence_split(spark, sf_dir):
     t = model.turns(spark, sf_dir)
     return t.select("id", F.posexplode(mn.sentences("text")).alias("at", "sentence"))
 
 
-@query()
+_DOC_TURN = "docturn AS (SELECT doc_id AS id, doc_id::VARCHAR AS session, text FROM documents)"
+
+
+@query(f"WITH {_DOC_TURN}, {rules.regions('docturn')} SELECT session, nth::INTEGER AS nth, region FROM region")
 def trigger_regions(spark, sf_dir):
     docs = model.document_turns(spark, sf_dir)
     return mn.regions(docs)
@@ -525,15 +533,26 @@ def grounded(spark, sf_dir):
     return t.select("id", mn.grounded("value", "text").alias("grounded"))
 
 
-@query()
+@query(f"""WITH {_TRIPLES}, cand AS (SELECT *, concat_ws(' ', subject, relation, value) AS region, concat_ws(' ', subject, relation) AS anchor, p_partkey % 13 <> 0 AS keep FROM tri),
+    {rules.admission('cand')} SELECT reason, count(*) AS n FROM judged GROUP BY reason""")
 def validate_reasons(spark, sf_dir):
     t = _triples(spark, sf_dir).withColumns({"region": F.concat_ws(" ", "subject", "relation", "value"), "anchor": F.concat_ws(" ", "subject", "relation"), "keep": F.col("p_partkey") % 13 != 0})
     return mn.admission(t).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_PART_TURN = """partturn AS (SELECT p_partkey AS id, p_brand AS session, 'Notes of the week, part ' || p_partkey || '. The ' || replace(p_name, ' ', '-') || ' tier is now ' || p_type
+    || '. See vs. No. 7 for prices. Our ' || lower(p_brand) || ' shelf defaults to row-' || p_size || '. Ask Dr. Vega.' AS text FROM part)"""
+
+
+@query(f"WITH {_PART_TURN}, {rules.derived('partturn')}")
 def derive_facts(spark, sf_dir):
-    return mn.derive(mn.regions(model.document_turns(spark, sf_dir)), mn.copula_extractor)
+    """Facts from one note a part, a session a brand, so that regions, reasons, copies and caps all have work."""
+    p = model.table(spark, sf_dir, "part")
+    text = F.concat(
+        F.lit("Notes of the week, part "), F.col("p_partkey").cast("string"), F.lit(". The "), F.translate("p_name", " ", "-"), F.lit(" tier is now "), "p_type",
+        F.lit(". See vs. No. 7 for prices. Our "), F.lower("p_brand"), F.lit(" shelf defaults to row-"), F.col("p_size").cast("string"), F.lit(". Ask Dr. Vega."),
+    )
+    return mn.derive(mn.regions(p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("session"), text.alias("text"))), mn.copula_extractor)
 
 
 # -- experiments --------------------------------------------------------------------------------------------------
