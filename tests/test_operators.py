@@ -159,11 +159,14 @@ def test_sync_is_exactly_once(spark, tmp_path):
 
 
 def test_regions_and_facts_of_every_document(spark, tmp_path):
+    from tidemark.operators import mining
     from tidemark.plans.catalog import QUERIES
+    from tidemark.sources import model
 
     fact = "The deploy gateway%d defaults to cluster-%d in the office."
     rows = [(i, fact % (i, i), "src0") for i in range(40)] + [(40, "Filler words go on here. " * 1000 + fact % (40, 40), "src0")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     found = QUERIES["trigger_regions"](spark, str(tmp_path)).collect()
     assert {(r.session, f"gateway{r.session} " in r.region) for r in found} == {(str(i), True) for i in range(41)}
-    assert {r.session for r in QUERIES["derive_facts"](spark, str(tmp_path)).collect()} == {str(i) for i in range(41)}
+    facts = mining.derive(mining.regions(model.document_turns(spark, str(tmp_path))), mining.copula_extractor)
+    assert {r.session for r in facts.collect()} == {str(i) for i in range(41)}

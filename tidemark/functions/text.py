@@ -48,9 +48,13 @@ def subject_terms(text: str) -> Column:
     return F.expr(f"array_distinct(filter({_terms(text)}, w -> w <> '' AND NOT array_contains({array_of(W.STOPWORDS)}, w)))")
 
 
+def analyze_sql(text: str) -> str:
+    return f"regexp_extract_all(translate(lower({text}), '{ACCENTED}', '{FOLDED}'), '[\\\\p{{L}}\\\\p{{N}}]+', 0)"
+
+
 def analyze(text: str) -> Column:
     """Index tokens: lower case, marks folded, split at whatever is neither letter nor digit. Not stemmed."""
-    return F.expr(f"regexp_extract_all(translate(lower({text}), '{ACCENTED}', '{FOLDED}'), '[\\\\p{{L}}\\\\p{{N}}]+', 0)")
+    return F.expr(analyze_sql(text))
 
 
 def est_tokens(text: str) -> Column:
@@ -86,6 +90,41 @@ def age_days(ts: Column, at: Column) -> Column:
     return F.greatest(F.coalesce(micros / 86_400_000_000, F.lit(365.0)), F.lit(0.0))
 
 
+def age_hours(ts: Column, at: Column) -> Column:
+    """Hours from ts to at; null if unknown, 0 if in the future."""
+    micros = F.unix_micros(at.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))
+    return F.greatest(micros / 3_600_000_000, F.when(micros.isNotNull(), F.lit(0.0)))
+
+
+def event_second(ts: str) -> Column:
+    """An event time at second precision with Z, null if it doesn't begin as one."""
+    found = F.regexp_extract(F.trim(ts), r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})", 1)
+    return F.when(found != "", F.concat(found, F.lit("Z")))
+
+
+def value_terms(text: str) -> Column:
+    """The distinct index terms of a value, sorted."""
+    return F.array_sort(F.array_distinct(analyze(text)))
+
+
+def ellipsis(ascii_only: bool = False) -> str:
+    return "..." if ascii_only else "…"
+
+
+def clip_head(text: str, limit: int, ascii_only: bool = False) -> Column:
+    """White space closed up; over the limit the head stays, with a mark, limit characters in all."""
+    flat, mark = F.trim(F.regexp_replace(text, r"\s+", " ")), ellipsis(ascii_only)
+    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, limit - len(mark))), F.lit(mark)))
+
+
+def snippet(text: str, terms: str, size: int = 96) -> Column:
+    """Of all windows of ``size`` index terms the first with the most matches of ``terms``, its terms joined by a space.
+"""
+    return F.expr(f"""transform(array({analyze_sql(text)}), t -> array_join(slice(t, 1 + array_position(
+        transform(sequence(1, greatest(1, size(t) - {size} + 1)), i -> size(filter(slice(t, i, {size}), w -> array_contains({terms}, w)))),
+        array_max(transform(sequence(1, greatest(1, size(t) - {size} + 1)), i -> size(filter(slice(t, i, {size}), w -> array_contains({terms}, w)))))) - 1, {size}), ' '))[0]""")
+
+
 def activation(age: Column, uses: Column, decay: float, weight: float) -> Column:
     return F.pow(1 + age, F.lit(-decay)) * (1 + weight * F.log1p(F.greatest(uses, F.lit(0))))
 
@@ -112,8 +151,19 @@ def project_dir(source: str) -> Column:
     return F.regexp_replace(F.regexp_replace(source, r"/[^/]*$", ""), r"/[^/]+/subagents$", "")
 
 
+MAX_DIR_NAME = 200
+
+
 def project_dir_name(path: str) -> Column:
-    return F.regexp_replace(path, "[^A-Za-z0-9]", "-")
+    """The folder name of a project's transcripts: a dash for each UTF-16 unit that is no ASCII letter or digit; of a name
+    of over 200 the first 200, a dash, and the path's 31-hash over UTF-16 units in base 36."""
+    plain = F.regexp_replace(F.regexp_replace(path, "[^\\x00-\\uffff]", "--"), "[^A-Za-z0-9]", "-")
+    units = f"encode({path}, 'UTF-16BE')"
+    unit = "CAST(conv(hex(substring(u, 2 * i + 1, 2)), 16, 10) AS BIGINT)"
+    folded = f"""aggregate(sequence(0, length({path}) * 2 + 1), CAST(struct({units}, 0) AS struct<u:binary,h:bigint>),
+        (a, i) -> IF(2 * i >= octet_length(a.u), a, struct(a.u AS u, (a.h * 31 + {unit.replace("(u,", "(a.u,")}) % 4294967296 AS h)), a -> a.h)"""
+    tail = f"lower(conv(CAST(abs(IF({folded} >= 2147483648, {folded} - 4294967296, {folded})) AS STRING), 10, 36))"
+    return F.when(F.length(plain) <= MAX_DIR_NAME, plain).otherwise(F.concat(F.substring(plain, 1, MAX_DIR_NAME), F.lit("-"), F.expr(tail)))
 
 
 def pointer_session(source: str) -> Column:
@@ -124,11 +174,21 @@ def pointer_turn(source: str) -> Column:
     return F.nullif(F.regexp_extract(source, r"^memory:session/(.+)/turn/(\d+)$", 2), F.lit("")).cast("long")
 
 
-def glob_pattern(glob: str) -> str:
-    """A glob over whole paths as a regular expression; * and ? cross slashes."""
-    out = []
-    for c in glob:
-        out.append(".*" if c == "*" else "." if c == "?" else "\\" + c if c in "\\.^$+{}[]()|" else c)
+def glob_pattern(glob: str, home: str = "") -> str:
+    """A glob over whole paths as a regular expression; * and ? cross slashes, [abc], [a-z] and [!abc] are classes, and a
+    leading ~ is ``home`` where one is given."""
+    if home and (glob == "~" or glob.startswith("~/")):
+        glob = home + glob[1:]
+    out, at = [], 0
+    while at < len(glob):
+        c, at = glob[at], at + 1
+        end = glob.find("]", at + 1 + (glob[at : at + 1] == "!")) if c == "[" else -1
+        if end > 0:
+            inner = glob[at:end].replace("\\", "\\\\").replace("[", "\\[").replace("]", "\\]").replace("&", "\\&").replace("^", "\\^")
+            out.append(f"[{'^' + inner[1:] if inner.startswith('!') else inner}]")
+            at = end + 1
+        else:
+            out.append(".*" if c == "*" else "." if c == "?" else "\\" + c if c in "\\.^$+{}[]()|" else c)
     return "^(?s:" + "".join(out) + ")$"
 
 

@@ -24,6 +24,50 @@ def sign_test(wins: str, losses: str) -> F.Column:
     return F.expr(f"CASE WHEN {n} = 0 THEN 1.0D ELSE least(1.0D, 2 * {tail}) END")
 
 
+def election_by_model(cells: DataFrame) -> DataFrame:
+    """Per variant and model over valid cells (expect boolean): counts, rates, balanced accuracy, phrasings of elected
+    positives, first-tool rate over positives, mismatches. A rate of nothing is null."""
+    positive, elected = F.col("expect"), F.col("recall_called")
+    rows = cells.where("valid").groupBy("variant", "model").agg(
+        F.count_if(positive).alias("n_pos"),
+        F.count_if(~positive).alias("n_neg"),
+        F.count_if(positive & elected).alias("tp"),
+        F.count_if(~positive & elected).alias("fp"),
+        F.avg(F.when(positive & elected, F.col("n_phrasings"))).alias("phrasings"),
+        F.avg(F.when(positive, (F.col("first_tool") == "recall").cast("double"))).alias("first_rate"),
+        F.count_if("recall_mismatch").alias("mismatch"),
+        F.count_if("count_mismatch").alias("count_mismatch"),
+    )
+    rows = rows.withColumns({"tpr": F.try_divide("tp", "n_pos"), "fpr": F.try_divide("fp", "n_neg")})
+    return rows.withColumn("balanced", (F.col("tpr") + 1 - F.col("fpr")) / 2)
+
+
+def decide(cells: DataFrame, candidate: str, control: str, alpha: float = 0.05) -> DataFrame:
+    """(model, pairs, wins, losses, n_pos, elected, elected_control, passes): a candidate passes with a model if it is right
+    significantly more often where they differ, and elects no fewer of the matched positives. It ships if it passes with
+    every model (``ships``)."""
+    right = F.col("expect") == F.col("recall_called")
+    own = cells.where("valid").select("variant", "model", "scenario", "repeat", "expect", "recall_called", right.alias("right"))
+    key = ["model", "scenario", "repeat"]
+    base = own.where(F.col("variant") == control).select(*key, F.col("right").alias("base"), F.col("recall_called").alias("base_called"))
+    pairs = own.where(F.col("variant") == candidate).join(base, key)
+    sums = pairs.groupBy("model").agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.count_if(F.col("right") & ~F.col("base")).alias("wins"),
+        F.count_if(F.col("base") & ~F.col("right")).alias("losses"),
+        F.count_if("expect").alias("n_pos"),
+        F.count_if(F.col("expect") & F.col("recall_called")).alias("elected"),
+        F.count_if(F.col("expect") & F.col("base_called")).alias("elected_control"),
+    )
+    better = (F.col("wins") > F.col("losses")) & (sign_test("wins", "losses") < alpha)
+    return sums.withColumn("passes", better & (F.col("n_pos") > 0) & (F.col("elected") >= F.col("elected_control")))
+
+
+def ships(decided: DataFrame) -> DataFrame:
+    """One row: whether every model passes; without a model nothing ships."""
+    return decided.agg(F.coalesce(F.bool_and("passes"), F.lit(False)).alias("ship"))
+
+
 def election_rates(cells: DataFrame) -> DataFrame:
     """Per variant over valid cells: true and false positive rate, balanced accuracy, phrasings of elected positives,
     share whose first tool was recall."""
@@ -84,6 +128,50 @@ def health(log: DataFrame, threshold: float) -> DataFrame:
     return log.groupBy(group.alias("group")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("prompt_id").alias("prompts"), F.round(F.avg("p"), 6).alias("mean_p"))
 
 
+def prompt_health(log: DataFrame, threshold: float, k: int) -> DataFrame:
+    """One row over a log's prompts: answered, fallback rate, blocks that the filter emptied, prompts where the cap of
+    ``k`` binds, candidates a prompt before and with the filter."""
+    over = F.coalesce(F.col("p") >= threshold, F.lit(False))
+    order = Window.partitionBy("prompt_id").orderBy(F.desc_nulls_last("p"), "rank")
+    rows = log.withColumn("chosen", over & (F.row_number().over(order) <= k))
+    each = rows.groupBy("prompt_id").agg(
+        F.bool_and(F.col("p").isNotNull() & ~F.col("error")).alias("answered"), F.bool_or("today").alias("had"), F.bool_or("chosen").alias("has"),
+        F.count_if(over).alias("over"), F.count_if("chosen").alias("with"), F.count_if("today").alias("alone"),
+    )
+    good = F.col("answered")
+    return each.agg(
+        F.count(F.lit(1)).alias("prompts"), F.count_if(good).alias("answered"), F.round(F.avg((~good).cast("double")), 4).alias("fallback_rate"),
+        F.count_if(good & F.col("had") & ~F.col("has")).alias("emptied"), F.count_if(good & (F.col("over") > F.col("with"))).alias("capped"),
+        F.round(F.sum(F.when(good, F.col("alone"))) / F.count_if(good), 2).alias("alone_per_prompt"), F.round(F.sum(F.when(good, F.col("with"))) / F.count_if(good), 2).alias("filtered_per_prompt"),
+    )
+
+
+def group_precision(log: DataFrame, verdicts: DataFrame, threshold: float) -> DataFrame:
+    """(group, relevant, noise, precision) of judged candidates: kept, dropped, added, and the misses, passed."""
+    chosen = F.col("p") >= threshold
+    group = F.when(chosen & F.col("today"), "kept").when(~chosen & F.col("today"), "dropped").when(chosen, "added").otherwise("passed")
+    sums = log.join(verdicts, "belief_id").groupBy(group.alias("group")).agg(F.count_if("relevant").alias("relevant"), F.count_if(~F.col("relevant")).alias("noise"))
+    return sums.withColumn("precision", F.round(F.try_divide("relevant", F.col("relevant") + F.col("noise")), 4))
+
+
+def injection_rates(scores: DataFrame) -> DataFrame:
+    """One row over scored contexts: in what share anything was injected, all, positive and negative questions apart."""
+    any_ = (F.col("chars") > 0).cast("double")
+    negative = F.col("type") == "negative"
+    return scores.agg(F.round(F.avg(any_), 6).alias("injected"), F.round(F.avg(F.when(~negative, any_)), 6).alias("positives"), F.round(F.avg(F.when(negative, any_)), 6).alias("negatives"))
+
+
+def toward(now: F.Column, want: F.Column, step: float = 0.5) -> F.Column:
+    """A damped move of a setting: half the way to the proposal."""
+    return F.round(now + step * (want - now), 4)
+
+
+def stratified(log: DataFrame, n: int, seed: int) -> DataFrame:
+    """``n`` candidates of each group to be judged, in the order of a seeded hash: the same for the same log."""
+    order = Window.partitionBy("group").orderBy(F.xxhash64(F.lit(seed), "prompt_id", "belief_id"), "prompt_id", "belief_id")
+    return log.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n).drop("nth")
+
+
 def element_quantiles(rows: DataFrame, by: str, value: str, shares: tuple[float, ...]) -> DataFrame:
     """Of each group the sorted list's element at min(n - 1, int(share n))."""
     order, every = Window.partitionBy(by).orderBy(value), Window.partitionBy(by)

@@ -135,3 +135,39 @@ def neighbours(beliefs: DataFrame, late: DataFrame) -> DataFrame:
     ahead = F.first("id", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
     rows = marks.unionByName(probes).select("probe", "side", back.alias("before_id"), ahead.alias("after_id"))
     return rows.where("side = 1").select("probe", "before_id", "after_id")
+
+
+def with_confirmations(beliefs: DataFrame, confirmations: DataFrame) -> DataFrame:
+    """beliefs with confirmed: whether a person confirmed them (belief_id)."""
+    ids = confirmations.select(F.col("belief_id").alias("id"), F.lit(True).alias("confirmed")).distinct()
+    return beliefs.join(ids, "id", "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
+
+
+def history(beliefs: DataFrame, retractions: DataFrame) -> DataFrame:
+    """Every belief but rejected candidates, with retracted_at and retracted_reason where it was retracted
+    (belief_id, retracted_at, reason); by key, the oldest first."""
+    gone = retractions.select(F.col("belief_id").alias("id"), "retracted_at", F.col("reason").alias("retracted_reason"))
+    return beliefs.where("status <> 'rejected'").join(gone, "id", "left")
+
+
+def belief_retraction(beliefs: DataFrame, reasons: DataFrame) -> DataFrame:
+    """(id, valid_to, status, reason): the plan of retracting beliefs named by id (id, reason). Only current committed
+    ones; nothing is reopened or relinked."""
+    named = reasons.groupBy("id").agg(F.min("reason").alias("reason"))
+    return current(beliefs).join(named, "id").select("id", F.col("valid_from").alias("valid_to"), F.lit("retracted").alias("status"), "reason")
+
+
+def review_items(open_reviews: DataFrame, assertions: DataFrame) -> DataFrame:
+    """Open reviews with what they weigh: the candidate's and, where there is one, the incumbent's subject, relation,
+    value, reliability and source."""
+    fields = ("subject", "relation", "value", "reliability", "source")
+    side = lambda name: assertions.select(F.col("seq").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in fields])
+    return open_reviews.join(side("candidate"), "candidate").join(side("incumbent"), "incumbent", "left")
+
+
+def close_reviews(open_reviews: DataFrame, retracted: DataFrame) -> DataFrame:
+    """(review_id, decision): reviews that end because their candidate or incumbent (id) was retracted or redacted."""
+    ids = retracted.select("id").distinct()
+    a = open_reviews.join(ids.withColumnRenamed("id", "candidate"), "candidate", "left_semi").select("review_id")
+    b = open_reviews.join(ids.withColumnRenamed("id", "incumbent"), "incumbent", "left_semi").select("review_id")
+    return a.union(b).distinct().withColumn("decision", F.lit("withdrawn"))

@@ -151,6 +151,12 @@ def fuse(lists: DataFrame, k: int) -> DataFrame:
     return sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "id", "fused", "score")
 
 
+def everything(beliefs: DataFrame, turns: DataFrame) -> DataFrame:
+    """One result (kind, qid, rank, id, score, text): belief hits, then turn hits, each with ranks of its own."""
+    rows = beliefs.withColumn("kind", F.lit("belief")).unionByName(turns.withColumn("kind", F.lit("turn")), allowMissingColumns=True)
+    return rows.select("kind", *[c for c in rows.columns if c != "kind"])
+
+
 def read_window(turns: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
     """Turns of an anchor's session whose seq lies within the window; the window is over seq, not rows."""
     a = anchors.select(F.col("session"), F.col("seq").alias("anchor"))

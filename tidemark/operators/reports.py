@@ -12,12 +12,15 @@ from .ledger import current
 REASONS = ("measurement", "moving_version", "status", "instruction")
 
 
-def store_stats(turns: DataFrame, passages: DataFrame, beliefs: DataFrame) -> DataFrame:
+def store_stats(turns: DataFrame, passages: DataFrame, beliefs: DataFrame, open_reviews: DataFrame | None = None) -> DataFrame:
     """One row of totals; each table is read once."""
     t = turns.agg(F.count(F.lit(1)).alias("turns"), F.countDistinct("session").alias("sessions"))
     p = passages.agg(F.count(F.lit(1)).alias("passages"))
     b = beliefs.agg(F.count(F.lit(1)).alias("beliefs"), F.count_if(F.expr("valid_to IS NULL AND status = 'committed'")).alias("current_beliefs"))
-    return t.join(F.broadcast(p)).join(F.broadcast(b))  # one row each
+    rows = t.join(F.broadcast(p)).join(F.broadcast(b))  # one row each
+    if open_reviews is None:
+        return rows
+    return rows.join(F.broadcast(open_reviews.agg(F.count(F.lit(1)).alias("reviews_open"))))
 
 
 def provenance(turns: DataFrame, cited: DataFrame) -> DataFrame:
@@ -42,6 +45,34 @@ def utilization(uses: DataFrame, now: F.Column) -> DataFrame:
     return uses.agg(since(7).alias("used_7d"), since(30).alias("used_30d"), F.max("last_used").alias("last_used"), F.round(F.avg((F.col("uses") > 0).cast("double")), 4).alias("ever_used"))
 
 
+def utilization_both(beliefs: DataFrame, turns: DataFrame, now: F.Column) -> DataFrame:
+    """One row from both tables' (id, last_used): recalled in 7 and 30 days, the share of turns ever recalled, the last use."""
+    since = lambda days: F.count_if(F.col("last_used") >= now - F.make_dt_interval(F.lit(days)))
+    b = beliefs.agg(since(7).alias("beliefs_7d"), since(30).alias("beliefs_30d"), F.max("last_used").alias("b"))
+    t = turns.agg(since(7).alias("turns_7d"), since(30).alias("turns_30d"), F.round(F.avg(F.col("last_used").isNotNull().cast("double")), 4).alias("turns_share"), F.max("last_used").alias("t"))
+    return t.join(F.broadcast(b)).withColumn("last_used", F.greatest("b", "t")).drop("b", "t")  # one row each
+
+
+def derive_status(turns: DataFrame, runs: DataFrame, open_reviews: DataFrame) -> DataFrame:
+    """One row: turns, those past the last run's watermark (runs: watermark, ran_at), how often and when it ran, open reviews."""
+    done = runs.agg(F.coalesce(F.max("watermark"), F.lit(0)).alias("watermark"), F.count(F.lit(1)).alias("runs"), F.max("ran_at").alias("last_run"))
+    marked = turns.select("id").join(F.broadcast(done.select("watermark")))
+    sums = marked.agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("id") > F.col("watermark")).alias("turns_pending"), F.max("id").alias("max_turn_id"))
+    return sums.join(F.broadcast(done)).join(F.broadcast(open_reviews.agg(F.count(F.lit(1)).alias("reviews_open"))))
+
+
+def capture_status(sources: DataFrame, globs: list[str], home: str = "") -> DataFrame:
+    """One row: sources, how many the globs exclude, and a warning where that is half of them or more."""
+    from ..functions.text import glob_pattern
+    from .upkeep import hiding_verdict
+
+    hit = F.lit(False)
+    for g in globs:
+        hit = hit | F.col("source").rlike(glob_pattern(g, home))
+    sums = sources.agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("excluded"))
+    return sums.withColumn("warning", hiding_verdict(F.col("total"), F.col("excluded")))
+
+
 def left_out(beliefs: DataFrame, now: F.Column) -> DataFrame:
     """(reason, beliefs): current beliefs that no prompt gets, by reason; a reason without any counts 0."""
     spark = beliefs.sparkSession
@@ -112,12 +143,19 @@ def snapshot_times(names: DataFrame) -> DataFrame:
 
 
 def trim_log(log: DataFrame, now: F.Column, text_days: int, days: int) -> DataFrame:
-    """A relevance log after its trim: rows older than ``days`` go, texts older than ``text_days`` are blanked."""
+    """A relevance log after its trim: rows older than ``days`` or of unknown time go, texts older than ``text_days`` are
+    blanked."""
     fresh = log.where(F.col("ts") >= now - F.make_dt_interval(F.lit(days)))
     keep_text = F.col("ts") >= now - F.make_dt_interval(F.lit(text_days))
     return fresh.withColumn("prompt", F.when(keep_text, F.col("prompt")))
 
 
+def trim_counts(log: DataFrame, now: F.Column, text_days: int, days: int) -> DataFrame:
+    """One row (scrubbed, dropped): what a trim of the log blanks and removes."""
+    age = lambda n: F.coalesce(F.col("ts") >= now - F.make_dt_interval(F.lit(n)), F.lit(False))
+    return log.agg(F.count_if(age(days) & ~age(text_days) & F.col("prompt").isNotNull()).alias("scrubbed"), F.count_if(~age(days)).alias("dropped"))
+
+
 def exclude_preview(sources: DataFrame, globs: list[str]) -> DataFrame:
     """(pattern, sources): how many sources each glob hides, and all together (pattern null), each source once."""
     from ..functions.text import glob_pattern

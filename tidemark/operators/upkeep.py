@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import analyze, release
+from ..functions.text import analyze, normalize, release
+from ..functions.words import NOT_TYPED
 
 
 def usage(events: DataFrame) -> DataFrame:
@@ -66,11 +67,63 @@ def touching_reviews(reviews: DataFrame, ids: DataFrame) -> DataFrame:
     return a.union(b).distinct()
 
 
-def mentions(sources: DataFrame, sessions: DataFrame, token: str = r"[A-Za-z0-9_-]+") -> DataFrame:
-    """(id, session): sessions that a free-text source names. Words of the source meet the names by equality, so the
-    containment is an equi-join."""
-    words = sources.select("id", F.explode(F.array_distinct(F.regexp_extract_all("source", F.lit(f"({token})"), 1))).alias("session"))
-    return words.join(sessions.select("session").distinct(), "session", "left_semi").select("id", "session")
+def mentions(sources: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(id, session): sessions whose name a free-text source contains, wherever it stands in it.
+
+    Containment as an equi-join: a name's first ``k`` characters, ``k`` the shortest name's length, must occur in the
+    source at some place, so all grams of that length of the source meet the names' heads, and contains() settles it.
+    """
+    names = sessions.select("session").distinct().where("session <> ''").withColumn("k", F.length("session"))
+    least = names.agg(F.min("k").alias("least"))
+    heads = names.join(F.broadcast(least)).select("session", F.expr("substring(session, 1, least)").alias("gram"))
+    grams = F.expr("array_distinct(transform(sequence(1, greatest(1, length(source) - least + 1)), i -> substring(source, i, least)))")
+    rows = sources.select("id", "source").join(F.broadcast(least)).select("id", "source", F.explode(grams).alias("gram"))
+    return rows.join(heads, "gram").where(F.contains("source", "session")).select("id", "session").distinct()
+
+
+def unindexed(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Turns, passages or cursors without those of the given sources; nothing else follows from it."""
+    return rows.join(sources.select("source").distinct(), "source", "left_anti")
+
+
+def clean_store(turns: DataFrame, marked: DataFrame, beliefs: DataFrame) -> DataFrame:
+    """One row (files, turns, beliefs): a store built anew without the marked sources, with the ledger copied into it."""
+    kept = unindexed(turns, marked)
+    sums = kept.agg(F.countDistinct("source").alias("files"), F.count(F.lit(1)).alias("turns"))
+    return sums.join(F.broadcast(beliefs.agg(F.count(F.lit(1)).alias("beliefs"))))  # one row each
+
+
+def merged_ledger(own: DataFrame, live: DataFrame) -> DataFrame:
+    """A ledger with another's beliefs copied in, without their confirmations; an id that is there already stays."""
+    return own.unionByName(live.join(own.select("id"), "id", "left_anti"))
+
+
+def withheld_plan(plan: DataFrame, secret: str, mark: str = "[removed]") -> DataFrame:
+    """A retraction plan (id, subject, relation, value, key, ...) as it may be shown: every form of a text masked in the
+    fields, and the key made again from what is left, marks included."""
+    guard = "\x02"
+    fields = {c: masked(c, [secret], mark) for c in ("subject", "relation", "value")}
+    out = plan.withColumns(fields)
+    plain = lambda c: F.replace(F.col(c), F.lit(mark), F.lit(guard))
+    key = F.replace(F.concat(normalize(plain("subject")), F.lit("|"), normalize(plain("relation"))), F.lit(guard), F.lit(mark))
+    return out.withColumn("key", key)
+
+
+def notice(stale: DataFrame, shown: DataFrame, name: str) -> DataFrame:
+    """(beliefs): how many beliefs a store no longer shows; no row if there is none, or if ``shown`` (key) has the notice."""
+    counts = stale.agg(F.count(F.lit(1)).alias("beliefs")).where("beliefs > 0")
+    return counts.join(shown.where(F.col("key") == name).limit(1), F.lit(True), "left_anti")
+
+
+def live_terms(terms: DataFrame, live: DataFrame) -> DataFrame:
+    """(term, rows): in how many live texts each asked term occurs, 0 included."""
+    counts = live.select("id", F.explode(F.array_distinct(analyze("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
+    return terms.select("term").distinct().join(counts, "term", "left").select("term", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+def grid_left(grid: DataFrame, done: DataFrame) -> DataFrame:
+    """Cells of an experiment's grid that no result covers yet."""
+    return grid.join(done, ["variant", "scenario", "model", "repeat"], "left_anti")
 
 
 def latest_calls(log: DataFrame) -> DataFrame:
@@ -130,9 +183,10 @@ def pattern_suggestions(paths: DataFrame) -> DataFrame:
     return paths.select("path", F.explode(F.array(F.concat(F.lit("*"), name, F.lit("*")), F.concat(F.lit("*-"), name, F.lit("/*")))).alias("pattern"))
 
 
-def typed(prompts: DataFrame) -> DataFrame:
-    """Prompts that a person typed: no notification or command markup at the start."""
-    return prompts.where(~F.trim("text").rlike(r"^<(?:task-notification|command-name|local-command|system-reminder)"))
+def typed(prompts: DataFrame, agent: str | None = None) -> DataFrame:
+    """Prompts that a person typed: not the text of a notification, nor with ``agent`` (a boolean column) a subagent's."""
+    own = ~F.col("text").rlike(NOT_TYPED)
+    return prompts.where(own if agent is None else own & ~F.col(agent))
 
 
 def scan_roll_up(locations: DataFrame) -> DataFrame:

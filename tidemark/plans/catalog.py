@@ -901,3 +901,6 @@ def paths_out_of_copy(spark, sf_dir):
     p = model.table(spark, sf_dir, "pages")
     own = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit("/tmp/"), "page_id")).otherwise(F.concat(F.lit("/work/copy/"), "page_id"))
     return cp.out_of_copy(p.select(F.col("page_id").alias("run"), F.array(own, F.lit("relative/x"), F.lit("/work/copy")).alias("args")), "/work/copy")
+
+
+from . import catalog_more  # noqa: E402, F401
