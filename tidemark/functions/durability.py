@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -136,8 +140,27 @@ ORDER_OPENS = (
 )
 
 
+@functools.cache
+def _fold():
+    @F.pandas_udf("string")
+    def folded(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t).casefold())
+
+    return folded
+
+
+def compatible(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with compatibility forms and cases of the columns folded, for ``instruction_shape``: no builtin does that. Rows
+    that are all ASCII never leave the JVM."""
+    plain = F.lit(True)
+    for c in columns:
+        plain = plain & ~F.coalesce(F.col(c), F.lit("")).rlike(r"[^\x00-\x7f]")
+    odd = rows.where(~plain)
+    return rows.where(plain).unionByName(odd.withColumns({c: _fold()(F.col(c)) for c in columns}))
+
+
 def visible(text: str) -> str:
-    """Lower case, invisible characters away, white space closed up. Compatibility forms are not folded: no builtin does."""
+    """Lower case, invisible characters away, white space closed up. Compatibility forms: see ``compatible``."""
     return f"trim(regexp_replace(regexp_replace(lower({text}), '\\\\p{{Cf}}', ''), '\\\\s+', ' '))"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,21 @@ def occurrences(files: DataFrame, needle: str) -> DataFrame:
     return files.select("path", F.size(F.regexp_extract_all("text", F.lit(pattern), 1)).alias("hits"))
 
 
+def needles(value: str) -> list[str]:
+    """A value as JSON text holds it: escaped, with and without escapes of what isn't ASCII."""
+    return list(dict.fromkeys(json.dumps(value, ensure_ascii=plain)[1:-1] for plain in (False, True)))
+
+
+def offset_hits(files: DataFrame, forms: list[str]) -> DataFrame:
+    """(path, hits) of files (path, content binary): byte offsets at which any form begins, overlaps included, each once."""
+    found = []
+    for form in forms:
+        raw = form.encode().hex().upper()
+        places = f"filter(sequence(0, octet_length(content) - {len(raw) // 2}), i -> hex(substring(content, i + 1, {len(raw) // 2})) = '{raw}')"
+        found.append(f"IF(octet_length(content) >= {len(raw) // 2}, {places}, array())")
+    return files.select("path", F.expr(f"size(array_distinct(concat({', '.join(found)})))").alias("hits"))
+
+
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """A table with rows merged in: for each key the latest by ``order`` wins."""
     newest = Window.partitionBy(*keys).orderBy(F.desc(order))
@@ -52,8 +69,8 @@ def plan_calls(regions: DataFrame, chunk: int) -> DataFrame:
     return own.agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("excerpts"), F.sum(F.ceil(F.col("n") / chunk)).alias("calls"))
 
 
-def store_verdicts(stats: DataFrame) -> DataFrame:
-    """(verdict): what is wrong with a store's totals (turns, sessions, passages, beliefs, current_beliefs)."""
+def store_verdicts(stats: DataFrame, *keys: str) -> DataFrame:
+    """(keys, verdict): what is wrong with a store's totals (turns, sessions, passages, beliefs, current_beliefs)."""
     rules = [
         (F.col("turns") == 0, "no turns: nothing was captured"),
         ((F.col("turns") > 0) & (F.col("passages") < F.col("turns")), "turns without passages"),
@@ -62,7 +79,7 @@ def store_verdicts(stats: DataFrame) -> DataFrame:
         ((F.col("sessions") > 0) & (F.col("turns") / F.col("sessions") < 2), "under two turns a session"),
     ]
     said = F.array_compact(F.array(*[F.when(when, F.lit(text)) for when, text in rules]))
-    return stats.select(F.explode(said).alias("verdict"))
+    return stats.select(*keys, F.explode(said).alias("verdict"))
 
 
 def explain(beliefs: DataFrame) -> DataFrame:

@@ -33,8 +33,12 @@ def sentences(text: str) -> F.Column:
     return F.filter(F.transform(F.split(marked, "\x01", -1), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def regions(turns: DataFrame, cap: int = MAX_REGIONS) -> DataFrame:
-    """(session, nth, region): sentences with a cue word and their neighbours, each once a session, the first ``cap``."""
+def regions(turns: DataFrame, cap: int = MAX_REGIONS, most_turns: int | None = None) -> DataFrame:
+    """(session, nth, region): sentences with a cue word and their neighbours, each once a session, the first ``cap``; with
+    ``most_turns`` only a session's first so many turns by id are looked through."""
+    if most_turns is not None:
+        place = F.row_number().over(Window.partitionBy("session").orderBy("id"))
+        turns = turns.withColumn("place", place).where(F.col("place") <= most_turns).drop("place")
     own = turns.where(F.col("text").rlike(TRIGGER)).select("session", "id", sentences("text").alias("s"))
     each = own.select("session", "id", "s", F.posexplode("s").alias("at", "sentence")).where(F.col("sentence").rlike(TRIGGER))
     near = F.expr("array_join(slice(s, greatest(at, 1), IF(at = 0, 2, 3)), ' ')")

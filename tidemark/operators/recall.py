@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.porter import stemmed
 from ..functions.text import activation, age_days, analyze, passages, query_terms, subject_terms
 
 K1, B = 1.2, 0.75
@@ -16,15 +17,20 @@ TURN_DECAY, BELIEF_DECAY, USE_WEIGHT = 0.5, 0.1, 0.5
 POOL_TURNS, POOL_BELIEFS = 200, 100
 
 
+def index_terms(text: str, stem: bool = False) -> F.Column:
+    """A text's index terms, stemmed if asked: through Arrow, where SQL has no stemmer."""
+    return stemmed(analyze(text)) if stem else analyze(text)
+
+
 def passage_table(turns: DataFrame) -> DataFrame:
     """(turn_id, ord, start, stop, text): spans that tile every turn's text."""
     spans = turns.select(F.col("id").alias("turn_id"), "text", F.explode(passages("text")).alias("s"))
     return spans.select("turn_id", "s.ord", "s.start", "s.stop", F.expr("substring(text, s.start + 1, s.stop - s.start)").alias("text"))
 
 
-def postings(docs: DataFrame, columns: dict[str, float], key: str) -> tuple[DataFrame, DataFrame]:
+def postings(docs: DataFrame, columns: dict[str, float], key: str, stem: bool = False) -> tuple[DataFrame, DataFrame]:
     """((term, key, tf), (key, dl)): weighted term frequencies and lengths over all columns."""
-    parts = [docs.select(F.col(key).alias("key"), F.lit(w).alias("w"), analyze(c).alias("tokens")) for c, w in columns.items()]
+    parts = [docs.select(F.col(key).alias("key"), F.lit(w).alias("w"), index_terms(c, stem).alias("tokens")) for c, w in columns.items()]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -33,25 +39,25 @@ def postings(docs: DataFrame, columns: dict[str, float], key: str) -> tuple[Data
     return terms, lengths
 
 
-def query_keywords(queries: DataFrame) -> DataFrame:
+def query_keywords(queries: DataFrame, stem: bool = False) -> DataFrame:
     """(qid, term): single-piece keywords of each query, as the index sees them."""
     words = queries.select("qid", F.explode(query_terms("text")).alias("keyword"))
-    pieces = words.select("qid", analyze("keyword").alias("p"))
+    pieces = words.select("qid", index_terms("keyword", stem).alias("p"))
     return pieces.where(F.size("p") == 1).select("qid", F.col("p")[0].alias("term")).distinct()
 
 
-def phrase_keywords(queries: DataFrame) -> DataFrame:
+def phrase_keywords(queries: DataFrame, stem: bool = False) -> DataFrame:
     """(qid, phrase): keywords that fall into several pieces and match only as a phrase."""
     words = queries.select("qid", F.explode(query_terms("text")).alias("keyword"))
-    return words.select("qid", analyze("keyword").alias("phrase")).where(F.size("phrase") > 1).distinct()
+    return words.select("qid", index_terms("keyword", stem).alias("phrase")).where(F.size("phrase") > 1).distinct()
 
 
-def phrase_postings(docs: DataFrame, phrases: DataFrame, columns: dict[str, float], key: str) -> DataFrame:
+def phrase_postings(docs: DataFrame, phrases: DataFrame, columns: dict[str, float], key: str, stem: bool = False) -> DataFrame:
     """(term, key, tf): documents with a phrase of ``phrases``, joined on its first piece, counted by position."""
     wanted = phrases.select("phrase").distinct().withColumn("first", F.col("phrase")[0])
     found = None
     for c, w in columns.items():
-        own = docs.select(F.col(key).alias("key"), analyze(c).alias("tokens"))
+        own = docs.select(F.col(key).alias("key"), index_terms(c, stem).alias("tokens"))
         hit = own.withColumn("first", F.explode(F.array_distinct("tokens"))).join(wanted, "first")
         times = F.expr("size(filter(sequence(1, size(tokens)), i -> slice(tokens, i, size(phrase)) = phrase))")
         part = hit.select(F.array_join("phrase", " ").alias("term"), "key", (times * F.lit(w)).alias("tf")).where("tf > 0")
@@ -59,11 +65,22 @@ def phrase_postings(docs: DataFrame, phrases: DataFrame, columns: dict[str, floa
     return found.groupBy("term", "key").agg(F.sum("tf").alias("tf"))
 
 
-def bm25(terms: DataFrame, lengths: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(qid, key, score): sum of idf x saturated frequency; a keyword in half of the documents or more counts 1e-6."""
+def asked_postings(docs: DataFrame, columns: dict[str, float], key: str, queries: DataFrame, stem: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, lengths, keywords) for all keywords of the queries: words, and compounds as phrases."""
+    terms, lengths = postings(docs, columns, key, stem)
+    phrases = phrase_keywords(queries, stem)
+    terms = terms.unionByName(phrase_postings(docs, phrases, columns, key, stem))
+    return terms, lengths, query_keywords(queries, stem).unionByName(phrases.select("qid", F.array_join("phrase", " ").alias("term")).distinct())
+
+
+def bm25(terms: DataFrame, lengths: DataFrame, keywords: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(qid, key, score): sum of idf x saturated frequency; a keyword in half of the documents or more counts 1e-6.
+    ``only`` (key): documents to list; the statistics are of all."""
     corpus = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     terms = terms.join(keywords.select("term").distinct(), "term", "left_semi")  # goes below the count by document
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if only is not None:
+        terms = terms.join(only.select("key"), "key", "left_semi")
     hits = keywords.join(terms, "term").join(df, "term").join(lengths, "key").join(F.broadcast(corpus))  # one row
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
@@ -76,15 +93,15 @@ def top(scored: DataFrame, k: int, by: str = "qid", key: str = "key", score: str
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def search_turns(turns: DataFrame, queries: DataFrame, now: F.Column, k: int = 5, uses: DataFrame | None = None, collapse: bool = True) -> DataFrame:
+def search_turns(turns: DataFrame, queries: DataFrame, now: F.Column, k: int = 5, uses: DataFrame | None = None, collapse: bool = True, stem: bool = False) -> DataFrame:
     """(qid, rank, id, score, text): the k best turns of each query.
 
     Of the 200 best passages each is weighted by its turn's activation; a turn scores as its best passage and shows its
     three best in text order; byte-identical turns take one slot, before the cut to k.
     """
     parts = passage_table(turns).withColumn("key", F.col("turn_id") * 1000 + F.col("ord"))
-    terms, lengths = postings(parts, {"text": 1.0}, "key")
-    pool = top(bm25(terms, lengths, query_keywords(queries)), POOL_TURNS).select("qid", "key", "score")
+    terms, lengths, keywords = asked_postings(parts, {"text": 1.0}, "key", queries, stem)
+    pool = top(bm25(terms, lengths, keywords), POOL_TURNS).select("qid", "key", "score")
     about = turns.select(F.col("id").alias("turn_id"), "ts", F.col("text").alias("whole"))
     if uses is None:
         about = about.withColumn("uses", F.lit(0))
@@ -111,13 +128,13 @@ def joined_passages(parts: str) -> F.Column:
         (a, x) -> struct(x.ord AS ord, IF(a.ord < 0, x.text, concat(a.text, IF(x.ord = a.ord + 1, '', ' … '), x.text)) AS text), a -> a.text)""")
 
 
-def search_beliefs(beliefs: DataFrame, queries: DataFrame, now: F.Column, k: int = 10, passage_share: DataFrame | None = None) -> DataFrame:
+def search_beliefs(beliefs: DataFrame, queries: DataFrame, now: F.Column, k: int = 10, passage_share: DataFrame | None = None, stem: bool = False) -> DataFrame:
     """(qid, rank, id, score): current committed beliefs. Statistics cover all beliefs, current or not; the filter and
     the subject rule come after scoring, the rule after the cut to 100."""
     text = beliefs.withColumn("key", F.col("id"))
-    terms, lengths = postings(text, {"subject": 3.0, "relation": 1.0, "value": 1.0}, "key")
-    scored = bm25(terms, lengths, query_keywords(queries))
+    terms, lengths, keywords = asked_postings(text, {"subject": 3.0, "relation": 1.0, "value": 1.0}, "key", queries, stem)
     current = beliefs.where("valid_to IS NULL AND status = 'committed'").select(F.col("id").alias("key"), "subject", "reliability", "use_count", "recorded_at")
+    scored = bm25(terms, lengths, keywords, current)
     pool = top(scored.join(current, "key"), POOL_BELIEFS)
     weight = activation(age_days(F.col("recorded_at"), now), F.col("use_count"), BELIEF_DECAY, USE_WEIGHT)
     pool = pool.withColumn("score", F.col("score") * F.col("reliability") * weight).drop("place")
@@ -126,10 +143,11 @@ def search_beliefs(beliefs: DataFrame, queries: DataFrame, now: F.Column, k: int
     return top(pool, k).select("qid", F.col("place").alias("rank"), F.col("key").alias("id"), "score")
 
 
-def passage_shares(parts: DataFrame) -> DataFrame:
-    """(term, share, n_passages): in what share of the passages a term occurs."""
+def passage_shares(parts: DataFrame, stem: bool = False) -> DataFrame:
+    """(term, share, n_passages): in what share of the passages a term occurs. With ``stem`` the vocabulary is of stems,
+    which subject terms, themselves as written, are looked up in."""
     total = parts.agg(F.count(F.lit(1)).alias("n_passages"))
-    own = parts.select("turn_id", "ord", F.explode(F.array_distinct(analyze("text"))).alias("term"))
+    own = parts.select("turn_id", "ord", F.explode(F.array_distinct(index_terms("text", stem))).alias("term"))
     return own.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).select("term", (F.col("n") / F.col("n_passages")).alias("share"), "n_passages")
 
 
@@ -151,6 +169,22 @@ def fuse(lists: DataFrame, k: int) -> DataFrame:
     return sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "id", "fused", "score")
 
 
+def fuse_texts(lists: DataFrame, k: int) -> DataFrame:
+    """As ``fuse``, of lists with text: of hits whose trimmed text is the same only the best stays, before the cut to k."""
+    every = fuse(lists, 1 << 30).withColumnRenamed("rank", "at").join(lists.groupBy("qid", "id").agg(F.min(F.trim("text")).alias("text")), ["qid", "id"])
+    same = Window.partitionBy("qid", "text").orderBy("at")
+    once = every.withColumn("copy", F.row_number().over(same)).where("copy = 1")
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("at")))
+    return ranked.where(F.col("rank") <= k).select("qid", "rank", "id", "fused", "score")
+
+
+def subject_pairs(subjects: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, key, subject): queries and subjects (key, subject) that share a term, by equality of terms."""
+    asked = queries.select("qid", F.explode(subject_terms("text")).alias("term"))
+    named = subjects.select("key", "subject", F.explode(subject_terms("subject")).alias("term"))
+    return named.join(asked, "term").select("qid", "key", "subject").distinct()
+
+
 def everything(beliefs: DataFrame, turns: DataFrame) -> DataFrame:
     """One result (kind, qid, rank, id, score, text): belief hits, then turn hits, each with ranks of its own."""
     rows = beliefs.withColumn("kind", F.lit("belief")).unionByName(turns.withColumn("kind", F.lit("turn")), allowMissingColumns=True)

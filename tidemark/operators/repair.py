@@ -89,7 +89,7 @@ def redact_plan(beliefs: DataFrame, secret: str, mark: str = "[redacted]", least
     pattern = secret_pattern(secret)
     fields = ("subject", "relation", "value")
     held = beliefs.where(F.concat_ws("\u0001", *fields).rlike(pattern))
-    if len(held.select("id").limit(most_rows + 1).collect()) > most_rows:
+    if held.select("id").limit(most_rows + 1).count() > most_rows:
         raise ValueError(f"over {most_rows} rows hold it: too common to redact")
     new = held.select("id", "status", *[F.regexp_replace(f, pattern, mark).alias(f) for f in fields])
     status = F.when(F.col("status") == "committed", "retracted").otherwise(F.col("status"))

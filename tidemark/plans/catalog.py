@@ -61,16 +61,16 @@ def normalize_key(spark, sf_dir):
     return c.select("c_custkey", tx.normalize(F.concat(F.lit('  "'), "c_name", F.lit('". '), "c_mktsegment", F.lit("!"))).alias("key"))
 
 
-@query(f"WITH RECURSIVE d AS (SELECT doc_id AS id, left(text, 20000) AS text FROM documents), {o.passage_table('d')} SELECT turn_id, ord, start::INTEGER AS start, stop::INTEGER AS stop, md5(text) AS digest FROM part")
+@query(f"WITH RECURSIVE d AS (SELECT doc_id AS id, text FROM documents), {o.passage_table('d')} SELECT turn_id, ord, start::INTEGER AS start, stop::INTEGER AS stop, md5(text) AS digest FROM part")
 def passages(spark, sf_dir):
-    parts = rc.passage_table(model.document_turns(spark, sf_dir, model.MAX_CHARS))
+    parts = rc.passage_table(model.document_turns(spark, sf_dir))
     return parts.select("turn_id", "ord", "start", "stop", F.md5("text").alias("digest"))
 
 
-@query(f"""WITH RECURSIVE d AS (SELECT doc_id AS id, left(text, 20000) AS text FROM documents), {o.passage_table('d')}
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id AS id, text FROM documents), {o.passage_table('d')}
     SELECT count(*) AS passages, count(DISTINCT turn_id) AS turns, sum(stop - start)::BIGINT AS chars, max(stop - start)::INTEGER AS longest, sum(greatest(1, round_even((stop - start) / 4, 0)))::BIGINT AS tokens FROM part""")
 def passage_stats(spark, sf_dir):
-    parts = rc.passage_table(model.document_turns(spark, sf_dir, model.MAX_CHARS)).withColumn("n", F.col("stop") - F.col("start"))
+    parts = rc.passage_table(model.document_turns(spark, sf_dir)).withColumn("n", F.col("stop") - F.col("start"))
     return parts.agg(
         F.count(F.lit(1)).alias("passages"), F.countDistinct("turn_id").alias("turns"), F.sum("n").alias("chars"), F.max("n").alias("longest"), F.sum(tx.est_tokens("text")).alias("tokens")
     )
@@ -104,8 +104,7 @@ _PARTS = f"WITH RECURSIVE {o.TURN}, {QUERY}, {o.passage_table('turn')}, keyed AS
 @query(f"{_PARTS}, {o.bm25('keyed', {'text': 1.0}, 'key', 'q')} SELECT qid, key, round(score, 6) AS score FROM scored")
 def bm25_passages(spark, sf_dir):
     parts = rc.passage_table(model.turns(spark, sf_dir)).withColumn("key", F.col("turn_id") * 1000 + F.col("ord"))
-    terms, lengths = rc.postings(parts, {"text": 1.0}, "key")
-    return rc.bm25(terms, lengths, rc.query_keywords(_queries(spark, sf_dir))).select("qid", "key", F.round("score", 6).alias("score"))
+    return rc.bm25(*rc.asked_postings(parts, {"text": 1.0}, "key", _queries(spark, sf_dir))).select("qid", "key", F.round("score", 6).alias("score"))
 
 
 _TURN_HITS = f"""{_PARTS}, {o.bm25('keyed', {'text': 1.0}, 'key', 'q')},
@@ -123,17 +122,18 @@ def recall_turns(spark, sf_dir):
     return hits.select("qid", "rank", "id", F.round("score", 6).alias("score"))
 
 
-@query(f"""{_TURN_HITS}, lists AS (SELECT qid // 4 AS fid, qid AS list, rank, turn_id AS id, score FROM ranked WHERE rank <= 20),
-    sums AS (SELECT fid, id, sum(1 / (60 + rank)) AS fused, min(rank) AS best FROM lists GROUP BY fid, id),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY round(fused, 12) DESC, best, id) AS rank FROM sums)
+@query(f"""{_TURN_HITS}, lists AS (SELECT qid // 4 AS fid, qid AS list, rank, turn_id AS id, score, whole FROM ranked WHERE rank <= 20),
+    sums AS (SELECT fid, id, sum(1 / (60 + rank)) AS fused, min(rank) AS best, min(trim(whole)) AS said FROM lists GROUP BY fid, id),
+    told AS (SELECT *, row_number() OVER (PARTITION BY fid, said ORDER BY round(fused, 12) DESC, best, id) AS copy FROM sums),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY round(fused, 12) DESC, best, id) AS rank FROM told WHERE copy = 1)
     SELECT fid AS qid, rank::INTEGER AS rank, id, round(fused, 9) AS fused FROM placed WHERE rank <= 5""")
 def recall_multi_rrf(spark, sf_dir):
     hits = rc.search_turns(model.turns(spark, sf_dir), _queries(spark, sf_dir), model.now(), k=20)
-    lists = hits.select(F.floor(F.col("qid") / 4).alias("qid"), F.col("qid").alias("list"), "rank", "id", "score")
-    return rc.fuse(lists, 5).select("qid", "rank", "id", F.round("fused", 9).alias("fused"))
+    lists = hits.select(F.floor(F.col("qid") / 4).alias("qid"), F.col("qid").alias("list"), "rank", "id", "score", "text")
+    return rc.fuse_texts(lists, 5).select("qid", "rank", "id", F.round("fused", 9).alias("fused"))
 
 
-_BELIEF_QUERY = "q AS (SELECT user_id AS qid, 'user ' || user_id || ' ' || string_agg(DISTINCT event_type, ' ') AS text FROM events WHERE user_id <= 20 GROUP BY user_id)"
+_BELIEF_QUERY = "q AS (SELECT user_id AS qid, 'user ' || user_id || ' ' || string_agg(DISTINCT event_type, ' ') AS text FROM events GROUP BY user_id)"
 _BELIEF_HITS = f"""WITH {o.BELIEF}, {_BELIEF_QUERY}, {o.bm25('belief', {'subject': 3.0, 'relation': 1.0, 'value': 1.0}, 'id', 'q')},
     pool AS (SELECT * FROM (SELECT scored.*, b.subject, b.reliability, b.use_count, b.recorded_at, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, scored.key) AS place
         FROM scored JOIN belief b ON b.id = scored.key WHERE valid_to IS NULL AND status = 'committed') WHERE place <= 100),
@@ -142,7 +142,7 @@ _BELIEF_HITS = f"""WITH {o.BELIEF}, {_BELIEF_QUERY}, {o.bm25('belief', {'subject
 
 
 def _belief_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = model.table(spark, sf_dir, "events").where("user_id <= 20")
+    e = model.table(spark, sf_dir, "events")
     kinds = F.array_join(F.collect_set("event_type"), " ")
     return e.groupBy("user_id").agg(F.concat(F.lit("user "), F.first("user_id").cast("string"), F.lit(" "), kinds).alias("text")).withColumnRenamed("user_id", "qid")
 
@@ -153,22 +153,21 @@ def recall_beliefs(spark, sf_dir):
     return hits.select("qid", "rank", "id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {o.TURN}, {QUERY}, subj AS (SELECT conv_id, min(split_part(trim(text), ' ', 3) || ' ' || split_part(trim(text), ' ', 5)) AS subject FROM conversations WHERE conv_id < 40 GROUP BY conv_id),
+@query(f"""WITH {o.TURN}, {QUERY}, subj AS (SELECT conv_id, min(split_part(trim(text), ' ', 3) || ' ' || split_part(trim(text), ' ', 5)) AS subject FROM conversations GROUP BY conv_id),
     part AS (SELECT id, list_distinct({o.analyze('text')}) AS terms FROM turn), total AS (SELECT count(*) AS n FROM part),
     share AS (SELECT term, count(*) / n AS share FROM (SELECT unnest(terms) AS term FROM part), total GROUP BY term, n),
     st AS (SELECT conv_id, {o.distinct_in_order(f"list_filter(list_transform(regexp_extract_all(subject, {o.quoted(o.W.TOKEN)}), lambda w: trim(lower(w), './-')), lambda w: w <> '' AND NOT list_contains({o.words(o.W.STOPWORDS)}, w))")} AS s FROM subj),
     qt AS (SELECT qid, list_filter(list_transform(regexp_extract_all(text, {o.quoted(o.W.TOKEN)}), lambda w: trim(lower(w), './-')), lambda w: w <> '' AND NOT list_contains({o.words(o.W.STOPWORDS)}, w)) AS t FROM q),
-    met AS (SELECT qid, conv_id, list_filter(s, lambda x: list_contains(t, x)) AS common FROM st, qt)
+    met AS (SELECT qid, conv_id, list_filter(s, lambda x: list_contains(t, x)) AS common FROM st, qt WHERE list_has_any(s, t))
     SELECT qid, conv_id AS key, len(common)::INTEGER AS shared, (len(common) >= 2 OR (len(common) = 1 AND (coalesce(share, 0) <= 0.1 OR n < 1000))) AS kept
     FROM met LEFT JOIN share ON share.term = CASE WHEN len(common) = 1 THEN common[1] END, total""")
 def subject_rule(spark, sf_dir):
-    c = model.table(spark, sf_dir, "conversations").where("conv_id < 40")
+    c = model.table(spark, sf_dir, "conversations")
     word = lambda i: F.get(F.split(F.trim("text"), " "), F.lit(i - 1))
     subjects = c.groupBy(F.col("conv_id").alias("key")).agg(F.min(F.concat(word(3), F.lit(" "), word(5))).alias("subject"))
     asked = _queries(spark, sf_dir)
-    pairs = asked.select("qid").join(F.broadcast(subjects))  # every query against a fixed set of 40
     parts = model.turns(spark, sf_dir).select(F.col("id").alias("turn_id"), F.lit(0).alias("ord"), "text")
-    return rc.subject_rule(pairs, asked, rc.passage_shares(parts))
+    return rc.subject_rule(rc.subject_pairs(subjects, asked), asked, rc.passage_shares(parts))
 
 
 @query(f"WITH {o.TURN} SELECT min(id) AS id, count(*) AS copies FROM turn GROUP BY trim(text)")
@@ -254,11 +253,11 @@ def approve_reject(spark, sf_dir):
     return lg.decide(opened, a, decided)
 
 
-@query(f"""WITH {o.BELIEF}, late AS (SELECT seq AS probe, key, valid_from + INTERVAL 1 HOUR AS at FROM assertion WHERE seq % 10 = 0)
+@query(f"""WITH {o.BELIEF}, late AS (SELECT seq AS probe, key, valid_from + INTERVAL 1 HOUR AS at FROM assertion)
     SELECT probe, (SELECT arg_max(id, (valid_from, id)) FROM belief b WHERE b.key = late.key AND b.valid_from <= late.at) AS before_id,
     (SELECT arg_min(id, (valid_from, id)) FROM belief b WHERE b.key = late.key AND b.valid_from > late.at) AS after_id FROM late""")
 def late_evidence_neighbours(spark, sf_dir):
-    a = lg.keyed(model.assertions(spark, sf_dir)).where("seq % 10 = 0")
+    a = lg.keyed(model.assertions(spark, sf_dir))
     late = a.select(F.col("seq").alias("probe"), "key", (F.col("valid_from") + F.make_dt_interval(F.lit(0), F.lit(1))).alias("at"))
     return lg.neighbours(lg.timeline(model.assertions(spark, sf_dir)), late)
 
@@ -295,9 +294,9 @@ def retraction_repairs(spark, sf_dir):
     return rp.repairs(b, b.where("id % 5 = 0").select("id"))
 
 
-@query("""SELECT count(*) FILTER (WHERE starts_with(text, 'The')) AS starts, count(*) FILTER (WHERE contains(text, 'The')) AS contains, count(*) FILTER (WHERE contains(lower(text), 'the')) AS any_case FROM (SELECT left(text, 20000) AS text FROM documents)""")
+@query("""SELECT count(*) FILTER (WHERE starts_with(text, 'The')) AS starts, count(*) FILTER (WHERE contains(text, 'The')) AS contains, count(*) FILTER (WHERE contains(lower(text), 'the')) AS any_case FROM (SELECT text FROM documents)""")
 def turn_matches(spark, sf_dir):
-    return rp.turn_matches(model.document_turns(spark, sf_dir, model.MAX_CHARS).select("text"), "The")
+    return rp.turn_matches(model.document_turns(spark, sf_dir).select("text"), "The")
 
 
 @query(f"WITH {o.TURN} SELECT session, count(*) FILTER (WHERE contains(text, 'que')) AS doomed, count(*) AS turns, count(*) FILTER (WHERE contains(text, 'que')) = count(*) AS emptied FROM turn GROUP BY session HAVING count(*) FILTER (WHERE contains(text, 'que')) > 0")
@@ -305,10 +304,10 @@ def prune_plan(spark, sf_dir):
     return rp.prune_plan(model.turns(spark, sf_dir), F.col("text").contains("que"))
 
 
-@query(f"WITH {o.BELIEF} SELECT id, subject, relation, replace(value, 'k3', '[redacted]') AS value, key, 'retracted' AS status FROM belief WHERE subject = 'User 7' AND relation IN ('click', 'error') AND contains(value, 'k3')")
+@query(f"WITH {o.BELIEF} SELECT id, subject, relation, replace(value, 'k3', '[redacted]') AS value, key, 'retracted' AS status FROM belief WHERE contains(value, 'k3')")
 def redact_plan(spark, sf_dir):
-    b = lg.timeline(model.assertions(spark, sf_dir)).where("subject = 'User 7' AND relation IN ('click', 'error')")
-    return rp.redact_plan(b, "k3", least_chars=2, most_rows=2000).select("id", "subject", "relation", "value", F.lower(F.concat("subject", F.lit("|"), "relation")).alias("key"), "status")
+    b = lg.timeline(model.assertions(spark, sf_dir))
+    return rp.redact_plan(b, "k3", least_chars=2, most_rows=2_000_000_000).select("id", "subject", "relation", "value", F.lower(F.concat("subject", F.lit("|"), "relation")).alias("key"), "status")
 
 
 # -- rules --------------------------------------------------------------------------------------------------------
@@ -402,9 +401,16 @@ def gate_verdict(spark, sf_dir):
     return t.select("p_partkey", durability.verdict(model.now()).alias("reason"))
 
 
-@query(f"WITH {o.BELIEF} SELECT reason, 0::BIGINT AS beliefs FROM (VALUES ('measurement'), ('moving_version'), ('status'), ('instruction')) v(reason)")
+_DERIVED = f"derived AS (SELECT *, (p_partkey % 4) / 4.0 AS reliability, 'memory:session/s/turn/1' AS source, p_partkey % 11 = 0 AS confirmed, TIMESTAMP '2023-01-01' AS valid_from FROM tri)"
+
+
+@query(f"""WITH {_TRIPLES}, {_DERIVED}, j AS (SELECT split_part({rules.verdict()}, ':', 1) AS reason FROM derived)
+    SELECT v.reason, count(j.reason) AS beliefs FROM (VALUES ('measurement'), ('moving_version'), ('status'), ('instruction')) v(reason) LEFT JOIN j ON j.reason = v.reason GROUP BY v.reason""")
 def left_out_by_reason(spark, sf_dir):
-    b = lg.timeline(model.assertions(spark, sf_dir)).withColumn("confirmed", F.lit(False))
+    k = F.col("p_partkey")
+    b = _triples(spark, sf_dir).withColumns(
+        {"reliability": (k % 4) / 4.0, "source": F.lit("memory:session/s/turn/1"), "confirmed": k % 11 == 0, "valid_from": F.lit("2023-01-01 00:00:00").cast("timestamp_ntz"), "valid_to": F.lit(None), "status": F.lit("committed")}
+    )
     return rs.left_out(b, model.now())
 
 
@@ -526,10 +532,10 @@ def trigger_regions(spark, sf_dir):
 
 
 @query(f"""WITH {o.TURN}, w AS (SELECT id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: w <> '') AS have,
-    list_filter(list_filter(regexp_split_to_array(regexp_replace(lower(left(text, 40)), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: w <> ''), lambda w: NOT list_contains({o.words(o.W.CONTENT_STOP)}, w)) AS want FROM turn)
+    list_filter(list_filter(regexp_split_to_array(regexp_replace(lower(split_part(text, '.', 1)), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: w <> ''), lambda w: NOT list_contains({o.words(o.W.CONTENT_STOP)}, w)) AS want FROM turn)
     SELECT id, len(want) > 0 AND list_has_all(have, want) AS grounded FROM w""")
 def grounded(spark, sf_dir):
-    t = model.turns(spark, sf_dir).select("id", "text", F.substring("text", 1, 40).alias("value"))
+    t = model.turns(spark, sf_dir).select("id", "text", F.substring_index("text", ".", 1).alias("value"))
     return t.select("id", mn.grounded("value", "text").alias("grounded"))
 
 
@@ -721,11 +727,14 @@ def reviews_touching(spark, sf_dir):
     return up.touching_reviews(lg.reviews(a), a.where("seq % 7 = 0").select(F.col("seq").alias("id")))
 
 
-@query(f"WITH {o.TURN}, s AS (SELECT event_id AS id, 'seen in conv-' || (event_id % 150) || ', noted' AS source FROM events WHERE event_id % 20 = 0) SELECT DISTINCT s.id, t.session FROM s JOIN (SELECT DISTINCT session FROM turn) t ON 'conv-' || (s.id % 150) = t.session")
+_NAMING = "s AS (SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'seen in conv-' || (event_id % 150) || ', noted' WHEN 1 THEN 'x/conv-' || (event_id % 150) || '.jsonl' ELSE event_type END AS source FROM events)"
+
+
+@query(f"WITH {o.TURN}, {_NAMING} SELECT s.id, t.session FROM s JOIN (SELECT DISTINCT session FROM turn) t ON contains(s.source, t.session)")
 def named_sessions(spark, sf_dir):
-    e = model.table(spark, sf_dir, "events").where("event_id % 20 = 0")
-    sources = e.select(F.col("event_id").alias("id"), F.concat(F.lit("seen in conv-"), (F.col("event_id") % 150).cast("string"), F.lit(", noted")).alias("source"))
-    return up.mentions(sources, model.turns(spark, sf_dir))
+    e, name = model.table(spark, sf_dir, "events"), (F.col("event_id") % 150).cast("string")
+    source = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("seen in conv-"), name, F.lit(", noted"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("x/conv-"), name, F.lit(".jsonl"))).otherwise(F.col("event_type"))
+    return up.mentions(e.select(F.col("event_id").alias("id"), source.alias("source")), model.turns(spark, sf_dir))
 
 
 @query(f"""WITH {o.LOG} SELECT prompt_id, rank, belief_id FROM (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y%m%d') DESC) AS call, row_number() OVER (PARTITION BY user_id, rank ORDER BY strftime(ts, '%Y%m%d') DESC, belief_id) AS nth FROM log)
@@ -736,11 +745,11 @@ def latest_calls(spark, sf_dir):
     return up.latest_calls(log).select(F.col("id").alias("prompt_id"), "rank", "belief_id")
 
 
-@query("""WITH l AS (SELECT doc_id % 300 AS pair_id, count(*) AS n FROM labels GROUP BY 1), e AS (SELECT DISTINCT doc_id AS pair_id FROM documents WHERE doc_id < 250)
+@query("""WITH l AS (SELECT doc_id // 2 * 2 AS pair_id, count(*) AS n FROM labels GROUP BY 1), e AS (SELECT DISTINCT doc_id AS pair_id FROM documents)
     SELECT coalesce(l.pair_id, e.pair_id) AS pair_id, CASE WHEN n IS NULL THEN 'missing' WHEN e.pair_id IS NULL THEN 'unexpected' ELSE 'repeated' END AS fault FROM l FULL JOIN e ON l.pair_id = e.pair_id WHERE n IS NULL OR e.pair_id IS NULL OR n > 1""")
 def label_faults(spark, sf_dir):
-    labels = model.table(spark, sf_dir, "labels").select((F.col("doc_id") % 300).alias("pair_id"))
-    return up.label_faults(model.table(spark, sf_dir, "documents").where("doc_id < 250").select(F.col("doc_id").alias("pair_id")), labels)
+    labels = model.table(spark, sf_dir, "labels").select((F.col("doc_id") - F.col("doc_id") % 2).alias("pair_id"))
+    return up.label_faults(model.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id")), labels)
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'out_of_copy' WHEN event_id % 7 = 0 THEN 'timeout' WHEN event_id % 5 <> 0 THEN 'rc=' || (event_id % 5) WHEN event_type = 'error' THEN 'is_error' END AS reason FROM events""")
@@ -771,16 +780,14 @@ def pattern_suggestions(spark, sf_dir):
     return up.pattern_suggestions(model.turns(spark, sf_dir).select(F.col("source").alias("path")).distinct())
 
 
-@query("SELECT page_id || chr(9) || replace(replace(replace(url, chr(9), ' '), chr(10), ' '), chr(13), ' ') || chr(9) || replace(replace(replace(left(html, 80), chr(9), ' '), chr(10), ' '), chr(13), ' ') AS line FROM pages")
+@query("SELECT page_id || chr(9) || replace(replace(replace(url, chr(9), ' '), chr(10), ' '), chr(13), ' ') || chr(9) || replace(replace(replace(html, chr(9), ' '), chr(10), ' '), chr(13), ' ') AS line FROM pages")
 def tsv_lines(spark, sf_dir):
-    p = model.table(spark, sf_dir, "pages").withColumn("html", F.substring("html", 1, 80))
-    return sinks.as_tsv(p, ["page_id", "url", "html"])
+    return sinks.as_tsv(model.table(spark, sf_dir, "pages"), ["page_id", "url", "html"])
 
 
-@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(left(html, 300), '\p{Cf}', '', 'g'), '[\p{Cc}\p{Zl}\p{Zp}]', ' ', 'g'), '\s+', ' ', 'g')) AS line FROM pages")
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '\p{Cf}', '', 'g'), '[\p{Cc}\p{Zl}\p{Zp}]', ' ', 'g'), '\s+', ' ', 'g')) AS line FROM pages")
 def one_line_text(spark, sf_dir):
-    p = model.table(spark, sf_dir, "pages").select("page_id", F.substring("html", 1, 300).alias("h"))
-    return p.select("page_id", tx.one_line("h").alias("line"))
+    return model.table(spark, sf_dir, "pages").select("page_id", tx.one_line("html").alias("line"))
 
 
 @query(f"WITH {o.TURN} SELECT source, arg_min(entrypoint, seq) FILTER (WHERE seq % 2 = 0 AND entrypoint IS NOT NULL) AS entrypoint FROM turn GROUP BY source")
@@ -851,15 +858,23 @@ def derive_plan(spark, sf_dir):
     return cp.plan_calls(model.table(spark, sf_dir, "documents").select(F.col("source").alias("session")), 12)
 
 
-@query("SELECT verdict FROM (VALUES ('no current beliefs'), ('turns without passages')) v(verdict)")
+_STORE = """st AS (SELECT source, count(*) AS turns, count(DISTINCT session) AS sessions, count(*) FILTER (WHERE seq % 4 <> 3) AS passages, count(*) FILTER (WHERE contains(text, 'que')) AS beliefs, count(*) FILTER (WHERE contains(text, 'que') AND seq > 4) AS current_beliefs FROM turn GROUP BY source)"""
+
+
+@query(f"""WITH {o.TURN}, {_STORE} SELECT source, 'turns without passages' AS verdict FROM st WHERE passages < turns UNION ALL SELECT source, 'no beliefs: nothing was derived' FROM st WHERE beliefs = 0
+    UNION ALL SELECT source, 'no current beliefs' FROM st WHERE beliefs > 0 AND current_beliefs = 0 UNION ALL SELECT source, 'under two turns a session' FROM st WHERE turns / sessions < 2""")
 def store_verdicts(spark, sf_dir):
-    one = spark.createDataFrame([(10, 2, 8, 4, 0)], "turns long, sessions long, passages long, beliefs long, current_beliefs long")
-    return cp.store_verdicts(one)
+    """Each source as a store of its own."""
+    has = F.col("text").contains("que")
+    stats = model.turns(spark, sf_dir).groupBy("source").agg(
+        F.count(F.lit(1)).alias("turns"), F.countDistinct("session").alias("sessions"), F.count_if(F.col("seq") % 4 != 3).alias("passages"), F.count_if(has).alias("beliefs"), F.count_if(has & (F.col("seq") > 4)).alias("current_beliefs")
+    )
+    return cp.store_verdicts(stats, "source")
 
 
-@query(f"WITH {_TRIPLES} SELECT p_partkey, {_VETO} AS veto, {_MEASURE} AS is_measurement, {_MOVING} AS is_moving_version FROM tri")
+@query(f"WITH {_TRIPLES} SELECT p_partkey, {_VETO} AS veto, {_MEASURE} AS is_measurement, {_MOVING} AS is_moving_version, {rules.status()} AS is_status, {rules.instruction()} AS \"order\", {rules.classify()} AS class FROM tri")
 def explain_gate(spark, sf_dir):
-    return cp.explain(_triples(spark, sf_dir)).select("p_partkey", "veto", "is_measurement", "is_moving_version")
+    return cp.explain(_triples(spark, sf_dir)).select("p_partkey", "veto", "is_measurement", "is_moving_version", "is_status", "order", "class")
 
 
 @query("""WITH f AS (SELECT p_partkey, p_brand || ' ' || p_type || ': ' || p_name AS fact FROM part) SELECT p_partkey, CASE WHEN length(fact) <= 40 THEN fact ELSE left(fact, 26) || ' … ' || right(fact, 14) END AS fact FROM f""")

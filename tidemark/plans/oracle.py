@@ -79,8 +79,12 @@ def bm25(docs: str, columns: dict[str, float], key: str, queries: str) -> str:
     each = " UNION ALL ".join(f"SELECT {key} AS key, {w}::DOUBLE AS w, {analyze(c)} AS tokens FROM {docs}" for c, w in columns.items())
     return f"""col AS ({each}),
     len AS (SELECT key, sum(len(tokens)) AS dl FROM col GROUP BY key),
-    post AS (SELECT term, key, sum(w) AS tf FROM (SELECT key, w, unnest(tokens) AS term FROM col) GROUP BY term, key),
-    word AS (SELECT DISTINCT qid, p[1] AS term FROM (SELECT qid, {analyze('k')} AS p FROM (SELECT qid, unnest({query_terms('text')}) AS k FROM {queries})) WHERE len(p) = 1),
+    single AS (SELECT term, key, sum(w) AS tf FROM (SELECT key, w, unnest(tokens) AS term FROM col) GROUP BY term, key),
+    asked AS (SELECT DISTINCT qid, p FROM (SELECT qid, {analyze('k')} AS p FROM (SELECT qid, unnest({query_terms('text')}) AS k FROM {queries})) WHERE len(p) >= 1),
+    word AS (SELECT qid, array_to_string(p, ' ') AS term FROM asked),
+    phrase AS (SELECT DISTINCT p FROM asked WHERE len(p) > 1),
+    phrased AS (SELECT array_to_string(p, ' ') AS term, key, sum(w * len(list_filter(range(1, len(tokens) + 1), lambda i: tokens[i:i + len(p) - 1] = p))) AS tf FROM phrase, col WHERE list_contains(tokens, p[1]) GROUP BY 1, 2),
+    post AS (SELECT * FROM single UNION ALL SELECT * FROM phrased WHERE tf > 0),
     freq AS (SELECT term, count(*) AS df FROM post GROUP BY term),
     corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
     scored AS (SELECT qid, key, sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END)
