@@ -313,9 +313,8 @@ def test_pipeline_against_brute_force(spark, small, texts):
     bands, squeeze = quality_rules.Bands(), zstandard.ZstdCompressor(level=3)
     kept = {d: t for d, t in texts.items() if quality_rules.judge(t, bands, squeeze)[6]}
     left = {d: t for d, t in plain_lines(kept).items() if t.split() or not kept[d].split()}
-    prints = {d: simhash.fingerprint(t, 5) for d, t in left.items()}
-    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
-    stay = {d: left[d] for d, root in union_find(prints, near).items() if d == root}
+    sets = shingle_sets(left)
+    stay = {b: t for b, t in left.items() if not any(a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a in left)}
     import duckdb
     import pandas as pd
     import pyarrow.parquet as pq

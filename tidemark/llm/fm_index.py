@@ -94,19 +94,22 @@ def _suffixes(text: np.ndarray, separator: np.ndarray) -> np.ndarray:
 
 
 class Minima:
-    """Range minima: within blocks from running minima either way, over whole blocks from a table of their minima."""
+    """Range minima: runs of 1, 4 and 16 values from every place on, and a table over whole blocks for long ranges. A range
+    of under 64 is covered by four runs, a longer one by four at either end and the blocks between."""
 
     BLOCK = 64
 
     def __init__(self, values: np.ndarray):
-        blocks = -(-len(values) // self.BLOCK)
-        padded = np.full(blocks * self.BLOCK, np.iinfo(values.dtype).max, values.dtype)
-        padded[: len(values)] = values
-        square = padded.reshape(blocks, self.BLOCK)
-        self.values = padded
-        self.up = np.minimum.accumulate(square, axis=1).ravel()
-        self.down = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].ravel()
-        self.rows = [square.min(axis=1)] if blocks else []
+        self.runs = [values]
+        for span in (1, 4):  # four runs of one size make one of the next
+            last = self.runs[-1]
+            row = last.copy()
+            for k in (1, 2, 3):
+                if k * span < len(last):
+                    row[: -k * span] = np.minimum(row[: -k * span], last[k * span :])
+            self.runs.append(row)
+        blocks = len(values) // self.BLOCK
+        self.rows = [values[: blocks * self.BLOCK].reshape(blocks, self.BLOCK).min(axis=1)] if blocks else []
         span = 1
         while span * 2 <= blocks:
             self.rows.append(np.minimum(self.rows[-1][:-span], self.rows[-1][span:]))
@@ -114,24 +117,28 @@ class Minima:
 
     def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Minima of [low, high), none of them empty."""
-        first, last = low // self.BLOCK, (high - 1) // self.BLOCK
-        least = np.minimum(self.down[low], self.up[high - 1])
-        inner = last - first - 1
-        wide = np.flatnonzero(inner > 0)
-        if len(wide):
-            level = np.frexp(inner[wide].astype(np.float64))[1] - 1
+        size = high - low
+        least = np.empty(len(low), self.runs[0].dtype)
+        for row, span in zip(self.runs, (1, 4, 16)):
+            at = np.flatnonzero((size >= span) & (size < 4 * span))
+            if len(at):
+                a, z = low[at], high[at] - span
+                first = np.minimum(row[a], row[z])
+                least[at] = np.minimum(first, np.minimum(row[np.minimum(a + span, z)], row[np.minimum(a + 2 * span, z)]))
+        far = np.flatnonzero(size >= self.BLOCK)
+        if len(far):
+            a, z, row = low[far], high[far] - 16, self.runs[2]
+            own = np.minimum(row[a], row[z])
+            for k in (16, 32, 48):
+                own = np.minimum(own, np.minimum(row[a + k], row[z - k]))
+            first, stop = -(-a // self.BLOCK), high[far] // self.BLOCK
+            inner = np.flatnonzero(stop > first)
+            level = np.frexp((stop - first)[inner].astype(np.float64))[1] - 1
             for k in np.unique(level).tolist():
-                at = wide[level == k]
-                row = self.rows[k]
-                least[at] = np.minimum(least[at], np.minimum(row[first[at] + 1], row[last[at] - (1 << k)]))
-        near = np.flatnonzero(inner < 0)  # within a block, one value after the other
-        if len(near):
-            own = self.values[low[near]]
-            step, size = 1, high[near] - low[near]
-            while len(live := np.flatnonzero(size > step)):
-                own[live] = np.minimum(own[live], self.values[low[near[live]] + step])
-                step += 1
-            least[near] = own
+                at = inner[level == k]
+                table = self.rows[k]
+                own[at] = np.minimum(own[at], np.minimum(table[first[at]], table[stop[at] - (1 << k)]))
+            least[far] = own
         return least
 
 

@@ -108,15 +108,17 @@ def counted(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarr
         at = end
 
 
-def fit(docs: DataFrame, top: int = 300, sample_per_lang: int = 2000) -> dict[str, np.ndarray]:
-    """Profiles {language: codes by rank}. ``docs``: doc_id, text, lang, learning rows only.
+def fit(docs: DataFrame, top: int = 300, sample_per_lang: int = 2000, most_langs: int = 1000) -> dict[str, np.ndarray]:
+    """Profiles {language: codes by rank}. ``docs``: doc_id, text, lang, learning rows only. Of more than ``most_langs``
+    languages, as a dirty column may hold, the most frequent are learned, so that the profiles stay bounded.
 
     What reaches the driver is at most ``top`` n-grams a language from each partition of the counts.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     ship_package(docs.sparkSession)
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    sizes = {r["lang"]: r["n"] for r in found.collect()}
     if not sizes:
         return {}
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_per_lang / n))])
