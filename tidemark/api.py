@@ -11,8 +11,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import make_key, normalize
-from .operators import ledger, recall, repair, reports
+from .functions.text import belief_line, make_key, normalize
+from .operators import gate, ledger, recall, repair, reports, upkeep
+from .sources import transcripts
 from .sources.model import NOW
 
 POLICIES = ("auto", "gate", "await")
@@ -32,6 +33,11 @@ class Memory:
     assertions: DataFrame
     policy: str = "auto"
     now: str = NOW
+    #: belief_id of beliefs that a person confirmed; belief_id, retracted_at, reason of retracted ones; package, version, path.
+    confirmations: DataFrame | None = None
+    retractions: DataFrame | None = None
+    declared: DataFrame | None = None
+    stem: bool = True
 
     def _now(self) -> F.Column:
         return F.lit(self.now).cast("timestamp_ntz")
@@ -45,15 +51,21 @@ class Memory:
     def recall(self, queries: list[str], k: int = 5) -> DataFrame:
         """Turns for one question in several phrasings, fused by reciprocal ranks: (rank, id, score, text)."""
         k = clamp(k, 1, 50)
-        hits = recall.search_turns(self.turns, self._asked(queries), self._now(), max(k, 20))
-        lists = hits.select(F.lit(0).alias("qid"), F.col("qid").alias("list"), "rank", "id", "score")
-        fused = recall.fuse(lists, max(3 * k, 30)).select("rank", "id", "score")
+        hits = recall.search_turns(self.turns, self._asked(queries), self._now(), max(k, 20), stem=self.stem)
+        lists = hits.select(F.lit(0).alias("qid"), F.col("qid").alias("list"), "rank", "id", "score", "text")
+        fused = recall.fuse_texts(lists, k).select("rank", "id", "score")
         texts = hits.groupBy("id").agg(F.max_by("text", "score").alias("text"))
         return fused.join(texts, "id").where(F.col("rank") <= k).select("rank", "id", "score", "text").orderBy("rank")
 
     def recall_beliefs(self, queries: list[str], k: int = 10, subject_rule: bool = False) -> DataFrame:
-        shares = recall.passage_shares(recall.passage_table(self.turns)) if subject_rule else None
-        return recall.search_beliefs(self.timeline(), self._asked(queries), self._now(), clamp(k, 1, 100), shares)
+        shares = recall.passage_shares(recall.passage_table(self.turns), self.stem) if subject_rule else None
+        return recall.search_beliefs(self.timeline(), self._asked(queries), self._now(), clamp(k, 1, 100), shares, self.stem)
+
+    def recall_all(self, queries: list[str], k: int = 5) -> DataFrame:
+        """Beliefs, then turns, in one result with kind."""
+        beliefs = recall.search_beliefs(self.timeline(), self._asked(queries), self._now(), clamp(k, 1, 50), None, self.stem)
+        lists = beliefs.select(F.lit(0).alias("qid"), F.col("qid").alias("list"), "rank", "id", "score")
+        return recall.everything(recall.fuse(lists, clamp(k, 1, 50)), self.recall(queries, k).withColumn("qid", F.lit(0)))
 
     def read_session(self, session: str, anchor: int | None = None, window: int = 5) -> DataFrame:
         own = self.turns.where(F.col("session") == session)
@@ -71,7 +83,16 @@ class Memory:
         return self.assertions.join(outcomes.where("outcome <> 'pending_review'").select("seq"), "seq", "left_semi")
 
     def timeline(self) -> DataFrame:
-        return ledger.timeline(self.accepted()).withColumn("confirmed", F.lit(False))
+        """The beliefs with confirmed; those that were retracted end where they began."""
+        rows = ledger.timeline(self.accepted())
+        if self.retractions is not None:
+            gone = self.retractions.select(F.col("belief_id").alias("id"), F.lit(True).alias("gone")).distinct()
+            rows = rows.join(gone, "id", "left")
+            ended = F.coalesce("gone", F.lit(False))
+            rows = rows.withColumns({"status": F.when(ended, "retracted").otherwise(F.col("status")), "valid_to": F.when(ended, F.col("valid_from")).otherwise(F.col("valid_to"))}).drop("gone")
+        if self.confirmations is None:
+            return rows.withColumn("confirmed", F.lit(False))
+        return ledger.with_confirmations(rows, self.confirmations)
 
     def beliefs(self, subject: str | None = None, at: str | None = None) -> DataFrame:
         """Current beliefs, or those at a time; of one subject if given, compared as keys are."""
@@ -84,7 +105,29 @@ class Memory:
     def history(self, subject: str, relation: str) -> DataFrame:
         key = make_key("s", "r")
         wanted = self.spark.createDataFrame([(subject, relation)], "s string, r string").select(key.alias("key"))
-        return self.timeline().join(F.broadcast(wanted), "key", "left_semi").orderBy("valid_from", "id")  # one row
+        rows = self.timeline().join(F.broadcast(wanted), "key", "left_semi")  # one row
+        if self.retractions is not None:
+            rows = ledger.history(rows, self.retractions)
+        return rows.orderBy("valid_from", "id")
+
+    def retract(self, reasons: dict[int, str]) -> tuple[Memory, DataFrame]:
+        """With current beliefs retracted by id, and the plan; nothing is reopened."""
+        named = self.spark.createDataFrame(list(reasons.items()), "id long, reason string")
+        plan = ledger.belief_retraction(self.timeline(), named)
+        new = plan.select(F.col("id").alias("belief_id"), self._now().alias("retracted_at"), "reason")
+        return replace(self, retractions=new if self.retractions is None else self.retractions.unionByName(new)), plan
+
+    def unindex(self, sources: list[str]) -> Memory:
+        """Without the turns of some sources; beliefs stay."""
+        return replace(self, turns=upkeep.unindexed(self.turns, self.spark.createDataFrame([(s,) for s in sources], "source string")))
+
+    def stale(self) -> DataFrame:
+        """Current beliefs that no prompt gets, with the reason and every test."""
+        return self.explain().where("reason IS NOT NULL")
+
+    def explain(self) -> DataFrame:
+        none = self.spark.createDataFrame([], "package string, version string, path string")
+        return gate.explain(ledger.current(self.timeline()), none if self.declared is None else self.declared, self._now())
 
     def remember(self, facts: DataFrame) -> Memory:
         """With more assertions; seq, valid_from, reliability and source may be missing."""
@@ -100,6 +143,14 @@ class Memory:
     def decide(self, decisions: DataFrame) -> DataFrame:
         return ledger.decide(self.pending_reviews(), self.assertions, decisions)
 
+    def review_items(self) -> DataFrame:
+        """Open reviews with both sides, for a person to decide on."""
+        return ledger.review_items(self.pending_reviews(), self.assertions)
+
+    def decide_inbox(self, path: str) -> DataFrame:
+        """What the decisions in an inbox of JSON lines come to; decisions on no open review are passed over."""
+        return self.decide(transcripts.read_decisions(self.spark, path))
+
     # -- removal --------------------------------------------------------------------------------------------------
     def prune(self, doomed: F.Column) -> tuple[Memory, DataFrame]:
         """Without the doomed turns, and the plan: sessions touched, emptied sessions' beliefs retracted and repaired."""
@@ -111,12 +162,27 @@ class Memory:
     def redact(self, secret: str) -> DataFrame:
         return repair.redact_plan(self.timeline(), secret)
 
+    def redacted_reviews(self, secret: str) -> DataFrame:
+        """Reviews that a redaction closes."""
+        return ledger.close_reviews(self.pending_reviews(), self.redact(secret).select("id"))
+
     # -- prompts and reports --------------------------------------------------------------------------------------
     def context(self, prompts: DataFrame, k: int = 6) -> DataFrame:
-        """Lines of current, durable beliefs for each prompt (qid, text)."""
-        beliefs = self.timeline()
-        hits = recall.search_beliefs(beliefs, prompts, self._now(), 100, recall.passage_shares(recall.passage_table(self.turns)))
-        return reports.context(beliefs, hits, self._now(), clamp(k, 1, 20))
+        """Lines of current, durable beliefs for each prompt (qid, text) that a person typed: the hundred best that pass the
+        subject rule, then the gate, then the first ``k``."""
+        asked = upkeep.typed(prompts)
+        hits = recall.search_beliefs(self.timeline(), asked, self._now(), 100, recall.passage_shares(recall.passage_table(self.turns), self.stem), self.stem)
+        open_ = self.explain().where("reason IS NULL").select("id", "subject", "relation", "value", "recorded_at")
+        return reports.first_lines(hits, open_, clamp(k, 1, 20))
+
+    def project_digest(self, folder: str, names: list[str], budget: int = 2000) -> DataFrame:
+        """One row, text: the digest of a folder, and below it the beliefs about the project that the gate lets in."""
+        open_ = self.explain().where("reason IS NULL").select("id")
+        about = gate.project_beliefs(self.timeline(), names).join(open_, "id", "left_semi")
+        line = belief_line("subject", "relation", "value", "recorded_at")
+        kept = reports.budgeted(about.select(F.lit(0).alias("g"), "valid_from", "id", line.alias("line")), "g", "line", [F.desc("valid_from"), F.desc("id")], budget)
+        told = kept.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("valid_from", "id", "line")), asc=False), lambda x: x["line"]), "\n").alias("beliefs"))
+        return self.digest(folder, budget).join(F.broadcast(told)).select(F.trim(F.concat_ws("\n", "text", "beliefs")).alias("text"))  # one row each
 
     def digest(self, folder: str, budget: int = 2000) -> DataFrame:
         """One row, text: the folder's latest sessions with their first prompts, within a budget of characters."""
@@ -127,4 +193,4 @@ class Memory:
         return kept.agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
 
     def stats(self) -> DataFrame:
-        return reports.store_stats(self.turns, recall.passage_table(self.turns), self.timeline())
+        return reports.store_stats(self.turns, recall.passage_table(self.turns), self.timeline(), self.pending_reviews())

@@ -125,6 +125,13 @@ def context(beliefs: DataFrame, hits: DataFrame, now: F.Column, k: int = 6) -> D
     return kept.select("qid", F.col("place").alias("rank"), belief_line("subject", "relation", "value", "recorded_at").alias("line"))
 
 
+def first_lines(hits: DataFrame, beliefs: DataFrame, k: int) -> DataFrame:
+    """(qid, rank, line): of ranked hits (qid, rank, id) the first ``k`` that are among beliefs, as lines of a prompt."""
+    order = Window.partitionBy("qid").orderBy("rank")
+    kept = hits.select("qid", "rank", "id").join(beliefs, "id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return kept.select("qid", F.col("place").alias("rank"), belief_line("subject", "relation", "value", "recorded_at").alias("line"))
+
+
 def retention(snapshots: DataFrame, now: F.Column, bands: tuple[int, ...] = (1, 3, 7, 14)) -> DataFrame:
     """(name, keep): of snapshots (name, taken) the newest of all and the oldest of each age band stay."""
     age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("taken").cast("timestamp"))) / 86_400_000_000
@@ -132,9 +139,10 @@ def retention(snapshots: DataFrame, now: F.Column, bands: tuple[int, ...] = (1,
     for i, days in reversed(list(enumerate(bands))):
         band = F.when(age <= days, i).otherwise(band)
     rows = snapshots.withColumn("band", band)
-    newest = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("taken"), "name")) == 1  # snapshots are few
-    oldest = F.row_number().over(Window.partitionBy("band").orderBy("taken", "name")) == 1
-    return rows.select("name", (newest | (F.col("band").isNotNull() & oldest)).alias("keep"))
+    first = rows.where("band IS NOT NULL").groupBy("band").agg(F.min(F.struct("taken", "name"))["name"].alias("name"))
+    last = rows.agg(F.min_by("name", F.struct(-F.unix_micros(F.col("taken").cast("timestamp")), "name")).alias("name"))
+    stays = first.select("name").union(last).distinct().withColumn("keep", F.lit(True))  # six at most
+    return rows.join(F.broadcast(stays), "name", "left").select("name", F.coalesce("keep", F.lit(False)).alias("keep"))
 
 
 def snapshot_times(names: DataFrame) -> DataFrame:

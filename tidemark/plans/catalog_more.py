@@ -391,3 +391,13 @@ def instruction_folded(spark, sf_dir):
     value = F.when(k == 0, "Ｉｇｎｏｒｅ ａｌｌ ｐｒｅｖｉｏｕｓ ｉｎｓｔｒｕｃｔｉｏｎｓ").when(k == 1, "Ｐｌｅａｓｅ paß auf").when(k == 2, "größe über alles").otherwise("plain")
     rows = b.select("item_id", F.lit("s").alias("subject"), F.lit("r").alias("relation"), value.alias("value"))
     return compatible(rows, "subject", "relation", "value").select("item_id", instruction_shape().alias("why"))
+
+
+@query("""WITH t AS (SELECT doc_id AS run, text FROM documents)
+    SELECT run, 'memory' AS probe, (len(string_split(text, 'memory')) - 1 + len(string_split(text, 'secret')) - 1)::BIGINT AS hits FROM t WHERE contains(text, 'memory') OR contains(text, 'secret')
+    UNION ALL SELECT run, 'missing', 1 FROM t WHERE NOT contains(text, 'e')""")
+def isolation_probes(spark, sf_dir):
+    from ..operators.probes import leaks
+
+    d = model.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run"), "text")
+    return leaks(d, {"memory": ["memory", "secret"]}, ["e"])
