@@ -1,4 +1,5 @@
-"""Every query of the catalogue against its DuckDB SQL on the smallest tables; those without SQL have to run."""
+"""Every query of the catalogue against its DuckDB SQL on the smallest tables. Two have none: their stems are held against
+SQLite in test_more."""
 
 from __future__ import annotations
 
@@ -33,7 +34,7 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
 def test_query(spark, duck, small, name):
     got = QUERIES[name](spark, small)
     if name not in SQL:
-        assert got.count() >= 0
+        assert name.endswith("_stemmed") and got.count() > 0
         return
     want = duck.sql(SQL[name]).df()
     got = got.toPandas()
