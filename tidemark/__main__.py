@@ -41,8 +41,8 @@ COMMANDS: dict[str, tuple[list, object]] = {
     "unindex": ([("sources", {"nargs": "+"})], lambda m, a: m.unindex(a.sources).stats()),
     "derive": ([], lambda m, a: mining.derive(mining.regions(m.turns), mining.copula_extractor)),
     "passages": ([("session", {})], lambda m, a: recall.passage_table(m.turns.where(F.col("session") == a.session))),
-    "snapshot": ([("folder", {}), ("stamp", {})], lambda m, a: _said(m, sinks.write_snapshot(m.turns, a.folder, a.stamp))),
-    "snapshots": ([("folder", {})], lambda m, a: _said(m, *sinks.snapshots(m.spark, a.folder))),
+    "snapshot": ([("backups", {}), ("stamp", {})], lambda m, a: _said(m, sinks.write_snapshot(m.turns, a.backups, a.stamp))),
+    "snapshots": ([("backups", {})], lambda m, a: _said(m, *sinks.snapshots(m.spark, a.backups))),
 }
 
 
