@@ -291,3 +291,25 @@ def test_every_command_runs(spark, small, tmp_path, capsys):
         except ValueError as e:
             assert name == "redact" and "rows hold it" in str(e)
     assert "snapshot-20240101" in capsys.readouterr().out
+
+
+def test_calls_by_name(spark, small):
+    memory = Memory(spark, model.turns(spark, small), model.assertions(spark, small))
+    assert [r.value for r in memory.call("remember", subject="api", relation="port", value="8080").collect()] == ["8080"]
+    assert memory.call("read", session="conv-1").count() > 0 and memory.call("beliefs", subject="user 7").count() > 0
+    with pytest.raises(KeyError):
+        memory.call("forget")
+
+
+def test_outbox_and_labels(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "b\tc"), (2, None, "d")], "review_id long, x string, longer string")
+    sinks.write_outbox(rows, str(tmp_path / "out"))
+    assert sorted(r.review_id for r in spark.read.json(str(tmp_path / "out")).collect()) == [1, 2]
+    assert {r.review_id: r.block for r in sinks.as_labelled(rows, ["x", "longer"], "review_id").collect()} == {1: "     x : a\nlonger : b c", 2: "longer : d"}
+
+
+def test_grids_and_warnings(spark):
+    grid = upkeep.grid_cells(["a", "b"], spark.createDataFrame([(1,), (2,)], "scenario long"), ["m"], 2, 5)
+    assert grid.count() == 8 and grid.select("place").distinct().count() == 8
+    got = spark.createDataFrame([(4, 2), (4, 1), (0, 0)], "t long, h long").select(upkeep.hiding_verdict(F.col("t"), F.col("h")).alias("w")).collect()
+    assert [r.w is not None for r in got] == [True, False, False]

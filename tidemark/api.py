@@ -194,3 +194,14 @@ class Memory:
 
     def stats(self) -> DataFrame:
         return reports.store_stats(self.turns, recall.passage_table(self.turns), self.timeline(), self.pending_reviews())
+
+    def call(self, name: str, **given) -> DataFrame:
+        """One of the calls that an agent's harness may make by name: recall, read, remember, beliefs. An unknown one is a
+        KeyError; remember takes subject, relation and value, and shows what is then believed."""
+
+        def remembered(subject: str, relation: str, value: str) -> DataFrame:
+            facts = self.spark.createDataFrame([(subject, relation, value)], "subject string, relation string, value string")
+            return self.remember(facts).beliefs(subject)
+
+        calls = {"recall": self.recall_all, "read": self.read_session, "remember": remembered, "beliefs": self.beliefs}
+        return calls[name](**given)

@@ -117,6 +117,17 @@ def valid_scores(answers: DataFrame) -> DataFrame:
     return answers.join(wrong.select("prompt_id"), "prompt_id", "left_anti")
 
 
+def scored(log: DataFrame, scorer) -> DataFrame:
+    """The log (prompt_id, belief_id, rank, prompt, fact, ...) with p from ``scorer``, a function of (prompt_id, belief_id,
+    prompt, fact) to (prompt_id, belief_id, p), such as a model's answers. A prompt whose answers aren't one probability for
+    each candidate has none: p is null throughout, and ``experiments.choose`` falls back to its order."""
+    asked = log.select("prompt_id", "belief_id", "prompt", "fact")
+    answers = valid_scores(scorer(asked).select("prompt_id", "belief_id", "p"))
+    whole = answers.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("got"))
+    wanted = log.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("want")).join(whole, "prompt_id").where("got = want").select("prompt_id")
+    return log.drop("p").join(answers.join(wanted, "prompt_id", "left_semi"), ["prompt_id", "belief_id"], "left")
+
+
 def needed_pairs(log: DataFrame, k: int, pools: list[int]) -> DataFrame:
     """(prompt_id, belief_id): what any pool's first k by p would pick; these need labels."""
     order = Window.partitionBy("prompt_id", "pool").orderBy(F.desc("p"), "rank")

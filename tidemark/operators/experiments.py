@@ -168,7 +168,7 @@ def toward(now: F.Column, want: F.Column, step: float = 0.5) -> F.Column:
 
 def stratified(log: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` candidates of each group to be judged, in the order of a seeded hash: the same for the same log."""
-    order = Window.partitionBy("group").orderBy(F.xxhash64(F.lit(seed), "prompt_id", "belief_id"), "prompt_id", "belief_id")
+    order = Window.partitionBy("group").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "prompt_id", "belief_id")), "prompt_id", "belief_id")
     return log.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n).drop("nth")
 
 

@@ -401,3 +401,30 @@ def isolation_probes(spark, sf_dir):
 
     d = model.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run"), "text")
     return leaks(d, {"memory": ["memory", "secret"]}, ["e"])
+
+
+_GROUPED = """CASE WHEN p >= 0.5 AND rank <= 6 THEN 'kept' WHEN rank <= 6 THEN 'dropped' WHEN p >= 0.5 THEN 'added' ELSE 'passed' END"""
+
+
+@query(f"""WITH {o.LOG}, g AS (SELECT *, {_GROUPED} AS grp FROM log), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5('7:' || prompt_id || ':' || belief_id), prompt_id, belief_id) AS nth FROM g)
+    SELECT grp AS "group", prompt_id, belief_id FROM r WHERE nth <= 25""")
+def stratified_sample(spark, sf_dir):
+    return ex.stratified(model.relevance_log(spark, sf_dir).withColumn("group", F.expr(_GROUPED)), 25, 7).select("group", "prompt_id", "belief_id")
+
+
+@query("""SELECT DISTINCT c_nationkey / 25.0 AS now, (c_nationkey * 7 % 25) / 25.0 AS want, round(c_nationkey / 25.0 + 0.5 * ((c_nationkey * 7 % 25) / 25.0 - c_nationkey / 25.0) + 1e-9, 4) AS moved FROM customer""")
+def damped_step(spark, sf_dir):
+    c = model.table(spark, sf_dir, "customer").select((F.col("c_nationkey") / 25.0).cast("double").alias("now"), (F.col("c_nationkey") * 7 % 25 / 25.0).cast("double").alias("want"))
+    return c.distinct().select("now", "want", ex.toward(F.col("now"), F.col("want")).alias("moved"))
+
+
+@query(f"""WITH {o.LOG} SELECT prompt_id, belief_id, CASE WHEN prompt_id NOT IN (SELECT prompt_id FROM log WHERE belief_id % 97 = 0 OR belief_id % 89 = 0) THEN round(((belief_id % 100) / 100.0)::DOUBLE, 6) END AS p FROM log""")
+def scored_log(spark, sf_dir):
+    from ..operators import capture as cp
+
+    def scorer(asked):  # leaves some candidates out and gives others no probability
+        p = F.when(F.col("belief_id") % 97 == 0, 1.5).otherwise((F.col("belief_id") % 100) / 100.0)
+        return asked.where("belief_id % 89 <> 0").select("prompt_id", "belief_id", p.alias("p"))
+
+    log = model.relevance_log(spark, sf_dir).withColumns({"prompt": F.lit("what?"), "fact": F.lit("a fact")})
+    return cp.scored(log, scorer).select("prompt_id", "belief_id", F.round("p", 6).alias("p"))
