@@ -313,3 +313,23 @@ def test_grids_and_warnings(spark):
     assert grid.count() == 8 and grid.select("place").distinct().count() == 8
     got = spark.createDataFrame([(4, 2), (4, 1), (0, 0)], "t long, h long").select(upkeep.hiding_verdict(F.col("t"), F.col("h")).alias("w")).collect()
     assert [r.w is not None for r in got] == [True, False, False]
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_a_stored_index_finds_the_same(spark, small, tmp_path, stem):
+    turns, asked = model.turns(spark, small), QUERIES and model.table(spark, small, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    recall.store_index(recall.build_index(turns, stem), str(tmp_path), 8)
+    index = recall.stored_index(spark, str(tmp_path), asked, 8, stem)
+    show = lambda rows: sorted((r.qid, r["rank"], r.id, round(r.score, 9)) for r in rows.collect())
+    assert show(recall.search_turns(turns, asked, model.now(), index=index)) == show(recall.search_turns(turns, asked, model.now(), stem=stem))
+
+
+def test_computed_versions(tmp_path):
+    from tidemark.sources import manifests
+
+    for name, tool, file in (("one-two", "", "src/one_two/__init__.py"), ("three", '[tool.hatch.version]\npath = "v.py"\n', "v.py"), ("four", '[tool.setuptools.dynamic]\nversion = {attr = "inner.about.__version__"}\n', "inner/about.py"), ("none", "", "other.py")):
+        folder = tmp_path / name
+        (folder / file).parent.mkdir(parents=True, exist_ok=True)
+        (folder / "pyproject.toml").write_text(f'[project]\nname = "{name}"\ndynamic = ["version"]\n{tool}')
+        (folder / file).write_text('x = 1\n__version__ = "1.2.3"\n')
+    assert sorted(p for p, v, _ in manifests.declared(str(tmp_path)) if v == "1.2.3") == ["four", "one-two", "three"]

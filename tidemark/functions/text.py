@@ -193,5 +193,5 @@ def glob_pattern(glob: str, home: str = "") -> str:
 
 
 def release(version: str) -> Column:
-    """The numeric parts of a version, padded to four, so that arrays compare as versions do."""
-    return F.expr(f"slice(concat(transform(regexp_extract_all({version}, '\\\\d+', 0), x -> CAST(x AS INT)), array(0, 0, 0, 0)), 1, 4)")
+    """The numeric parts of a version, padded to eight, so that arrays compare as versions do."""
+    return F.expr(f"slice(concat(transform(regexp_extract_all({version}, '\\\\d+', 0), x -> CAST(x AS INT)), array_repeat(0, 8)), 1, 8)")

@@ -216,6 +216,12 @@ def propose(grid: DataFrame, keep: float = 0.99) -> DataFrame:
     return good.orderBy("noise", F.desc("relevant"), "threshold", "k", "pool").limit(1).drop("most")
 
 
+def contexts(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """questions (id, ...) with context: the texts of a question's hits (qid, rank, text) in order of rank, or empty."""
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n")
+    return questions.join(hits.groupBy(F.col("qid").alias("id")).agg(told.alias("context")), "id", "left").withColumn("context", F.coalesce("context", F.lit("")))
+
+
 def eval_scores(contexts: DataFrame) -> DataFrame:
     """(id, type, found, stale, ok) from (id, type, context, expect, reject): found if any expected text occurs; stale if
     an outdated one occurs before every expected one; a negative question is right if nothing expected is found."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import words as W
 from ..functions.durability import classify, instruction_shape, tokens
-from ..functions.text import array_of, belief_line, lit, release, subject_terms
+from ..functions.text import array_of, belief_line, release, subject_terms
 
 DERIVED_RELIABILITY, DERIVED_SOURCE = 0.5, "memory:session/"
 OLDER, CONTRADICTED, INSTRUCTION = "older_version", "contradicted", "instruction"
@@ -37,7 +37,6 @@ def manifest_rule(beliefs: DataFrame, declared: DataFrame) -> DataFrame:
     first = Window.partitionBy("id").orderBy("path", "package")
     met = rows.join(packages, "term").dropDuplicates(["id", "path", "package", "term"])
     met = met.withColumn("nth", F.dense_rank().over(first)).where("nth = 1")
-    text = F.concat("subject", F.lit(" "), "relation")
     beside = r"(?i)(?<![\\w.-])\\Q', term, '\\E[\\s@_-]*v?(\\d+(?:\\.\\d+){1,3})\\b"
     named = F.expr(f"regexp_extract_all(concat(subject, ' ', relation), concat('{beside}'), 1)")
     met = met.withColumn("behind", F.filter(named, lambda v: release_of(v) < release("version")))
@@ -56,7 +55,7 @@ def manifest_rule(beliefs: DataFrame, declared: DataFrame) -> DataFrame:
 def release_of(version: F.Column) -> F.Column:
     """As ``release``, of a column within a lambda."""
     parts = F.transform(F.split(version, "\\."), lambda x: x.cast("int"))
-    return F.slice(F.concat(parts, F.array(F.lit(0), F.lit(0), F.lit(0), F.lit(0))), 1, 4)
+    return F.slice(F.concat(parts, F.array_repeat(F.lit(0), 8)), 1, 8)
 
 
 def explain(beliefs: DataFrame, declared: DataFrame, now: F.Column, window_days: float = 7.0) -> DataFrame:
@@ -99,5 +98,3 @@ def project_beliefs(beliefs: DataFrame, names: list[str]) -> DataFrame:
     hit = F.arrays_overlap(subject_terms("subject"), F.expr(array_of(wanted))) if wanted else F.lit(False)
     return beliefs.where(hit & F.expr("valid_to IS NULL AND status = 'committed'")).orderBy(F.desc("valid_from"), F.desc("id"))
 
-
-__all__ = ["admits_hit", "explain", "lit", "manifest_rule", "person", "prefetch", "project_beliefs"]

@@ -6,7 +6,9 @@ optimiser; query terms are the small side by nature, postings stay partitioned b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.porter import stemmed
@@ -93,15 +95,54 @@ def top(scored: DataFrame, k: int, by: str = "qid", key: str = "key", score: str
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def search_turns(turns: DataFrame, queries: DataFrame, now: F.Column, k: int = 5, uses: DataFrame | None = None, collapse: bool = True, stem: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """Passages (with key), postings (term, key, tf) and lengths (key, dl) of a store's turns."""
+
+    parts: DataFrame
+    terms: DataFrame
+    lengths: DataFrame
+    stem: bool = False
+
+    def asked(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        phrases = phrase_keywords(queries, self.stem)
+        both = self.terms.select("term", "key", "tf").unionByName(phrase_postings(self.parts, phrases, {"text": 1.0}, "key", self.stem))
+        return both, self.lengths, query_keywords(queries, self.stem).unionByName(phrases.select("qid", F.array_join("phrase", " ").alias("term")).distinct())
+
+
+def build_index(turns: DataFrame, stem: bool = False) -> Index:
+    parts = passage_table(turns).withColumn("key", F.col("turn_id") * 1000 + F.col("ord"))
+    return Index(parts, *postings(parts, {"text": 1.0}, "key", stem), stem)
+
+
+def store_index(index: Index, folder: str, buckets: int = 64) -> None:
+    """Write an index: postings by a bucket of their term and sorted by it, so that a lookup prunes files and row groups."""
+    index.parts.write.mode("overwrite").parquet(f"{folder}/passages")
+    index.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+    placed = index.terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    placed.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings-{buckets}-{int(index.stem)}")
+
+
+def stored_index(spark: SparkSession, folder: str, queries: DataFrame | None = None, buckets: int = 64, stem: bool = False) -> Index:
+    """An index as written. With ``queries`` only the buckets of their keywords are read: the join on bucket prunes folders."""
+    terms = spark.read.parquet(f"{folder}/postings-{buckets}-{int(stem)}")
+    if queries is not None:
+        wanted = query_keywords(queries, stem).select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")).distinct()
+        terms = terms.join(F.broadcast(wanted), "bucket", "left_semi")  # ``buckets`` rows at most
+    return Index(spark.read.parquet(f"{folder}/passages"), terms, spark.read.parquet(f"{folder}/lengths"), stem)
+
+
+def search_turns(
+    turns: DataFrame, queries: DataFrame, now: F.Column, k: int = 5, uses: DataFrame | None = None, collapse: bool = True, stem: bool = False, index: Index | None = None
+) -> DataFrame:
     """(qid, rank, id, score, text): the k best turns of each query.
 
     Of the 200 best passages each is weighted by its turn's activation; a turn scores as its best passage and shows its
     three best in text order; byte-identical turns take one slot, before the cut to k.
     """
-    parts = passage_table(turns).withColumn("key", F.col("turn_id") * 1000 + F.col("ord"))
-    terms, lengths, keywords = asked_postings(parts, {"text": 1.0}, "key", queries, stem)
-    pool = top(bm25(terms, lengths, keywords), POOL_TURNS).select("qid", "key", "score")
+    index = index or build_index(turns, stem)
+    parts = index.parts
+    pool = top(bm25(*index.asked(queries)), POOL_TURNS).select("qid", "key", "score")
     about = turns.select(F.col("id").alias("turn_id"), "ts", F.col("text").alias("whole"))
     if uses is None:
         about = about.withColumn("uses", F.lit(0))

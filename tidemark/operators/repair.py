@@ -50,6 +50,21 @@ def repairs(beliefs: DataFrame, gone: DataFrame) -> DataFrame:
     return retract.unionByName(repair)
 
 
+def retraction_plan(beliefs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(action, id, valid_to, superseded_by): what follows from the sessions that turns lose between ``before`` and ``after``.
+    Committed beliefs that cite one are retracted and their chains repaired; those whose free-text source, a person's words,
+    names one are kept, and say so."""
+    from .upkeep import mentions
+
+    gone = before.select("session").distinct().join(after.select("session").distinct(), "session", "left_anti")
+    own = cited(beliefs)
+    citing = own.where("status = 'committed'").join(gone.withColumnRenamed("session", "cited_session"), "cited_session", "left_semi").select("id")
+    said = mentions(own.where("cited_session IS NULL AND source IS NOT NULL").select("id", "source"), gone).select("id").distinct()
+    none = F.lit(None)
+    kept = beliefs.join(said, "id", "left_semi").select(F.lit("keep").alias("action"), "id", none.cast("timestamp_ntz").alias("valid_to"), none.cast("long").alias("superseded_by"))
+    return repairs(beliefs, citing).unionByName(kept)
+
+
 def turn_matches(turns: DataFrame, needle: str) -> DataFrame:
     """One row: turns that start with, contain, and contain in any ASCII case a text."""
     folded = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -422,11 +422,11 @@ def context_top_k(spark, sf_dir):
 
 
 # -- reports ------------------------------------------------------------------------------------------------------
-@query(f"""WITH RECURSIVE {o.TURN}, {o.BELIEF}, {o.passage_table('turn')} SELECT (SELECT count(*) FROM turn) AS turns, (SELECT count(DISTINCT session) FROM turn) AS sessions, (SELECT count(*) FROM part) AS passages,
+@query(f"""{_GATE}, {o.TURN}, {o.BELIEF.removeprefix(o.ASSERTION + ', ')}, {o.passage_table('turn')} SELECT (SELECT count(*) FROM fold WHERE outcome = 'pending_review') AS reviews_open, (SELECT count(*) FROM turn) AS turns, (SELECT count(DISTINCT session) FROM turn) AS sessions, (SELECT count(*) FROM part) AS passages,
     (SELECT count(*) FROM belief) AS beliefs, (SELECT count(*) FROM belief WHERE valid_to IS NULL) AS current_beliefs""")
 def store_stats(spark, sf_dir):
-    t = model.turns(spark, sf_dir)
-    return rs.store_stats(t, rc.passage_table(t), lg.timeline(model.assertions(spark, sf_dir)))
+    t, a = model.turns(spark, sf_dir), model.assertions(spark, sf_dir)
+    return rs.store_stats(t, rc.passage_table(t), lg.timeline(a), lg.reviews(a))
 
 
 @query(f"""WITH {o.TURN}, {_CITED}, own AS (SELECT entrypoint, count(DISTINCT session) AS sessions, count(*) AS turns FROM turn GROUP BY entrypoint),

@@ -15,7 +15,7 @@ from ..operators import upkeep as up
 from ..sources import model, sinks, transcripts
 from . import oracle as o
 from . import rules_sql as rules
-from .catalog import _BELIEF_HITS, _GATE, _TRIPLES, _belief_queries, _queries, _triples, query
+from .catalog import _BELIEF_HITS, _GATE, _TRIPLES, _TURN_HITS, _belief_queries, _queries, _triples, query
 
 
 # -- text and display ---------------------------------------------------------------------------------------------
@@ -428,3 +428,40 @@ def scored_log(spark, sf_dir):
 
     log = model.relevance_log(spark, sf_dir).withColumns({"prompt": F.lit("what?"), "fact": F.lit("a fact")})
     return cp.scored(log, scorer).select("prompt_id", "belief_id", F.round("p", 6).alias("p"))
+
+
+# -- retrieval evaluation, fused beliefs, retraction with what is kept ---------------------------------------------------
+@query(f"""{_TURN_HITS}, ctx AS (SELECT qid, string_agg(trim(whole), chr(10) ORDER BY rank) AS context FROM ranked WHERE rank <= 5 GROUP BY qid),
+    question AS (SELECT item_id AS id, CASE item_id % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'stale' ELSE 'negative' END AS type, coalesce(context, '') AS context FROM benchmark LEFT JOIN ctx ON qid = item_id),
+    c AS (SELECT *, nullif(strpos(context, 'tion'), 0) AS good, nullif(strpos(context, 'que'), 0) AS bad FROM question), s AS (SELECT *, good IS NOT NULL AS found, bad IS NOT NULL AND (good IS NULL OR bad < good) AS stale FROM c)
+    SELECT type, count(*) AS n, round(avg((CASE type WHEN 'negative' THEN NOT found WHEN 'stale' THEN found AND NOT stale ELSE found END)::INT), 6) AS accuracy, round(avg(stale::INT), 6) AS stale_rate, median(length(context)) AS median_chars FROM s GROUP BY type""")
+def eval_retrieval(spark, sf_dir):
+    asked = _queries(spark, sf_dir)
+    k = F.col("qid") % 3
+    kind = F.when(k == 0, "fact").when(k == 1, "stale").otherwise("negative")
+    questions = asked.select(F.col("qid").alias("id"), kind.alias("type"), F.array(F.lit("tion")).alias("expect"), F.array(F.lit("que")).alias("reject"))
+    return ex.eval_summary(ex.eval_scores(ex.contexts(questions, rc.search_turns(model.turns(spark, sf_dir), asked, model.now()))))
+
+
+@query(f"""{_BELIEF_HITS}, lists AS (SELECT qid // 4 AS fid, rank, key FROM ranked WHERE rank <= 20), sums AS (SELECT fid, key, sum(1 / (60 + rank)) AS fused, min(rank) AS best FROM lists GROUP BY fid, key),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY round(fused, 12) DESC, best, key) AS place FROM sums) SELECT fid AS qid, place::INTEGER AS rank, key AS id, round(fused, 9) AS fused FROM placed WHERE place <= 5""")
+def recall_beliefs_multi(spark, sf_dir):
+    hits = rc.search_beliefs(lg.timeline(model.assertions(spark, sf_dir)), _belief_queries(spark, sf_dir), model.now(), 20)
+    lists = hits.select(F.floor(F.col("qid") / 4).alias("qid"), F.col("qid").alias("list"), "rank", "id", "score")
+    return rc.fuse(lists, 5).select("qid", "rank", "id", F.round("fused", 9).alias("fused"))
+
+
+@query(f"""WITH {o.TURN}, {o.BELIEF}, lost AS (SELECT DISTINCT session FROM turn WHERE source LIKE '/home/u/p3/%'),
+    said AS (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN 'told in ' || regexp_extract(source, 'conv-[0-9]+') || '.' ELSE source END AS source) FROM belief),
+    m AS (SELECT *, coalesce(regexp_extract(source, '^memory:session/(.+)/turn/([0-9]+)$', 1) IN (SELECT session FROM lost), false) AS gone FROM said), nxt AS (SELECT *, lead(gone) OVER (PARTITION BY key ORDER BY valid_from, id) AS next_gone FROM m)
+    SELECT 'retract' AS action, id, valid_from AS valid_to, superseded_by FROM m WHERE gone
+    UNION ALL SELECT CASE WHEN s.id IS NULL THEN 'reopen' ELSE 'relink' END, n.id, s.valid_from, s.id FROM nxt n
+    LEFT JOIN LATERAL (SELECT id, valid_from FROM m WHERE m.key = n.key AND NOT m.gone AND (m.valid_from, m.id) > (n.valid_from, n.id) ORDER BY m.valid_from, m.id LIMIT 1) s ON true WHERE NOT n.gone AND n.next_gone
+    UNION ALL SELECT 'keep', id, NULL, NULL FROM said WHERE id % 3 = 0 AND EXISTS (SELECT 1 FROM lost WHERE contains(source, session))""")
+def retraction_plan(spark, sf_dir):
+    from ..operators import repair as rp
+
+    t, b = model.turns(spark, sf_dir), lg.timeline(model.assertions(spark, sf_dir))
+    told = F.concat(F.lit("told in "), F.regexp_extract("source", "conv-[0-9]+", 0), F.lit("."))
+    b = b.withColumn("source", F.when(F.col("id") % 3 == 0, told).otherwise(F.col("source")))
+    return rp.retraction_plan(b, t, t.where(~F.col("source").startswith("/home/u/p3/")))

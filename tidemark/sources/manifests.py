@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tomllib
 from pathlib import Path
 
@@ -20,9 +21,25 @@ def declared(folder: str) -> list[tuple[str, str, str]]:
             tables = [json.loads(path.read_text())]
         else:
             continue
-        found += [(t["name"], str(t["version"]), str(path)) for t in tables if t and t.get("name") and t.get("version")]
+        for t in tables:
+            version = (t.get("version") or ("version" in t.get("dynamic", ()) and _computed(path.parent, t["name"], data))) if t and t.get("name") else None
+            if version:
+                found.append((t["name"], str(version), str(path)))
     return found
 
 
+def _computed(folder: Path, package: str, data: dict) -> str | None:
+    """The __version__ of the file that a manifest computes its version from: the one it names, or the package's own."""
+    tool, module = data.get("tool", {}), package.replace("-", "_")
+    named = tool.get("hatch", {}).get("version", {}).get("path")
+    attribute = tool.get("setuptools", {}).get("dynamic", {}).get("version", {}).get("attr", "").rpartition(".")[0].replace(".", "/")
+    files = [named] if named else [f"{a}{b}" for m in (attribute, module) if m for a in (f"src/{m}", m) for b in ("/__init__.py", ".py")]
+    for file in files:
+        at = folder / file
+        if at.is_file() and (found := re.search(r"""^__version__\s*(?::[^=]+)?=\s*["']([^"']+)""", at.read_text(), re.M)):
+            return found[1]
+    return None
+
+
 def declared_table(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(declared(folder), "package string, version string, path string")
