@@ -3,7 +3,9 @@
 Each round every node moves to the neighbour (itself included) of least random priority, edges follow their ends, and
 loops and repeats go. A constant share of the nodes disappears each round, so rounds grow with the logarithm of the
 longest path, whatever the ids look like. Each round's moves are a table in the shared folder; composed backwards,
-they give every node its root. A hub needs no room: its neighbours meet in a minimum that combines on the map side.
+they give every node its root. A hub's neighbours meet in a minimum that combines on the map side; the joins that move
+edges to their new ends meet a hub's edges by its id, and rely on Spark to split a skewed side. An edge with a null end
+is no edge.
 """
 
 from __future__ import annotations
