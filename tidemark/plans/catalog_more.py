@@ -465,3 +465,26 @@ def retraction_plan(spark, sf_dir):
     told = F.concat(F.lit("told in "), F.regexp_extract("source", "conv-[0-9]+", 0), F.lit("."))
     b = b.withColumn("source", F.when(F.col("id") % 3 == 0, told).otherwise(F.col("source")))
     return rp.retraction_plan(b, t, t.where(~F.col("source").startswith("/home/u/p3/")))
+
+
+# -- the whole way from a prompt to its lines ----------------------------------------------------------------------------
+def _key_terms(text: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({text}, {o.quoted(o.W.TOKEN)}), lambda w: trim(lower(w), './-')), lambda w: w <> '' AND NOT list_contains({o.words(o.W.STOPWORDS)}, w))"
+
+
+_PERSON = f"(b.reliability > 0.5 OR NOT starts_with(b.source, 'memory:session/') OR b.id IN (SELECT belief_id FROM conf))"
+
+
+@query(f"""{_BELIEF_HITS.replace('WITH ', f"WITH RECURSIVE {o.TURN}, {_CONFIRMED}, {o.passage_table('turn')}, ", 1)},
+    total AS (SELECT count(*) AS n FROM part), sh AS (SELECT term, count(*) / any_value(n) AS share FROM (SELECT DISTINCT turn_id, ord, unnest({o.analyze('text')}) AS term FROM part), total GROUP BY term),
+    st AS (SELECT qid, key, list_distinct({_key_terms('subject')}) AS s FROM weighed), qt AS (SELECT qid, {_key_terms('text')} AS t FROM q WHERE NOT regexp_matches(text, '^<task-notification>')),
+    met AS (SELECT qid, key, list_filter(s, lambda x: list_contains(t, x)) AS common FROM st JOIN qt USING (qid)),
+    passed AS (SELECT qid, key FROM met LEFT JOIN sh ON len(common) = 1 AND sh.term = common[1], total WHERE len(common) >= 2 OR (len(common) = 1 AND (coalesce(share, 0) <= 0.1 OR n < 1000))),
+    judged AS (SELECT b.*, CASE WHEN ({rules.instruction()}) IS NOT NULL THEN 'instruction' WHEN {_PERSON} THEN NULL WHEN epoch_us({o.NOW}) - epoch_us(b.valid_from) < 7 * 86400000000 THEN NULL ELSE {rules.classify()} END AS reason FROM belief b),
+    kept AS (SELECT weighed.qid, j.*, row_number() OVER (PARTITION BY weighed.qid ORDER BY round(weighed.score, 9) DESC, weighed.key) AS place FROM weighed JOIN passed USING (qid, key) JOIN judged j ON j.id = weighed.key WHERE reason IS NULL)
+    SELECT qid, place::INTEGER AS rank, '- ' || subject || ' ' || relation || ': ' || value || ' (recorded ' || strftime(recorded_at, '%Y-%m-%d') || ')' AS line FROM kept WHERE place <= 6""")
+def prompt_context(spark, sf_dir):
+    from ..api import Memory
+
+    memory = Memory(spark, model.turns(spark, sf_dir), model.assertions(spark, sf_dir), confirmations=_confirmations(spark, sf_dir), stem=False)
+    return memory.context(_belief_queries(spark, sf_dir))
