@@ -68,20 +68,18 @@ def passages(text: str) -> Column:
     While over 2,000 characters are left, a span ends after the last occurrence of the strongest break that lies
     within 1,200 to 1,600 characters of its start, or at 1,600. Empty text has no span.
     """
-    window = f"substring({text}, a.at + 1 + {CHUNK_LOW}, {CHUNK_HIGH - CHUNK_LOW})"
-    found = []
-    for mark in BREAKS:
-        back = f"locate({lit(mark[::-1])}, reverse({window}))"
-        found.append(f"WHEN {back} > 0 THEN {CHUNK_HIGH} - {back} + 1")
-    step = f"CASE {' '.join(found)} ELSE {CHUNK_HIGH} END"
-    cut = f"IF(length({text}) - a.at > {CHUNK_LIMIT}, {step}, length({text}) - a.at)"
+    window = f"reverse(substring({text}, a.at + 1 + {CHUNK_LOW}, {CHUNK_HIGH - CHUNK_LOW}))"
+    found = " ".join(f"WHEN locate({lit(mark[::-1])}, w) > 0 THEN {CHUNK_HIGH} - locate({lit(mark[::-1])}, w) + 1" for mark in BREAKS)
+    step = f"transform(array({window}), w -> CASE {found} ELSE {CHUNK_HIGH} END)[0]"  # the window is cut out once
+    stop = f"CAST(a.at + IF(length({text}) - a.at > {CHUNK_LIMIT}, {step}, length({text}) - a.at) AS INT)"
     rounds = f"sequence(0, CAST(length({text}) / {CHUNK_LOW} AS INT))"
-    return F.expr(
+    long_ = F.expr(
         f"""aggregate({rounds}, CAST(struct(0, array()) AS struct<at:int,out:array<struct<ord:int,start:int,stop:int>>>),
-        (a, i) -> IF(a.at >= length({text}), a, struct(CAST(a.at + {cut} AS INT) AS at,
-            concat(a.out, array(struct(size(a.out) AS ord, a.at AS start, CAST(a.at + {cut} AS INT) AS stop))) AS out)),
+        (a, i) -> IF(a.at >= length({text}), a, transform(array({stop}), z -> struct(z AS at, concat(a.out, array(struct(size(a.out) AS ord, a.at AS start, z AS stop))) AS out))[0]),
         a -> a.out)"""
     )
+    short = F.array(F.struct(F.lit(0).alias("ord"), F.lit(0).alias("start"), F.length(text).cast("int").alias("stop")))
+    return F.when((F.length(text) > 0) & (F.length(text) <= CHUNK_LIMIT), short).otherwise(long_)
 
 
 def age_days(ts: Column, at: Column) -> Column:
