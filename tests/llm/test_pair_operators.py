@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import random
+import sys
 from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import fm_index, line_dedup, multiprobe, simhash, substring_dedup
@@ -124,6 +126,30 @@ def test_keep_one_against_brute_force_jaccard(spark, n_words):
     assert {r.doc_id for r in simhash.keep_one(frame).collect()} == set(docs) - gone
 
 
+def test_fingerprints_settle_their_classes_without_the_join(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = {d: [f"w{rng.randrange(4000)}" for _ in range(400)] for d in range(12)}
+    for d in range(12, 60):
+        docs[d] = [*docs[rng.randrange(d)]]
+        docs[d][rng.choice((0, rng.randrange(400)))] = f"x{d}"
+    docs = {d: " ".join(w) for d, w in docs.items()}
+    docs |= {60: docs[3].upper(), 61: docs[4].replace(" ", "  "), 62: "", 63: None, 64: docs[5]}
+    sets, ids = shingle_sets({d: t for d, t in docs.items() if t}), {}
+    for d in sets:
+        ids.setdefault(xxhash.xxh3_128_digest(docs[d].encode().lower())[:8], d)
+    prints = {d: simhash.fingerprint(docs[d], 5) for d in ids.values()}
+    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
+    first = union_find(prints, near)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    number = {int.from_bytes(i, sys.byteorder, signed=True): d for i, d in ids.items()}
+    pairs = [(number[r.line], number[r.earlier]) for r in simhash.alike(frame, line_dedup.Rule(shingle=5)).collect()]
+    assert sorted(pairs) == sorted((d, f) for d, f in first.items() if d != f) and len(pairs) > 20
+    nothing = spark.createDataFrame([], "line long, earlier long, apart int, list long")
+    monkeypatch.setattr(line_dedup, "_candidates", lambda packed, rule: nothing)
+    gone = {d for d, f in pairs if 5 * len(sets[d] & sets[f]) >= 4 * len(sets[d] | sets[f])} | {60, 63, 64}
+    assert len(gone) > 20 and {r.doc_id for r in simhash.keep_one(frame).collect()} == set(docs) - gone
+
+
 # -- lines --------------------------------------------------------------------------------------------------------
 def plain_lines(docs: dict[int, str], least: int = 1) -> dict[int, str]:
     """Words of lines meet through an inverted list; a line goes if any earlier one has Jaccard 0.8 or more."""

@@ -531,9 +531,10 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(own.withColumnsRenamed({"codes": "x"}), "line").join(own.withColumnsRenamed({"line": "earlier", "codes": "y"}), "earlier")
 
 
-def removed_lines(docs: DataFrame, rule: Rule = Rule(), shards_per_task: int = 4) -> DataFrame:
+def removed_lines(docs: DataFrame, rule: Rule = Rule(), shards_per_task: int = 4, likely: DataFrame | None = None) -> DataFrame:
     """(doc_id, key, gone array<int>): the line numbers to remove, for rows that lose any; key is the text's hash.
 
+    ``likely`` has pairs (line, earlier) from elsewhere. They are verified first; a line that one of them settles asks no more.
     Every step is a table, so that its shuffle files go before the next begins; the tables go at the end.
     """
     spark = docs.sparkSession
@@ -543,12 +544,17 @@ def removed_lines(docs: DataFrame, rule: Rule = Rule(), shards_per_task: int = 4
     with released(spark, "lines-gone"):
         found = cut(_candidates(_prefixes(docs, rule, heavy, shards), rule), "lines-found")
         pairs = cut(found.where("earlier is not null").groupBy("line", "earlier").agg(F.min("apart").alias("apart")), "lines-pairs")
-        lines = cut(_occurrences(docs, rule, _filter_of(_ends(pairs), "line")), "lines-all")
+        ends = _ends(pairs) if likely is None else _ends(pairs).union(_ends(likely))
+        lines = cut(_occurrences(docs, rule, _filter_of(ends, "line")), "lines-all")
         sets = cut(lines.where("codes is not null").groupBy("line").agg(F.first("codes").alias("codes")), "lines-sets")
+        if likely is not None:
+            settled = cut(_verified(_with_sets(likely, sets), rule), "lines-settled")
+            pairs = pairs.join(settled, "line", "left_anti")
         closest = pairs.groupBy("line").agg(F.min(F.struct("apart", "earlier"))["earlier"].alias("earlier"))
         known = cut(_verified(_with_sets(closest, sets), rule), "lines-known")
         others = pairs.join(known, "line", "left_anti").join(closest, ["line", "earlier"], "left_anti")
-        known = cut(known.union(_verified(_with_sets(others, sets), rule)).distinct(), "lines-known")
+        known = known.union(_verified(_with_sets(others, sets), rule))
+        known = cut((known if likely is None else known.union(settled)).distinct(), "lines-known")
         left = cut(found.where("list is not null").select("line", "list").distinct().join(known, "line", "left_anti"), "lines-left")
         if not left.isEmpty():
             known = known.union(_second_round(docs, left, rule, heavy, shards)).distinct()

@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, cut, map_texts, read, ship_package, shuffle_width
+from ._common import WORD, cut, map_texts, read, released, ship_package, shuffle_width
 from .components import components
-from .line_dedup import Rule, removed_lines
+from .line_dedup import Lines, Rule, removed_lines
 
 _VOTES = 1 << 15
 
@@ -181,11 +181,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     return made.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def alike(texts: DataFrame, rule: Rule, distance: int = 3) -> DataFrame:
+    """(line, earlier) for every distinct text with a word (by its line id) but the first of its class: that first one.
+
+    Classes are the components of fingerprints over the rule's shingles that differ in ``distance`` bits or fewer. The
+    first of a class is the earliest by (doc_id, hash of the text); a class of n texts gives n - 1 pairs.
+    """
+
+    def make() -> Callable[[list], dict]:
+        def run(texts: list) -> dict:
+            lines = Lines([(t or "").encode() for t in texts], rule)
+            own, line = lines.text[lines.eligible], np.zeros(len(texts), np.int64)
+            line[own] = lines.ids()[0]
+            fp = np.zeros(len(texts), np.uint64)
+            fp[own] = [fingerprint(texts[k], rule.shingle) for k in own.tolist()]
+            return {"fp": fp.view(np.int64), "line": pa.array(line, mask=~np.isin(np.arange(len(texts)), own)), "number": lines.number}
+
+        return run
+
+    spark = texts.sparkSession
+    with released(spark, "simhash-pairs"):
+        made = map_texts(texts, ("doc_id",), make, "fp long, line long, number long").where("line is not null")
+        nodes = cut(made.groupBy("fp", "line").agg(F.min(F.struct("doc_id", "number")).alias("place")), "simhash-nodes")
+        roots = components(links(nodes.select("fp").distinct(), distance), "simhash").withColumnRenamed("node", "fp")
+        classed = nodes.join(roots, "fp", "left").select("line", "place", F.coalesce("root", "fp").alias("root"))
+        first = classed.groupBy("root").agg(F.min(F.struct("place", "line")).alias("first"))
+        pairs = classed.join(first, "root").select("line", F.col("first.line").alias("earlier")).where("line <> earlier")
+        return cut(pairs, "simhash-pairs")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 3) -> DataFrame:
     """The rows, all columns as they are, that no earlier one (by doc_id, null last) resembles: the sets of five-word
     shingles of every two that stay have a Jaccard similarity under 0.8, and each that goes has an earlier partner.
 
-    64 bits can't tell 0.8 from chance, so no fingerprint is asked: the exact join of line dedup finds the pairs, with
+    Fingerprints find the classes, and each member is held against the first of its class, by exact Jaccard similarity.
+    64 bits can't tell 0.8 from chance, so a text that its class doesn't settle asks the exact join of line dedup, with
     shingles for words. Texts without a word are alike. Of rows that repeat a doc_id and text the least stays, by the
     columns in order (they need an order: no maps). Rows without doc_id count as later than all others.
     """
@@ -194,7 +224,7 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     texts = rows.select(F.col("__id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     empty = texts.where(~F.col("text").rlike(WORD)).agg(F.min("doc_id")).first()[0]
     rule = Rule(shingle=shingle, floor=2)
-    gone = removed_lines(texts, rule).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    gone = removed_lines(texts, rule, likely=alike(texts, rule, distance)).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
 
     def make() -> Callable[[list], dict]:
         def run(texts: list) -> dict:
