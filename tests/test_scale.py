@@ -59,3 +59,16 @@ def agrees(spark, sf_dir, name):
 @pytest.mark.parametrize("name", ["recall_beliefs", "recall_beliefs_multi"])
 def test_common_terms_agree_with_sql(spark, name):
     agrees(spark, "/root/testdata/sf0.01", name)
+
+
+def test_subjects_of_short_turns_agree_with_sql(spark, tmp_path):
+    said = ["user visits blue", "", "user", "the left blue green white", None, "one two blue four user six"]
+    talk = spark.createDataFrame([(i // 2, i % 2, "user", t) for i, t in enumerate(said + said[::-1])], "conv_id long, turn long, role string, text string")
+    talk.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    asked = spark.createDataFrame([(1, "blue user"), (2, "white things")], "item_id long, text string")
+    asked.coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for name in ("conversations", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = QUERIES["subject_rule"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(SQL["subject_rule"]).fetchall()) and len(got) > 3
