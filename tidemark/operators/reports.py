@@ -118,7 +118,7 @@ def budgeted(rows: DataFrame, by: str, line: str, order: list, budget: int) -> D
 
 def context(beliefs: DataFrame, hits: DataFrame, now: F.Column, k: int = 6) -> DataFrame:
     """(qid, rank, line): of ranked hits (qid, rank, id) the first k that the gate lets in, as lines of a prompt."""
-    own = beliefs.withColumn("why", verdict(now)).where("why IS NULL")
+    own = beliefs.join(hits.select("id").distinct(), "id", "left_semi").withColumn("why", verdict(now)).where("why IS NULL")  # the gate costs more than the join
     kept = hits.join(own, "id")
     order = Window.partitionBy("qid").orderBy("rank")
     kept = kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
