@@ -72,3 +72,52 @@ def test_subjects_of_short_turns_agree_with_sql(spark, tmp_path):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     got = QUERIES["subject_rule"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(con.sql(SQL["subject_rule"]).fetchall()) and len(got) == 2
+
+
+def held_list(rows):
+    """The fold as its definition says it, by whole lists: (at, norm) of one key."""
+    out, held = [], []
+    for at, norm in rows:
+        now = held[-1] if held else None
+        if now is None or (norm != now[1] and not at < now[0]):
+            held.append([at, norm])
+            out.append("superseded" if now else "created")
+        elif norm == now[1]:
+            now[0] = min(now[0], at)
+            out.append("reinforced")
+        else:
+            earlier = [h for h in held if h[0] <= at]
+            out.append("reinforced" if earlier and earlier[-1][1] == norm else "historical")
+            if out[-1] == "historical":
+                held.append([at, norm])
+                held.sort(key=lambda h: h[0])
+    return out
+
+
+def test_arrivals_of_a_key_cost_their_rows_not_their_square():
+    import time
+
+    from tidemark.operators.ledger import Arrivals
+
+    for seed in range(300):
+        rnd = random.Random(seed)
+        rows = [(rnd.randint(0, 30), rnd.choice("abc")) for _ in range(60)]
+        one = Arrivals()
+        assert [one.take(*r) for r in rows] == held_list(rows)
+    one, began = Arrivals(), time.process_time()
+    for i in range(100_000):  # every second row is older than all that is held
+        one.take(-i if i % 2 else i, f"v{i % 7}")
+    assert time.process_time() - began < 20
+
+
+def test_arrivals_run_over_batches_and_keys(spark):
+    rnd = random.Random(3)
+    rows = [(i, f"s{rnd.randint(0, 4)}", "r", rnd.choice("abc"), rnd.randint(0, 50)) for i in range(3000)]
+    a = spark.createDataFrame(rows, "seq long, subject string, relation string, value string, at int")
+    a = a.withColumn("valid_from", F.timestamp_seconds("at").cast("timestamp_ntz")).repartition(7)
+    from tidemark.operators.ledger import arrival_outcomes
+
+    got = {r.seq: r.outcome for r in arrival_outcomes(a).collect()}
+    for subject in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == subject]
+        assert [got[r[0]] for r in own] == held_list([(r[4], r[3]) for r in own])
