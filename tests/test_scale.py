@@ -121,3 +121,17 @@ def test_arrivals_run_over_batches_and_keys(spark):
     for subject in {r[1] for r in rows}:
         own = [r for r in rows if r[1] == subject]
         assert [got[r[0]] for r in own] == held_list([(r[4], r[3]) for r in own])
+
+
+def test_names_that_begin_alike_meet_only_their_own_sources(spark):
+    from tidemark.operators.upkeep import mentions
+
+    names = [f"conv-{i}" for i in range(1200)] + ["", "x"] + ["conv-é7"]
+    told = [(i, f"seen in conv-{i}, noted" if i % 2 else f"conv-{i}") for i in range(0, 1500, 7)] + [(9000, "x"), (9001, ""), (9002, None), (9003, "conv-é7"), (9004, "conv-")]
+    for own in (names, [n for n in names if n != "x"], []):
+        got = mentions(spark.createDataFrame(told, "id long, source string"), spark.createDataFrame([(n,) for n in own], "session string"))
+        assert sorted(map(tuple, got.collect())) == sorted((i, n) for i, t in told if t for n in own if n and n in t)
+    many = spark.range(3000).select("id", F.concat(F.lit("seen in conv-"), 1000 + F.col("id") % 1000).alias("source"))
+    found = mentions(many, spark.range(1000, 6000).select(F.concat(F.lit("conv-"), "id").alias("session")))
+    assert found.count() == 3000
+    assert "contains(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()  # no pairs of a source and names that begin alike

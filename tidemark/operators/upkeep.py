@@ -67,18 +67,29 @@ def touching_reviews(reviews: DataFrame, ids: DataFrame) -> DataFrame:
     return a.union(b).distinct()
 
 
+#: Bits of the map of how names begin.
+BITS = 1 << 15
+
+
 def mentions(sources: DataFrame, sessions: DataFrame) -> DataFrame:
     """(id, session): sessions whose name a free-text source contains, wherever it stands in it.
 
-    Containment as an equi-join: a name's first ``k`` characters, ``k`` the shortest name's length, must occur in the
-    source at some place, so all grams of that length of the source meet the names' heads, and contains() settles it.
+    Containment as an equi-join of whole names: at each place of a source that may begin as a name does, a piece of each
+    length that names have is looked up, so names that begin alike don't meet a source that has another of them. Beginnings
+    are the shortest name's length, told by a map of 32,768 bits; a full map costs lookups, not results.
     """
-    names = sessions.select("session").distinct().where("session <> ''").withColumn("k", F.length("session"))
-    least = names.agg(F.min("k").alias("least"))
-    heads = names.join(F.broadcast(least)).select("session", F.expr("substring(session, 1, least)").alias("gram"))
-    grams = F.expr("array_distinct(transform(sequence(1, greatest(1, length(source) - least + 1)), i -> substring(source, i, least)))")
-    rows = sources.select("id", "source").join(F.broadcast(least)).select("id", "source", F.explode(grams).alias("gram"))
-    return rows.join(heads, "gram").where(F.contains("source", "session")).select("id", "session").distinct()
+    names = sessions.select("session").distinct().where("session <> ''")
+    sizes = names.agg(F.min(F.length("session")).alias("least"), F.array_sort(F.collect_set(F.length("session"))).alias("lengths"))
+    slot = lambda text: f"pmod(xxhash64({text}), {BITS})"
+    bits = names.join(F.broadcast(sizes)).select(F.expr(slot("substring(session, 1, least)")).alias("h")).distinct()
+    bits = bits.groupBy(F.expr("CAST(h div 64 AS INT)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(h % 64 AS INT)))").alias("bits"))
+    bits = bits.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    bits = bits.select(F.expr(f"transform(sequence(0, {BITS // 64 - 1}), i -> coalesce(try_element_at(m, i), 0L))").alias("words"))
+    known = f"transform(array({slot('substring(source, i, least)')}), h -> getbit(words[CAST(h div 64 AS INT)], CAST(h % 64 AS INT)) = 1)[0]"
+    places = F.expr(f"filter(sequence(1, greatest(1, length(source) - least + 1)), i -> {known})")
+    rows = sources.select("id", "source").join(F.broadcast(sizes.join(F.broadcast(bits)))).withColumn("at", F.explode(places))  # one row
+    rows = rows.select("id", F.expr("substring(source, at, array_max(lengths))").alias("rest"), F.explode("lengths").alias("n")).where(F.length("rest") >= F.col("n"))
+    return rows.select("id", F.expr("substring(rest, 1, n)").alias("session")).join(names, "session").select("id", "session").distinct()
 
 
 def unindexed(rows: DataFrame, sources: DataFrame) -> DataFrame:
