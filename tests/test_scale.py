@@ -135,3 +135,17 @@ def test_names_that_begin_alike_meet_only_their_own_sources(spark):
     found = mentions(many, spark.range(1000, 6000).select(F.concat(F.lit("conv-"), "id").alias("session")))
     assert found.count() == 3000
     assert "contains(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()  # no pairs of a source and names that begin alike
+
+
+def test_recall_all_searches_the_turns(spark, tmp_path):
+    """Turns that the questions meet, read from the table: the SQL finds them too."""
+    rnd = random.Random(5)
+    talk = [(i // 3, i % 3, rnd.choice(["user", "assistant"]), f"user {i % 17} had a {rnd.choice(['click', 'view', 'error'])} and then nothing more") for i in range(120)]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    for name in ("conversations", "events"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(map(tuple, QUERIES["recall_all"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(SQL["recall_all"]).fetchall())
+    assert {r[3] for r in got if r[0] == "turn"} <= {c * 1000 + t for c, t, *_ in talk} and sum(r[0] == "turn" for r in got) == 75
