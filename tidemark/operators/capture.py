@@ -83,16 +83,22 @@ def store_verdicts(stats: DataFrame, *keys: str) -> DataFrame:
 
 
 def explain(beliefs: DataFrame) -> DataFrame:
-    """Every test of the gate with its result, beside the class it leads to."""
-    return beliefs.select(
-        "*",
-        durability.veto().alias("veto"),
-        durability.measurement().alias("is_measurement"),
-        durability.moving_version().alias("is_moving_version"),
-        durability.status().alias("is_status"),
-        durability.instruction_shape().alias("order"),
-        durability.classify().alias("class"),
+    """Every test of the gate with its result, beside the class it leads to. Each triple is tested once, however many
+    beliefs say it, and its veto is worked out once for all tests."""
+    fields = ("subject", "relation", "value")
+    tests = beliefs.select(*fields).distinct().withColumn("veto", durability.veto())
+    tests = tests.withColumns(
+        {
+            "is_measurement": durability.measurement(vetoed="veto"),
+            "is_moving_version": durability.moving_version(vetoed="veto"),
+            "is_status": durability.status(vetoed="veto"),
+            "order": durability.instruction_shape(),
+        }
     )
+    kind = F.when(F.col("is_measurement"), durability.MEASUREMENT).when(F.col("is_moving_version"), durability.MOVING_VERSION).when(F.col("is_status"), durability.STATUS)
+    tests = tests.withColumn("class", kind).withColumnsRenamed({c: f"tested_{c}" for c in fields})
+    same = [F.col(c).eqNullSafe(F.col(f"tested_{c}")) for c in fields]
+    return beliefs.join(tests, same).drop(*[f"tested_{c}" for c in fields])
 
 
 def fact_text(limit: int = 300) -> F.Column:
