@@ -149,3 +149,30 @@ def test_recall_all_searches_the_turns(spark, tmp_path):
     got = sorted(map(tuple, QUERIES["recall_all"](spark, str(tmp_path)).collect()))
     assert got == sorted(con.sql(SQL["recall_all"]).fetchall())
     assert {r[3] for r in got if r[0] == "turn"} <= {c * 1000 + t for c, t, *_ in talk} and sum(r[0] == "turn" for r in got) == 75
+
+
+def test_stems_of_a_batch_hold_each_word_once(spark, monkeypatch):
+    from tidemark.functions import porter
+
+    rows = [(0, ["running", "flies", "running"]), (1, None), (2, []), (3, ["flies", None, "x"]), (4, ["caresses"])]
+    got = spark.createDataFrame(rows, "id int, t array<string>").coalesce(1).select("id", porter.stemmed(F.col("t")).alias("s")).collect()
+    assert {r.id: r.s for r in got} == {i: None if t is None else [None if w is None else porter.stem(w) for w in t] for i, t in rows}
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(porter, "stem", lambda w: seen.append(w) or w)
+    tokens = pa.array([["a", "b", "a"]] * 1000 + [None], pa.list_(pa.string()))
+    assert porter._udf().func(tokens.slice(5)).to_pylist() == tokens.slice(5).to_pylist() and sorted(seen) == ["a", "b"]
+
+
+def test_the_gate_tests_a_triple_once(spark):
+    from tidemark.functions import durability
+    from tidemark.operators.capture import explain
+
+    said = [("api", "test count", "91 tests"), ("repo", "current version", "0.4.0"), ("PR", "status", "open and green"), ("build job", "retry limit", "5"), (None, "status", "x"), ("a", None, None)]
+    rows = spark.createDataFrame([(i, *said[i % 6]) for i in range(60)], "id long, subject string, relation string, value string")
+    got = explain(rows)
+    assert [c for c in got.columns] == ["id", "subject", "relation", "value", "veto", "is_measurement", "is_moving_version", "is_status", "order", "class"]
+    want = rows.select("id", durability.veto(), durability.measurement(), durability.moving_version(), durability.status(), durability.instruction_shape(), durability.classify())
+    assert sorted(map(str, got.drop("subject", "relation", "value").toLocalIterator())) and sorted(tuple(map(str, r)) for r in got.drop("subject", "relation", "value").collect()) == sorted(tuple(map(str, r)) for r in want.collect())
+    assert "Aggregate" in got._jdf.queryExecution().optimizedPlan().toString()
